@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
+from .editcount import apply_edits, build_trees
+from .packing import pack
+from .records import round_trip
 from .simhash import near_duplicates
 
 
@@ -14,8 +18,41 @@ def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_table(spark, sf_dir, "documents"))
+
+
+def document_edits(docs: DataFrame) -> DataFrame:
+    """Three edits for each document: a replacement at a quarter of its length, a deletion at the half, an insertion at three quarters."""
+    n = F.length("text")
+    at = lambda i: F.floor(n * i / 4).cast("long")
+    edit = lambda position, gone, new: F.struct(position.alias("position"), F.lit(gone).cast("long").alias("n_deleted"), new.alias("inserted"))
+    edits = F.array(
+        edit(at(1), 7, F.substring("text", 1, 11)),
+        edit(at(2), 5, F.lit("")),
+        edit(at(3), 0, F.concat(F.lit(" edited by "), F.coalesce("source", F.lit("nobody")))),
+    )
+    return docs.where(n > 0).select("doc_id", F.inline(edits))
+
+
+def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    edited = apply_edits(build_trees(docs), document_edits(docs))
+    return edited.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", F.size("starts").cast("long").alias("n_leaves"), F.octet_length("text").cast("long").alias("n_bytes"), "n_bytes_encoded")
+
+
+def op10_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash_pivots": op1_simhash_pivots,
+    f.__name__: f
+    for f in (
+        op1_simhash_pivots,
+        op4_binary_records,
+        op5_edit_counts,
+        op10_shortest_pack_first,
+    )
 }
 
 ORACLES: dict[str, str] = {}
