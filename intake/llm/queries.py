@@ -10,14 +10,22 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .editcount import apply_edits, build_trees
 from .packing import pack
+from .quality import judge
 from .records import round_trip
 from .simhash import near_duplicates
+from .urlrules import HOST_RULES, PATTERN_RULES, judge_urls
+from .warc import round_trip as warc_round_trip
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(read_table(spark, sf_dir, "documents")).select(*columns)
+
+
 def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,37 @@ def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", F.size("starts").cast("long").alias("n_leaves"), F.octet_length("text").cast("long").alias("n_bytes"), "n_bytes_encoded")
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"))
+
+
+def op6_sql() -> str:
+    hosts = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in HOST_RULES)
+    fits = lambda action: " OR ".join(f"regexp_matches(url, '{p}')" for a, p in PATTERN_RULES if a == action)
+    return f"""
+    WITH rules(action, h, p) AS (VALUES {hosts}),
+    a AS (SELECT page_id, url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+    b AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+    best AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action
+        FROM b JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+    SELECT b.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+        CASE WHEN action IS NOT NULL THEN action WHEN {fits("allow")} THEN 'allow' WHEN {fits("block")} THEN 'block' ELSE 'allow' END AS verdict
+    FROM b LEFT JOIN best ON b.page_id = best.page_id"""
+
+
+def op7_merged_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read_table(spark, sf_dir, "pages")).drop("url")
+
+
+OP7_SQL = """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+    d AS (SELECT page_id, octet_length(body) AS size, sha1(body) AS digest FROM p),
+    w AS (SELECT page_id, size, digest, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY digest, size) ELSE page_id END AS best FROM d)
+    SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+        CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN best <> page_id THEN best END AS refers_to FROM w"""
+
+
 def op10_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -49,10 +88,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_pivots,
+        op2_divergence_rules,
         op4_binary_records,
         op5_edit_counts,
+        op6_url_rules,
+        op7_merged_captures,
         op10_shortest_pack_first,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_url_rules": op6_sql(),
+    "op7_merged_captures": OP7_SQL,
+}
