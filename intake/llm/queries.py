@@ -13,6 +13,7 @@ from .packing import pack
 from .quality import judge
 from .records import round_trip
 from .simhash import near_duplicates
+from .suffixes import report
 from .urlrules import HOST_RULES, PATTERN_RULES, judge_urls
 from .warc import round_trip as warc_round_trip
 
@@ -80,6 +81,27 @@ OP7_SQL = """
         CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN best <> page_id THEN best END AS refers_to FROM w"""
 
 
+def op8_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(read_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+    WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+    s AS (SELECT doc_id, x, unnest(range(0, greatest(CAST(length(x) // 2 - 99 AS BIGINT), 0))) AS p FROM d),
+    g AS (SELECT doc_id, p, row_number() OVER (PARTITION BY sha256(substr(x, CAST(2 * p + 1 AS INT), 200)) ORDER BY doc_id, p) AS place FROM s),
+    r AS (SELECT doc_id, p, p + 100 AS e, lag(p + 100) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM g WHERE place > 1),
+    i AS (SELECT doc_id, p, e, sum(CASE WHEN before IS NULL OR before < p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM r),
+    m AS (SELECT doc_id, k, min(p) AS a, max(e) AS b FROM i GROUP BY doc_id, k),
+    o AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS kept_from, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS last FROM m),
+    t AS (SELECT d.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+        string_agg(substr(x, CAST(2 * kept_from + 1 AS INT), CAST(2 * (a - kept_from) AS INT)), '' ORDER BY a)
+          || max(CASE WHEN last = 1 THEN substr(x, CAST(2 * b + 1 AS INT)) ELSE '' END) AS kept
+        FROM d JOIN o ON d.doc_id = o.doc_id GROUP BY d.doc_id)
+    SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+        CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+    FROM d LEFT JOIN t ON d.doc_id = t.doc_id"""
+
+
 def op10_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -93,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_edit_counts,
         op6_url_rules,
         op7_merged_captures,
+        op8_prefix_doubling,
         op10_shortest_pack_first,
     )
 }
@@ -100,4 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op6_url_rules": op6_sql(),
     "op7_merged_captures": OP7_SQL,
+    "op8_prefix_doubling": OP8_SQL,
 }
