@@ -14,6 +14,7 @@ from .quality import judge
 from .records import round_trip
 from .simhash import near_duplicates
 from .suffixes import report
+from .toxicity import score_toxicity
 from .urlrules import HOST_RULES, PATTERN_RULES, judge_urls
 from .warc import round_trip as warc_round_trip
 
@@ -102,6 +103,10 @@ OP8_SQL = """
     FROM d LEFT JOIN t ON d.doc_id = t.doc_id"""
 
 
+def op9_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_url_rules,
         op7_merged_captures,
         op8_prefix_doubling,
+        op9_ftrl_toxicity,
         op10_shortest_pack_first,
     )
 }
