@@ -163,6 +163,20 @@ def distances(seen: Counter, classes: np.ndarray, known: References, key: str) -
     return jensen_shannon(classes, known.classes[key]), jensen_shannon(counts, reference)
 
 
+def _measure(text: bytes | None, lang: str | None, known: References, min_words: int, most_word: float) -> tuple:
+    """The base counts and both distances of one text."""
+    text = text or b""
+    words = text.split()
+    of_class = of_word = None
+    key = lang if lang in known.words else _POOLED
+    if len(words) >= min_words and key in known.words:
+        seen, classes = Counter(text.lower().split()), class_counts(text)
+        of_class, of_word = distances(seen, classes, known, key)
+        if of_word > most_word:  # the label may be wrong: the closest language counts
+            of_class, of_word = min((distances(seen, classes, known, k) for k in known.words), key=lambda x: x[::-1])
+    return *base_counts(text, words), of_class, of_word
+
+
 def measure(docs: DataFrame, known: References, min_words: int = 50, most_word: float = 0.5) -> DataFrame:
     """Base counts and both distances (null where they are not judged).
 
@@ -171,18 +185,8 @@ def measure(docs: DataFrame, known: References, min_words: int = 50, most_word:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text, lang in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("lang").to_pylist()):
-                text = text.as_py() or b""
-                words = text.split()
-                of_class = of_word = None
-                key = lang if lang in known.words else _POOLED
-                if len(words) >= min_words and key in known.words:
-                    seen, classes = Counter(text.lower().split()), class_counts(text)
-                    of_class, of_word = distances(seen, classes, known, key)
-                    if of_word > most_word:  # the label may be wrong: the closest language counts
-                        of_class, of_word = min((distances(seen, classes, known, k) for k in known.words), key=lambda x: x[::-1])
-                rows.append((doc_id, *base_counts(text, words), of_class, of_word))
+            own = zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("lang").to_pylist())
+            rows = [(doc_id, *_measure(text.as_py(), lang, known, min_words, most_word)) for doc_id, text, lang in own]
             columns = list(zip(*rows)) if rows else [()] * 8
             names = [c.split()[0] for c in SCORED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 6 else pa.float64()) for i, c in enumerate(columns)], names=names)
@@ -198,8 +202,17 @@ def judge(docs: DataFrame, min_words: int = 50, most_class: float = 0.3, most_wo
     return measure(docs, known, min_words, most_word).withColumn("base_failed", failed).withColumn("kept", ~failed & fits)
 
 
-def keep_good(docs: DataFrame, **how) -> DataFrame:
-    """The documents that the rules keep. Rows with a null doc_id are judged too; rows of one doc_id stand or fall together."""
-    verdict = judge(docs, **how).select(F.col("doc_id").alias("_judged"), "kept").groupBy("_judged").agg(F.min("kept").alias("_kept"))
-    gone = verdict.where("NOT _kept").select("_judged")
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_judged"]), "left_anti").select(docs.columns)
+def keep_good(docs: DataFrame, min_words: int = 50, most_class: float = 0.3, most_word: float = 0.5, known: References | None = None) -> DataFrame:
+    """The rows that the same rules keep, with all their columns and without a shuffle of texts."""
+    known = known or references(docs, min_words)
+
+    def keeps(text: str | None, lang: str | None) -> bool:
+        n_words, _, _, _, repeated, of_class, of_word = _measure(text and text.encode(), lang, known, min_words, most_word)
+        return n_words >= 10 and 100 * repeated <= 20 * n_words and (of_class or 0) <= most_class and (of_word or 0) <= most_word
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [keeps(t.as_py(), lang.as_py()) for t, lang in zip(batch.column("text"), batch.column("lang"))]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

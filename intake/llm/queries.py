@@ -14,6 +14,7 @@ from .quality import judge
 from .records import round_trip
 from .simhash import near_duplicates
 from .suffixes import report
+from .tiling import contaminations
 from .toxicity import score_toxicity
 from .urlrules import HOST_RULES, PATTERN_RULES, judge_urls
 from .warc import round_trip as warc_round_trip
@@ -28,6 +29,10 @@ def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_simhash_pivots,
         op2_divergence_rules,
+        op3_string_tiling,
         op4_binary_records,
         op5_edit_counts,
         op6_url_rules,

@@ -113,7 +113,11 @@ def test_query_and_clean_documents(spark, judged):
     assert symbols and not any(got[d].kept for d in symbols)
 
 
-def test_null_ids_and_repeated_rows(spark):
+def test_keeping_follows_the_verdicts(spark, judged):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, r in judged[1].items() if r.kept)
     text = "a b c d e f g h i j k"
-    docs = spark.createDataFrame([(None, text, "en"), (None, text, "en"), (4, text, "en"), (4, "short", "en"), (5, text, "en"), (5, text, "en")], "doc_id long, text string, lang string")
-    assert sorted(str(r.doc_id) for r in quality.keep_good(docs).collect()) == ["5", "5", "None", "None"]
+    odd = spark.createDataFrame([(None, text, "en"), (4, text, None), (4, "short", "en"), (5, None, "en")], "doc_id long, text string, lang string")
+    assert sorted(str(r.doc_id) for r in quality.keep_good(odd).collect()) == ["4", "None"]
