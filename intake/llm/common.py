@@ -32,11 +32,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts the lineage and survives the loss of executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written as Parquet to the shared folder and read again: cuts the lineage and survives the loss of executors.
+
+    The shuffle files behind it are not needed any more then, and Spark removes them.
+    """
+    spark = df.sparkSession
+    path, before = new_folder(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> DataFrame:

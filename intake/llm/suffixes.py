@@ -5,14 +5,16 @@ same one. Matches never cross documents, and all strings are judged on the input
 
 Prefix doubling names the prefixes of suffixes at growing lengths and names again until a name is unique or long enough. Names here
 are 64-bit hashes of content, so a name at twice the length follows from two names of the half at two offsets of one document, and
-needs no sort; sorts by Spark decide where a name is unique, which ends a suffix, or repeated, which carries it on. Two such sorts remain:
+needs no sort; sorts by Spark decide where a name is unique, which ends a suffix, or repeated, which carries it on. Three such sorts
+remain, over longer names of ever fewer suffixes:
 
 1. Names of `SEED` bytes at sampled suffixes. Each string of `length` bytes chooses the least of the names in it (the leftmost of
    equals); equal strings choose the same one, so no repeat is lost, and neighbouring strings mostly share theirs. A sample is a name, the
    run of strings that chose it, and a name of all bytes that these may cover. Samples with a unique name end here. Those that have
    equal surroundings with an earlier sample are repeats as a whole.
-2. Strings of full length, for first samples of a surrounding whose short name also stands in other surroundings. Equal names but for
-   the first are repeats.
+2. First samples of a surrounding whose name also stands in other surroundings are cut in pieces of `PIECE` strings, counted from the
+   sample, with a name of the bytes that all strings of the piece share, and again one of all bytes that they cover.
+3. Strings of full length, for first pieces that step 2 could not tell apart in the same way. Equal names but for the first are repeats.
 
 The rows of a batch are combined before each shuffle, so a passage that many documents hold reaches a task once a batch. Positions are
 64-bit; a hash that two different strings of the corpus share by chance would be the only error (for n strings about n * n / 2**65).
@@ -35,6 +37,7 @@ from pyspark.sql import types as T
 from .common import stored
 
 SEED = 32
+PIECE = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _FAR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -71,8 +74,8 @@ def _window_least(x: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def samples(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """name, surroundings' name, first and last string (by start) of each sample of one text."""
+def samples(data: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """name, surroundings' name, place, first and last string (by start) of each sample of one text."""
     n = len(data) - length + 1
     names = names_of(data, SEED)
     least = _window_least(names, length - SEED + 1)
@@ -87,7 +90,26 @@ def samples(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         p = np.minimum(np.maximum(at + begin, low), high - SEED)
         around = _mix(around * _ODD + names[p])
     around = _mix(around * _ODD + names[high - SEED])
-    return names[at], around, first, last
+    return names[at], around, at, first, last
+
+
+def pieces(data: bytes, length: int, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Samples cut in pieces: shared name, covered name, first, last, and the names of all strings in the order of the pieces."""
+    j = first - at - (first - at) % PIECE
+    count = (last - at - j) // PIECE + 1
+    q = np.repeat(at + j, count) + PIECE * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    offset, low, high = q - np.repeat(at, count), np.repeat(first, count), np.repeat(last, count)
+    f, t = np.maximum(q, low), np.minimum(q + PIECE - 1, high)
+    shared = names_of(data, length - PIECE + 1)[q + PIECE - 1]
+    shared = _mix(shared + offset.astype(np.uint64) * _FAR)
+    eight = names_of(data, PIECE)
+    clip = ((f - q) * PIECE + (t - q)) * PIECE * PIECE + np.maximum(-q, 0) * PIECE + np.maximum(q + PIECE - 1 + length - len(data), 0)
+    covered = _mix(shared * _ODD + eight[np.maximum(q, 0)] * _FAR + clip.astype(np.uint64))
+    covered = _mix(covered * _ODD + eight[np.minimum(q + length - 1, len(data) - PIECE)])
+    full = names_of(data, length)
+    size = t - f + 1
+    strings = full[np.repeat(f, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+    return shared, covered, f, t, strings
 
 
 def _data(docs: DataFrame) -> Column:
@@ -96,29 +118,47 @@ def _data(docs: DataFrame) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (bytes), h (a hash of the text that tells rows of one doc_id apart)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _data(docs).alias("text")).withColumn("h", F.xxhash64("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _data(docs).alias("text")).withColumn("h", F.hash("text"))
 
 
-_ROW = [("name", pa.int64()), ("around", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("repeat", pa.bool_())]
-ROW = "name long, around long, doc_id long, h long, first int, last int, repeat boolean"
+ROW = "name long, around long, doc_id long, h int, place long"  # place: first, last and sample, in one number; below 0 for repeats
+PIECES = f"{ROW}, strings array<long>"
 
 
-def _emit(name, around, doc, first, last, docs) -> pa.RecordBatch:
-    """Rows of one batch, given in document order; those that repeat an earlier one are marked, and get a name of chance that spreads them."""
-    name, around, doc, first, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (name, around, doc, first, last))
+def _place(first: np.ndarray, last: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    return (first.astype(np.int64) * length + (last - first)) * length + (at - first)
+
+
+def _columns(length: int) -> list[Column]:
+    """repeat, first, last, at of a row's place."""
+    place = "(CASE WHEN place < 0 THEN -1 - place ELSE place END)"
+    first, rest, at = f"{place} DIV {length * length}", f"{place} DIV {length} % {length}", f"{place} % {length}"
+    return [(F.col("place") < 0).alias("repeat"), F.expr(first).alias("first"), F.expr(f"{first} + {rest}").alias("last"), F.expr(f"{first} + {at}").alias("at")]
+
+
+def _emit(columns: list[list[np.ndarray]], docs: list[tuple], schema: str, strings: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    """Rows of one batch, given in document order; those that repeat an earlier one are marked, and get a name of chance that spreads them.
+
+    columns: name, around, document, place, and the number of strings if there are any.
+    """
+    name, around, doc, place, *size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in columns)
     ids = np.array([d[0] if d[0] is not None else 0 for d in docs] or [0], np.int64)[doc]
     known = np.array([d[0] is not None for d in docs] or [False])[doc]
-    h = np.array([d[1] for d in docs] or [0], np.int64)[doc]
+    h = np.array([d[1] for d in docs] or [0], np.int32)[doc]
     order = np.lexsort((around, name))
     fresh = np.ones(len(name), bool)
     fresh[1:] = (name[order][1:] != name[order][:-1]) | (around[order][1:] != around[order][:-1])
     start = order[np.maximum.accumulate(np.where(fresh, np.arange(len(name)), 0))]
     again = np.zeros(len(name), bool)
-    again[order] = (ids[start] != ids[order]) | (known[start] != known[order]) | (h[start] != h[order]) | (first[start] != first[order])
-    spread = _mix(name.view(np.uint64) + (ids + first).astype(np.uint64) * _ODD).view(np.int64)
-    columns = [np.where(again, spread, name), around, ids, h, first.astype(np.int32), last.astype(np.int32), again]
-    arrays = [pa.array(c, t, mask=~known if n == "doc_id" else None) for c, (n, t) in zip(columns, _ROW)]
-    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in _ROW])
+    again[order] = (ids[start] != ids[order]) | (known[start] != known[order]) | (h[start] != h[order]) | (place[start] != place[order])
+    spread = _mix(name.view(np.uint64) + (ids + place).astype(np.uint64) * _ODD).view(np.int64)
+    arrays = [pa.array(np.where(again, spread, name)), pa.array(around), pa.array(ids, mask=~known), pa.array(h), pa.array(np.where(again, -1 - place, place))]
+    if size:
+        values = np.concatenate(strings) if strings else np.zeros(0, np.int64)
+        keep = np.repeat(~again, size[0])
+        ends = np.cumsum(np.where(again, 0, size[0]))
+        arrays.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values[keep])))
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
 
 
 def _ordered(batch: pa.RecordBatch) -> list[int]:
@@ -126,68 +166,68 @@ def _ordered(batch: pa.RecordBatch) -> list[int]:
     return sorted(range(batch.num_rows), key=lambda i: (ids[i] is not None, ids[i] or 0, h[i]))
 
 
+_BLOCK = 1 << 20
+
+
 def sample_rows(docs: DataFrame, length: int) -> DataFrame:
-    """Step 2: the samples of all texts."""
+    """Step 1: the samples of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            name, around, doc, first, last, docs = [], [], [], [], [], []
+            name, around, doc, place, docs = [], [], [], [], []
             for i in _ordered(batch):
                 doc_id, h, data = (batch.column(c)[i].as_py() for c in ("doc_id", "h", "text"))
                 if len(data) < length:
                     continue
-                for at in range(0, len(data) - length + 1, _BLOCK):  # a block more than its strings need, so that their choices are the same
-                    low, high = max(at - 2 * length, 0), min(at + _BLOCK + 2 * length, len(data))
-                    n, a, f, t = samples(data[low:high], length)
-                    inside = (f + low < min(at + _BLOCK, len(data))) & (t + low >= at)
+                for begin in range(0, len(data) - length + 1, _BLOCK):  # a block more than its strings need, so that their choices are the same
+                    end = min(begin + _BLOCK, len(data))
+                    low, high = max(begin - 2 * length, 0), min(end + 2 * length, len(data))
+                    n, a, at, f, t = samples(data[low:high], length)
+                    inside = (f + low < end) & (t + low >= begin)
                     name.append(n[inside].view(np.int64))
                     around.append(a[inside].view(np.int64))
-                    first.append(f[inside] + low)
-                    last.append(t[inside] + low)
-                    doc.append(np.full(int(inside.sum()), len(docs)))
+                    place.append(_place(f[inside] + low, t[inside] + low, at[inside] + low, length))
+                    doc.append(np.full(len(name[-1]), len(docs)))
                 docs.append((doc_id, h))
-            yield _emit(name, around, doc, first, last, docs)
+            yield _emit([name, around, doc, place], docs, ROW)
 
     return docs.mapInArrow(run, ROW)
 
 
-_BLOCK = 1 << 20
-
-
-def rank_samples(rows: DataFrame) -> DataFrame:
-    """Sorts samples by name and surroundings: doc_id, h, first, last, repeat (true: repeats of an earlier one; false: to be told apart)."""
-    order = ["repeat", "around", F.col("doc_id").asc_nulls_first(), "h", "first"]
-    dealt = rows.repartition("name").sortWithinPartitions("name", *order)
+def rank(rows: DataFrame, length: int) -> DataFrame:
+    """Sorts rows by name and surroundings. Those that repeat an earlier row (`repeat`), and first ones that are to be told apart further."""
+    others = [c for c in rows.columns if c not in ("name", "around", "place")]
+    named = rows.select("name", "around", *_columns(length), *others)
+    order = [F.col("doc_id").asc_nulls_first(), "h", "first"]
+    dealt = named.repartition("name").sortWithinPartitions("name", "repeat", "around", *order)
     group = Window.partitionBy("name", "repeat")
-    place = F.rank().over(Window.partitionBy("name", "repeat", "around").orderBy(*order[2:]))
-    ranked = dealt.withColumn("mixed", F.min("around").over(group) != F.max("around").over(group)).withColumn("place", place)
-    ranked = ranked.withColumn("again", F.col("repeat") | (F.col("place") > 1))
-    return ranked.where("again OR mixed").select("doc_id", "h", "first", "last", F.col("again").alias("repeat"))
+    place = F.rank().over(Window.partitionBy("name", "repeat", "around").orderBy(*order))
+    ranked = dealt.withColumn("mixed", F.min("around").over(group) != F.max("around").over(group)).withColumn("_rank", place)
+    again = F.col("repeat") | (F.col("_rank") > 1)
+    return ranked.where(again | F.col("mixed")).withColumn("repeat", again).drop("name", "around", "mixed", "_rank")
 
 
-def string_rows(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """Step 3: one row for each string in the runs (doc_id, h, runs: array of first, last)."""
+def piece_rows(docs: DataFrame, cut: DataFrame, length: int) -> DataFrame:
+    """Step 2: the pieces of samples (doc_id, h, runs: array of first, last, at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            name, doc, first, docs = [], [], [], []
+            columns, strings, docs = [[], [], [], [], []], [], []
             for i in _ordered(batch):
                 doc_id, h, data, own = (batch.column(c)[i].as_py() for c in ("doc_id", "h", "text", "runs"))
-                own = sorted((r["first"], r["last"]) for r in own)
-                joined: list[list[int]] = []
-                for f, t in own:
-                    if joined and f <= joined[-1][1] + 1:
-                        joined[-1][1] = max(joined[-1][1], t)
-                    else:
-                        joined.append([f, t])
-                for f, t in joined:
-                    name.append(names_of(data[f : t + length], length).view(np.int64))
-                    first.append(np.arange(f, t + 1))
-                    doc.append(np.full(t - f + 1, len(docs)))
+                own = np.array(sorted({(r["first"], r["last"], r["at"]) for r in own}), np.int64)
+                gap = np.r_[True, (own[1:, 0] > own[:-1, 1] + 4096) | (own[1:, 0] // _BLOCK != own[:-1, 0] // _BLOCK)]  # text between is not named
+                for part in np.split(own, np.flatnonzero(gap)[1:]):
+                    low, high = max(int(part[0, 0]) - 2 * length, 0), min(int(part[-1, 1]) + 3 * length, len(data))
+                    shared, covered, f, t, names = pieces(data[low:high], length, part[:, 2] - low, part[:, 0] - low, part[:, 1] - low)
+                    rows = (shared.view(np.int64), covered.view(np.int64), np.full(len(f), len(docs)), _place(f + low, t + low, f + low, length), t - f + 1)
+                    for all_rows, new in zip(columns, rows):
+                        all_rows.append(new)
+                    strings.append(names.view(np.int64))
                 docs.append((doc_id, h))
-            yield _emit(name, [np.zeros(len(x), np.int64) for x in name], doc, first, first, docs)
+            yield _emit(columns, docs, PIECES, strings)
 
-    return _joined(docs, runs).mapInArrow(run, ROW)
+    return _joined(docs, cut).mapInArrow(run, PIECES)
 
 
 def _joined(docs: DataFrame, runs: DataFrame, how: str = "inner") -> DataFrame:
@@ -195,15 +235,24 @@ def _joined(docs: DataFrame, runs: DataFrame, how: str = "inner") -> DataFrame:
     return docs.join(named, docs["doc_id"].eqNullSafe(named["_d"]) & (docs["h"] == named["_h"]), how).drop("_d", "_h")
 
 
+def _grouped(df: DataFrame, *columns: str) -> DataFrame:
+    return df.groupBy("doc_id", "h").agg(F.collect_list(F.struct(*(F.col(c).cast("int").alias(c) for c in columns))).alias("runs"))
+
+
 def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, h, runs (array of first, last): starts of all strings that also start earlier. docs: doc_id, h, text, no whole copies."""
-    ranked = stored(rank_samples(sample_rows(docs, length)), "samples")
-    grouped = lambda df: df.groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    strings = string_rows(docs, grouped(ranked.where("NOT repeat")), length)
-    order = [F.col("doc_id").asc_nulls_first(), "h", "first"]
-    again = strings.withColumn("place", F.rank().over(Window.partitionBy("name", "repeat").orderBy(*order)))
-    again = again.where("repeat OR place > 1").select("doc_id", "h", "first", "last")
-    return grouped(ranked.where("repeat").select("doc_id", "h", "first", "last").unionByName(again))
+    """doc_id, h, runs (array of first, last): starts of all strings that also start earlier. docs: doc_id, h, text (bytes)."""
+    if length < 2 * PIECE or length < SEED:
+        raise ValueError("strings this short are not sampled")
+    first = stored(rank(sample_rows(docs, length), length), "samples")
+    cut = _grouped(first.where("NOT repeat"), "first", "last", "at")
+    second = rank(piece_rows(docs, cut, length), length).withColumn("strings", F.when(~F.col("repeat"), F.col("strings")))
+    second = stored(second, "pieces")
+    each = second.where("NOT repeat").select("doc_id", "h", "first", F.posexplode("strings").alias("i", "name"))
+    each = each.select("doc_id", "h", (F.col("first") + F.col("i")).alias("first"), "name")
+    place = F.rank().over(Window.partitionBy("name").orderBy(F.col("doc_id").asc_nulls_first(), "h", "first"))
+    third = each.withColumn("_rank", place).where("_rank > 1").select("doc_id", "h", "first", F.col("first").alias("last"))
+    found = first.where("repeat").unionByName(second.where("repeat"), allowMissingColumns=True).select("doc_id", "h", "first", "last")
+    return stored(_grouped(found.unionByName(third), "first", "last"), "repeats")
 
 
 def _removed(runs: list[dict] | None, length: int) -> np.ndarray:
@@ -241,7 +290,7 @@ def with_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """`docs` with `__runs`: the starts of its strings that also start earlier, null if there are none. `__h` tells rows of one doc_id apart."""
     each = _keyed(docs)
     runs = repeated_strings(each, length).select(F.col("doc_id").alias("__d"), F.col("h").alias("__g"), F.col("runs").alias("__runs"))
-    keyed = docs.withColumn("__h", F.xxhash64(_data(docs)))
+    keyed = docs.withColumn("__h", F.hash(_data(docs)))
     return keyed.join(runs, keyed["doc_id"].cast("long").eqNullSafe(runs["__d"]) & (keyed["__h"] == runs["__g"]), "left").drop("__d", "__g")
 
 

@@ -66,13 +66,13 @@ def test_same_as_brute_force(spark, letters, block, monkeypatch):
 def test_block_borders_choose_the_same(spark):
     rng = random.Random(5)
     data = "".join(rng.choice("abcd ") for _ in range(3000)).encode()
-    n, a, f, t = suffixes.samples(data, 100)
+    n, a, _, f, t = suffixes.samples(data, 100)
     whole = set(zip(n.tolist(), a.tolist(), f.tolist(), t.tolist()))
     block = 256
     parts = set()
     for at in range(0, len(data) - 99, block):
         low, high = max(at - 200, 0), min(at + block + 200, len(data))
-        n, a, f, t = suffixes.samples(data[low:high], 100)
+        n, a, _, f, t = suffixes.samples(data[low:high], 100)
         inside = (f + low < min(at + block, len(data))) & (t + low >= at)
         parts |= set(zip(n[inside].tolist(), a[inside].tolist(), (f[inside] + low).tolist(), (t[inside] + low).tolist()))
     assert parts == whole
