@@ -59,6 +59,7 @@ SELECT doc_id, concat('file', CAST(doc_id AS STRING), CASE doc_id % 5 WHEN 0 THE
     WHEN 10 THEN 'NOTA   DE\tCRÉDITO CUIT '
     ELSE '' END, text) AS text
 FROM documents""",
+    "doc_source": "SELECT doc_id, text FROM documents",
     "qr_readings": """
 SELECT page_id % 60 AS doc_id, CAST(page_id % 25 + 1 AS INT) AS page, CAST(25 AS INT) AS n_pages, CAST(page_id AS INT) AS image,
   concat(CASE page_id % 16 WHEN 1 THEN 'http' ELSE 'https' END, '://',
@@ -122,6 +123,7 @@ def with_domain(sql: str) -> str:
 
 def domain_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One domain table over the tables in `sf_dir`."""
-    sources = {"accounts": "customer", "messages": "orders", "doc_text": "documents", "qr_readings": "pages", "history": "events", "ocr_pages": "conversations"}
+    sources = {"accounts": "customer", "messages": "orders", "doc_text": "documents", "doc_source": "documents", "qr_readings": "pages", "history": "events", "ocr_pages": "conversations"}
     table = sources.get(name, "lineitem")
-    return spark.sql(domain_sql(name).replace(f"FROM {table}", "FROM {source}"), source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    text = domain_sql(name).replace("{", "{{").replace("}", "}}")
+    return spark.sql(text.replace(f"FROM {table}", "FROM {source}"), source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
