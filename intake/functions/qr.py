@@ -49,7 +49,7 @@ def json_strict(c: Column) -> Column:
 
 
 def token_text(v: Column, key: str) -> Column:
-    """A scalar's text; empty for what is missing, null, an object or an array."""
+    """A scalar's text; empty for what is missing, null, an object or an array. (A number loses zeros behind its point: 1.0 reads as 1.)"""
     token = F.try_variant_get(v, f"$.{key}", "variant")
     kind = F.schema_of_variant(token)
     nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")) | (kind == "VOID")
