@@ -29,6 +29,46 @@ def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents")).select(*columns)
 
 
+_SPACE = "\\x20\\x09-\\x0D"
+_COUNT = {  # characters of each class, by what is left without them
+    "k0": "[a-z]", "k1": "[A-Z]", "k2": "[0-9]", "k3": "[\\x20\\x09\\x0B-\\x0D]", "k4": "\\n", "k5": "[.,;:!?''\"()\\-]",
+    "k6": "[\\x21-\\x7E]", "k7": "[\\x00-\\x08\\x0E-\\x1F\\x7F]", "k8": "[^\\x00-\\x7F]",
+}
+_CLASSES = ", ".join(f"length(x) - length(regexp_replace(x, '{p}', '', 'g'))" + (" - k0 - k1 - k2 - k5" if k == "k6" else "") + f" AS {k}" for k, p in _COUNT.items())
+_TERM = "(CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) / 2 ELSE 0 END + CASE WHEN {1} > 0 THEN {1} * log2(2 * {1} / ({0} + {1})) / 2 ELSE 0 END)"
+OP2_SQL = f"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS x FROM documents),
+    e AS (SELECT *, regexp_extract_all(x, '[^{_SPACE}]+') AS w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^{_SPACE}]')) AS lines FROM d),
+    g AS (SELECT doc_id, i, CASE WHEN i + 4 <= len(w) THEN list_aggregate(w[i:i + 4], 'string_agg', ' ') END AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM e)),
+    h AS (SELECT doc_id, i, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS twice FROM g),
+    r AS (SELECT doc_id, count(*) FILTER (c) AS n FROM (SELECT doc_id, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c FROM h) GROUP BY doc_id),
+    b AS (SELECT e.doc_id, lang, x, w, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS word_chars,
+        length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+        FROM e LEFT JOIN r ON r.doc_id = e.doc_id),
+    l AS (SELECT doc_id, lang, unnest(w) AS word0 FROM b WHERE n_words >= 50),
+    dw AS (SELECT doc_id, lang, translate(word0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word, count(*) AS n FROM l GROUP BY ALL),
+    cw AS (SELECT lang AS ref, word, sum(n) AS n FROM dw WHERE lang <> '' GROUP BY ALL UNION ALL SELECT '', word, sum(n) FROM dw GROUP BY ALL),
+    t AS (SELECT ref, sum(n) AS total FROM cw GROUP BY ref HAVING sum(n) >= 2000),
+    q AS (SELECT cw.ref, word, n / total AS share FROM cw JOIN t ON t.ref = cw.ref WHERE n >= total * 0.001),
+    qo AS (SELECT t.ref, 1 - coalesce(sum(share), 0) AS share FROM t LEFT JOIN q ON q.ref = t.ref GROUP BY t.ref),
+    dc AS (SELECT doc_id, lang, {_CLASSES} FROM b WHERE n_words >= 50),
+    uc AS (UNPIVOT dc ON k0, k1, k2, k3, k4, k5, k6, k7, k8 INTO NAME kind VALUE n),
+    rc AS (SELECT ref, kind, n / sum(n) OVER (PARTITION BY ref) AS share FROM (SELECT lang AS ref, kind, sum(n) AS n FROM uc WHERE lang <> '' GROUP BY ALL UNION ALL SELECT '', kind, sum(n) FROM uc GROUP BY ALL)),
+    pairs AS (SELECT doc_id, b.lang, t.ref, n_words FROM b JOIN t ON true WHERE n_words >= 50),
+    pw AS (SELECT pairs.doc_id, pairs.ref, q.share AS q, coalesce(dw.n, 0) / n_words AS p FROM pairs JOIN q ON q.ref = pairs.ref LEFT JOIN dw ON dw.doc_id = pairs.doc_id AND dw.word = q.word),
+    po AS (SELECT * FROM pw UNION ALL SELECT pairs.doc_id, pairs.ref, qo.share, 1 - coalesce((SELECT sum(p) FROM pw WHERE pw.doc_id = pairs.doc_id AND pw.ref = pairs.ref), 0) FROM pairs JOIN qo ON qo.ref = pairs.ref),
+    wd AS (SELECT doc_id, ref, sqrt(greatest(sum({_TERM.format("greatest(p, 0)", "q")}), 0)) AS far FROM po GROUP BY doc_id, ref),
+    pc AS (SELECT pairs.doc_id, pairs.ref, n / sum(n) OVER (PARTITION BY pairs.doc_id, pairs.ref) AS p, rc.share AS q FROM pairs JOIN uc ON uc.doc_id = pairs.doc_id JOIN rc ON rc.ref = pairs.ref AND rc.kind = uc.kind),
+    cd AS (SELECT doc_id, ref, sqrt(greatest(sum({_TERM.format("p", "q")}), 0)) AS far FROM pc GROUP BY doc_id, ref),
+    own AS (SELECT pairs.doc_id, wd.far AS word_far, cd.far AS class_far, pairs.ref = CASE WHEN pairs.lang IN (SELECT ref FROM t) THEN pairs.lang ELSE '' END AS mine
+        FROM pairs JOIN wd ON wd.doc_id = pairs.doc_id AND wd.ref = pairs.ref JOIN cd ON cd.doc_id = pairs.doc_id AND cd.ref = pairs.ref),
+    v AS (SELECT doc_id, max(word_far) FILTER (mine) AS m, max(class_far) FILTER (mine) AS mc, min(word_far) AS o, arg_min(class_far, word_far) AS oc FROM own GROUP BY doc_id)
+    SELECT b.doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words,
+        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(CASE WHEN m > 0.5 THEN o ELSE m END, 0) <= 0.5 AND coalesce(CASE WHEN m > 0.5 THEN oc ELSE mc END, 0) <= 0.3 AS kept
+    FROM b LEFT JOIN v ON v.doc_id = b.doc_id"""
+
+
 def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -133,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_divergence_rules": OP2_SQL,
     "op6_url_rules": op6_sql(),
     "op7_merged_captures": OP7_SQL,
     "op8_prefix_doubling": OP8_SQL,

@@ -121,3 +121,12 @@ def test_keeping_follows_the_verdicts(spark, judged):
     text = "a b c d e f g h i j k"
     odd = spark.createDataFrame([(None, text, "en"), (4, text, None), (4, "short", "en"), (5, None, "en")], "doc_id long, text string, lang string")
     assert sorted(str(r.doc_id) for r in quality.keep_good(odd).collect()) == ["4", "None"]
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_same_as_sql(spark, sf):
+    from intake.llm.queries import ORACLES
+
+    from .oracle import same_as_sql
+
+    same_as_sql(spark, QUERIES["op2_divergence_rules"], ORACLES["op2_divergence_rules"], sf)
