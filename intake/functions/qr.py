@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values.
@@ -63,7 +63,7 @@ def present(v: Column, key: str) -> Column:
 
 def int_in_range(c: Column, low: int, high: int) -> Column:
     """Digits only: no sign, no blanks."""
-    return c.rlike("^[0-9]+$") & F.coalesce(F.expr("1=1") & c.try_cast("decimal(20,0)").between(low, high), F.lit(False))
+    return c.rlike("^[0-9]+$") & F.coalesce(c.try_cast("decimal(20,0)").between(low, high), F.lit(False))
 
 
 def decimal_at_least(c: Column, low: str) -> Column:
@@ -127,8 +127,6 @@ def page_selected(page: Column, n_pages: Column, cap: int = 20) -> Column:
 def first_valid_qr(readings: DataFrame, max_images: int = 100) -> DataFrame:
     """doc_id, qr_detected, qr_valid, qr_type: the first valid code in page and image order. Only selected pages and the first
     `max_images` images are looked at, and none behind the first valid one, so `qr_detected` speaks of those."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("doc_id").orderBy("page", "image")
     looked = readings.where(page_selected(F.col("page"), F.col("n_pages"))).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= max_images)
     judged = qr_evidence(looked)

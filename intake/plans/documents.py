@@ -12,9 +12,8 @@ from .define import query
 
 V = C.VOCABULARY
 
-_NORM = "trim(regexp_replace(replace(strip_accents(upper(replace(replace({0}, 'ß', chr(57344)), 'ı', chr(57345)))), chr(57344), 'ß'), '[\\s\\p{{Z}}]+', ' ', 'g'))".replace("replace(strip", "replace(replace(strip").replace(
-    "chr(57344), 'ß'), '[", "chr(57344), 'ß'), chr(57345), 'ı'), '["
-)
+_NORM = """trim(regexp_replace(replace(replace(strip_accents(upper(replace(replace({0}, 'ß', chr(57344)), 'ı', chr(57345)))),
+    chr(57344), 'ß'), chr(57345), 'ı'), '[\\s\\p{{Z}}]+', ' ', 'g'))"""
 
 
 def norm_sql(c: str) -> str:
