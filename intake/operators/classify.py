@@ -111,15 +111,20 @@ def document_kind(file_name: Column) -> Column:
     return F.when(ext == ".pdf", "pdf").when(ext.isin(*IMAGE_EXTENSIONS), "image").otherwise("other")
 
 
+def second_pass(first: DataFrame, docs: DataFrame, longest: int = 200_000) -> DataFrame:
+    """doc_id, text of the documents whose first decision is a review and whose heads could be read: both texts, on lines of their own.
+    Only those meet the second pass."""
+    open_ones = first.where("classification = 'REVISAR'").select("doc_id")
+    again = docs.where("success AND header_success").join(open_ones, "doc_id", "left_semi")
+    between = F.when((F.length("text") > 0) & (F.length("header_text") > 0), "\n").otherwise("")
+    return again.select("doc_id", F.substring(F.concat("text", between, "header_text"), 1, longest).alias("text"))
+
+
 def classify_ocr_two_pass(docs: DataFrame, vocabulary: Vocabulary = VOCABULARY, longest: int = 200_000) -> DataFrame:
     """docs: doc_id, success, text, header_success, header_text. A failed first pass is an error; a decision other than review stands;
     else the text of the page heads is added and judged together, unless that pass failed."""
     first = classify_ocr(docs, "text", vocabulary)
-    again = docs.where("success AND header_success")
-    joined = F.concat(F.col("text"), F.when((F.length("text") > 0) & (F.length("header_text") > 0), "\n").otherwise(""), F.col("header_text"))
-    again = again.join(first.where("classification = 'REVISAR'").select("doc_id"), "doc_id", "left_semi")
-    second = classify_ocr(again.select("doc_id", F.substring(joined, 1, longest).alias("_text")), "_text", vocabulary)
-    second = second.select("doc_id", F.struct(*DECISION).alias("_second"))
+    second = classify_ocr(second_pass(first, docs, longest), "text", vocabulary).select("doc_id", F.struct(*DECISION).alias("_second"))
     error = _review("OCR_ERROR", "El OCR no pudo procesar el documento.")
     d = F.when(~F.col("success"), error).otherwise(F.coalesce("_second", F.struct(*DECISION)))
     return _decided(first.join(second, "doc_id", "left").withColumn("_e", d).drop(*DECISION), F.col("_e"), docs.columns)

@@ -316,11 +316,21 @@ def split_missing(t):
     return B.split_missing(B.distinct_ids(t("history")), t("messages"))
 
 
-@query("run_metrics", """SELECT CAST(message % 10 AS BIGINT) AS run_id, count(DISTINCT message) AS found, count(*) FILTER (state <> 'Error') AS analysed, count(*) FILTER (state = 'Descargado' AND hash IS NOT NULL) AS invoices,
-    count(*) FILTER (state = 'Descargado' AND hash IS NULL) AS reviews, count(*) FILTER (state = 'Pendiente') AS discarded, count(*) FILTER (state = 'Error') AS errors FROM attachments GROUP BY 1""")
+@query("run_metrics", """SELECT CAST(message % 10 AS BIGINT) AS run_id, count(DISTINCT message) AS found, count(DISTINCT CASE WHEN message % 4 = 0 THEN message END) AS new_messages,
+    count(*) FILTER (state <> 'Error' AND part_id IS NOT NULL) AS analysed, count(*) FILTER (size_bytes % 5 = 0) AS containers, CAST(sum(size_bytes % 7) AS BIGINT) AS entries,
+    count(*) FILTER (o = 'invoice') AS invoices, count(*) FILTER (o = 'review') AS reviews, count(*) FILTER (o = 'discarded') AS discarded, count(*) FILTER (o = 'existing') AS existing,
+    count(*) FILTER (o = 'error') AS errors, count(*) FILTER (o = 'missing') AS missing, bool_or(message % 10 = 3) AS fallback
+    FROM (SELECT *, CASE WHEN part_id IS NULL AND state <> 'Error' THEN 'missing' WHEN state = 'Error' THEN 'error' WHEN state = 'Pendiente' THEN 'discarded' WHEN hash IS NULL THEN 'review'
+      WHEN path IS NULL THEN 'existing' ELSE 'invoice' END AS o FROM attachments) GROUP BY 1""")
 def run_metrics(t):
-    outcome = F.when(F.col("state") == "Error", "error").when(F.col("state") == "Pendiente", "discarded").when(F.col("hash").isNotNull(), "invoice").otherwise("review")
-    return B.run_metrics(t("attachments").select((F.col("message") % 10).alias("run_id"), "message", outcome.alias("outcome")))
+    state = F.col("state")
+    outcome = (
+        F.when(F.col("part_id").isNull() & (state != "Error"), "missing").when(state == "Error", "error").when(state == "Pendiente", "discarded")
+        .when(F.col("hash").isNull(), "review").when(F.col("path").isNull(), "existing").otherwise("invoice")
+    )
+    rows = t("attachments").select((F.col("message") % 10).alias("run_id"), "message", outcome.alias("outcome"), (F.col("message") % 4 == 0).alias("is_new"),
+        F.when(F.col("size_bytes") % 5 == 0, 1).otherwise(0).alias("n_containers"), (F.col("size_bytes") % 7).alias("n_entries"), (F.col("message") % 10 == 3).alias("fallback"))
+    return B.run_metrics(rows)
 
 
 @query("read_tables", "SELECT id, email, active, has_token FROM accounts WHERE active")

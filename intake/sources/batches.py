@@ -63,12 +63,24 @@ def split_missing(ids: DataFrame, messages: DataFrame) -> DataFrame:
     return ids.join(there, "message_id", "left").select("message_id", F.col("_there").isNotNull().alias("found"))
 
 
+OUTCOMES = ("invoice", "review", "discarded", "existing", "error", "missing")
+
+
 def run_metrics(outcomes: DataFrame) -> DataFrame:
-    """outcomes: run_id, message, outcome (invoice, review, discarded, error). Counters of each run; analysed are all but errors."""
+    """Counters of each run over outcomes: run_id, message, outcome (one of OUTCOMES), and, where they are there, is_new (the message was
+    stored by this run), n_containers, n_entries, fallback. Analysed are parts that were decoded: neither errors nor missing ones.
+    An existing document counts as found and analysed, and as existing. One aggregation, whatever the number of runs."""
     of = lambda k: F.count_if(F.col("outcome") == k)
+    optional = lambda name, default: F.coalesce(F.col(name), default) if name in outcomes.columns else default
     return outcomes.groupBy("run_id").agg(
-        F.count_distinct("message").alias("found"), F.count_if(F.col("outcome") != "error").alias("analysed"),
-        of("invoice").alias("invoices"), of("review").alias("reviews"), of("discarded").alias("discarded"), of("error").alias("errors"),
+        F.count_distinct("message").alias("found"),
+        F.count_distinct(F.when(optional("is_new", F.lit(False)), F.col("message"))).alias("new_messages"),
+        F.count_if(~F.col("outcome").isin("error", "missing")).alias("analysed"),
+        F.sum(optional("n_containers", F.lit(0)).cast("long")).alias("containers"),
+        F.sum(optional("n_entries", F.lit(0)).cast("long")).alias("entries"),
+        of("invoice").alias("invoices"), of("review").alias("reviews"), of("discarded").alias("discarded"),
+        of("existing").alias("existing"), of("error").alias("errors"), of("missing").alias("missing"),
+        F.bool_or(optional("fallback", F.lit(False))).alias("fallback"),
     )
 
 
