@@ -130,10 +130,9 @@ def corpus_counts(docs: DataFrame, min_words: int) -> DataFrame:
 def references(docs: DataFrame, min_words: int = 50, share: float = 0.001, min_reference: int = 2000, languages: int = 64) -> References:
     """What a language looks like. At most (languages + 1) / share words come to the driver."""
     raw = corpus_counts(_columns(docs), min_words)
-    counted = raw.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    counted = stored(raw.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "corpus-counts")
     rolled = counted.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(_POOLED).alias("lang"), "kind", "item", "n")
     both = counted.where(F.col("lang") != _POOLED).unionByName(rolled)
-    both = stored(both, "corpus-counts")
     totals = both.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= min_reference)
     totals = totals.orderBy(F.col("lang") != _POOLED, F.desc("total"), "lang").limit(languages + 1)
     common = both.join(F.broadcast(totals), "lang").where((F.col("kind") == "c") | (F.col("n") >= F.col("total") * share))
