@@ -133,11 +133,12 @@ def op8_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
     WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-    s AS (SELECT doc_id, x, unnest(range(0, greatest(CAST(length(x) // 2 - 99 AS BIGINT), 0))) AS p FROM d),
-    g AS (SELECT doc_id, p, row_number() OVER (PARTITION BY sha256(substr(x, CAST(2 * p + 1 AS INT), 200)) ORDER BY doc_id, p) AS place FROM s),
+    c AS (SELECT doc_id, k, substr(x, CAST(2000 * k + 1 AS INT), 2198) AS y FROM (SELECT doc_id, x, unnest(range(0, (length(x) // 2 + 999) // 1000)) AS k FROM d)),
+    s AS (SELECT doc_id, 1000 * k AS base, y, unnest(range(0, greatest(least(1000, length(y) // 2 - 99), 0))) AS i FROM c),
+    g AS (SELECT doc_id, base + i AS p, row_number() OVER (PARTITION BY sha256(substr(y, CAST(2 * i + 1 AS INT), 200)) ORDER BY doc_id, base + i) AS place FROM s),
     r AS (SELECT doc_id, p, p + 100 AS e, lag(p + 100) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM g WHERE place > 1),
-    i AS (SELECT doc_id, p, e, sum(CASE WHEN before IS NULL OR before < p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM r),
-    m AS (SELECT doc_id, k, min(p) AS a, max(e) AS b FROM i GROUP BY doc_id, k),
+    j AS (SELECT doc_id, p, e, sum(CASE WHEN before IS NULL OR before < p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM r),
+    m AS (SELECT doc_id, k, min(p) AS a, max(e) AS b FROM j GROUP BY doc_id, k),
     o AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS kept_from, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS last FROM m),
     t AS (SELECT d.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
         string_agg(substr(x, CAST(2 * kept_from + 1 AS INT), CAST(2 * (a - kept_from) AS INT)), '' ORDER BY a)
