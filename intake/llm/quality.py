@@ -3,9 +3,8 @@
 The references come from the corpus: for each language a histogram of character classes and one of common words (those that make up
 at least `share` of the language's words, so at most 1 / share of them), both summed over all texts long enough. A document is
 compared with its language by the Jensen-Shannon distance (base 2, 0 to 1) of both histograms, or with the closest language where
-its words do not fit the one of its label. Texts of fewer than `min_words`
-words, and languages whose reference has fewer than `min_reference` words, are not judged by divergence: they say too little.
-The `languages` languages with the most words have references of their own; all others, and null, share the one of all texts.
+its words do not fit the one of its label. Texts of fewer than `min_words` words are not judged by divergence: they say too little.
+Every language of `min_reference` words or more has a reference of its own; the others, and null, share the one of all texts.
 
 Edge cases: a null, empty or blank text has no words and fails the base rules; equal rows get equal results; an empty table gives an
 empty result; other columns are ignored.
@@ -127,14 +126,13 @@ def corpus_counts(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "lang string, kind string, item binary, n long")
 
 
-def references(docs: DataFrame, min_words: int = 50, share: float = 0.001, min_reference: int = 2000, languages: int = 64) -> References:
-    """What a language looks like. At most (languages + 1) / share words come to the driver."""
+def references(docs: DataFrame, min_words: int = 50, share: float = 0.001, min_reference: int = 2000) -> References:
+    """What a language looks like. At most 1 / share words of each come to the driver."""
     raw = corpus_counts(_columns(docs), min_words)
     counted = stored(raw.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "corpus-counts")
     rolled = counted.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(_POOLED).alias("lang"), "kind", "item", "n")
     both = counted.where(F.col("lang") != _POOLED).unionByName(rolled)
     totals = both.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= min_reference)
-    totals = totals.orderBy(F.col("lang") != _POOLED, F.desc("total"), "lang").limit(languages + 1)
     common = both.join(F.broadcast(totals), "lang").where((F.col("kind") == "c") | (F.col("n") >= F.col("total") * share))
     found = References()
     for r in common.orderBy("lang", "kind", "item").collect():

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from intake.llm import quality
@@ -130,3 +132,21 @@ def test_same_as_sql(spark, sf):
     from .oracle import same_as_sql
 
     same_as_sql(spark, QUERIES["op2_divergence_rules"], ORACLES["op2_divergence_rules"], sf)
+
+
+def test_every_language_has_its_reference(spark, tmp_path):
+    from intake.llm.queries import ORACLES
+
+    from .oracle import TABLES, same_as_sql
+
+    for t in TABLES:  # the views of the SQL need the others too
+        if t != "documents":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    rng = random.Random(6)
+    langs = ["en"] * 120 + [f"l{i:02}" for i in range(70)] * 2
+    rows = [(i, " ".join(f"{lang}{rng.randrange(rng.choice([40] * 19 + [10**6]))}" for _ in range(1050)), lang) for i, lang in enumerate(langs)]
+    pq.write_table(pa.table(dict(zip(("doc_id", "text", "lang"), zip(*rows)))), tmp_path / "documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert quality.references(docs).words.keys() == {"", *langs}
+    assert all(r.kept for r in quality.judge(docs).collect())
+    same_as_sql(spark, QUERIES["op2_divergence_rules"], ORACLES["op2_divergence_rules"], str(tmp_path))
