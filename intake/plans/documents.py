@@ -329,6 +329,5 @@ _PDF = f"SELECT doc_id, {_columns(combined_sql(_DECIDED))}, qd AS qr_detected, C
     UNION ALL SELECT d.doc_id, coalesce(x.classification, 'REVISAR'), coalesce(x.method, 'OCR_ERROR'), x.confidence, false, NULL FROM doc_text d LEFT JOIN
       (SELECT a.doc_id, {', '.join(map(_two, C.DECISION[:3]))} FROM ({_FIRST_PASS}) a LEFT JOIN ({_SECOND_PASS}) b ON b.doc_id = a.doc_id) x ON x.doc_id = d.doc_id WHERE {_EXT.replace('file_name', 'd.file_name')} IN {_IMAGES}""")
 def classify_documents(t):
-    """All of it: PDFs by text and code, images by OCR, others by name. (PDFs here all have a text.)"""
-    docs = t("doc_text").where((C.document_kind(F.col("file_name")) != "pdf") | text.useful_page_text(F.col("text")))
-    return C.classify_documents(docs, qr.first_valid_qr(t("qr_readings")), O.ocr_evidence(t("ocr_pages"))).select("doc_id", *C.DECISION[:3], "qr_detected", "qr_type")
+    """All of it: PDFs by text or OCR and then by code, images by OCR, others by name. (The SQL leaves PDFs without useful text out.)"""
+    return C.classify_documents(t("doc_text"), qr.first_valid_qr(t("qr_readings")), O.ocr_evidence(t("ocr_pages"))).select("doc_id", *C.DECISION[:3], "qr_detected", "qr_type")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from intake.functions import display, files, qr, text
 from intake.operators import classify, containers, ledger, mime, ocr, quality, reports
+from intake.plans import documents
 from intake.sources import batches
 from intake.streaming import intake_stream
 
@@ -267,3 +268,14 @@ def test_stream_holds_its_cursor_and_replays(spark, tmp_path):
     land(spark, root, [(7, 5, "p", "h", 1)])
     start(spark, root)
     assert read() == [1, 3, 5, 7]
+
+
+def test_registered_classification_keeps_pdfs_without_text(spark):
+    invoice = "FACTURA A CUIT CAE IVA TOTAL FECHA DE EMISIÓN" + LONG
+    tables = {
+        "doc_text": spark.createDataFrame([(1, "a.pdf", invoice), (2, "b.pdf", "x"), (3, "c.pdf", None), (4, "d.pdf", "")], "doc_id long, file_name string, text string"),
+        "qr_readings": spark.createDataFrame([], "doc_id long, page int, n_pages int, image int, qr_text string"),
+        "ocr_pages": spark.createDataFrame([(2, "full", 1, 100, 100, invoice, 90.0), (4, "full", 1, 5000, 5000, invoice, 90.0)], "doc_id long, pass string, page int, width int, height int, text string, confidence double"),
+    }
+    got = {r.doc_id: (r.classification, r.method) for r in documents.classify_documents(tables.get).collect()}
+    assert got == {1: ("FACTURA", "PDF_TEXTO"), 2: ("FACTURA", "OCR"), 3: ("REVISAR", "OCR_NO_DISPONIBLE"), 4: ("REVISAR", "OCR_LIMITE")}
