@@ -152,7 +152,7 @@ def origin_hash(t):
     substr(regexp_replace(regexp_replace(substr(text, 1, 200), '["<>|:*?/\\\\\\x00-\\x1f]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 120) AS segment, lower(regexp_extract(file_name, '(\\.[^.]+)$', 1)) AS ext FROM doc_text""")
 def safe_values(t):
     return t("doc_text").select("doc_id", files.safe_reason(F.col("text")).alias("reason"), files.safe_original_name(F.col("text")).alias("name"),
-        files.safe_segment(F.substring("text", 1, 200)).alias("segment"), files.safe_extension(files.file_ext(F.col("file_name"))).alias("ext"))
+        files.safe_segment(F.col("text")).alias("segment"), files.safe_extension(files.file_ext(F.col("file_name"))).alias("ext"))
 
 
 _LINE = "trim(replace(replace(text, chr(13), ' '), chr(10), ' '), ' ')"

@@ -279,3 +279,8 @@ def test_registered_classification_keeps_pdfs_without_text(spark):
     }
     got = {r.doc_id: (r.classification, r.method) for r in documents.classify_documents(tables.get).collect()}
     assert got == {1: ("FACTURA", "PDF_TEXTO"), 2: ("FACTURA", "OCR"), 3: ("REVISAR", "OCR_NO_DISPONIBLE"), 4: ("REVISAR", "OCR_LIMITE")}
+
+
+def test_registered_segment_reads_the_whole_text(spark):
+    docs = spark.createDataFrame([(1, ". " * 150 + "kept" * 40, "a.pdf")], "doc_id long, text string, file_name string")
+    assert documents.safe_values({"doc_text": docs}.get).first()["segment"] == "kept" * 30
