@@ -1,43 +1,49 @@
-"""Removal of repeated byte strings by prefix doubling over sampled suffixes.
+"""Removal of repeated byte strings by prefix doubling with Spark's sorts.
 
 A byte goes if a string of `length` bytes that covers it also starts earlier: in a document with a smaller doc_id, or earlier in the
 same one. Matches never cross documents, and all strings are judged on the input.
 
-Prefix doubling names the prefixes of suffixes at growing lengths and names again until a name is unique or long enough. Names here
-are 64-bit hashes of content, so a name at twice the length follows from two names of the half at two offsets of one document, and
-needs no sort; sorts by Spark decide where a name is unique, which ends a suffix, or repeated, which carries it on. Three such sorts
-remain, over longer names of ever fewer suffixes:
+Prefix doubling ranks positions by a short prefix and ranks pairs of (rank, what follows at the next offset) again and again, until a
+rank is unique or the prefix long enough. Here sorts by Spark rank at 32, 66, 93 and 100 bytes; what has a unique rank is never looked
+at again:
 
-1. Names of `SEED` bytes at sampled suffixes. Each string of `length` bytes chooses the least of the names in it (the leftmost of
-   equals); equal strings choose the same one, so no repeat is lost, and neighbouring strings mostly share theirs. A sample is a name, the
-   run of strings that chose it, and a name of all bytes that these may cover. Samples with a unique name end here. Those that have
-   equal surroundings with an earlier sample are repeats as a whole.
-2. First samples of a surrounding whose name also stands in other surroundings are cut in pieces of `PIECE` strings, counted from the
-   sample, with a name of the bytes that all strings of the piece share, and again one of all bytes that they cover.
-3. Strings of full length, for first pieces that step 2 could not tell apart in the same way. Equal names but for the first are repeats.
+1. `SEED` bytes, at sampled positions. Each string of `length` bytes chooses the least of the names in it (the leftmost of equals);
+   equal strings choose the same one, so no repeat is lost, and neighbouring strings mostly share theirs. A row is a position, the run of
+   strings that chose it, and a name of all bytes that these may cover (`around`).
+2. and 3. The strings of a run are cut in parts by their distance from the sample, in two and then in eights: what all strings of a part
+   share grows to two thirds of `length`, and then to all but seven bytes.
+4. Whole strings, ranked by their bytes themselves. All but the first of a rank are repeats.
 
-The rows of a batch are combined before each shuffle, so a passage that many documents hold reaches a task once a batch. Positions are
-64-bit; a hash that two different strings of the corpus share by chance would be the only error (for n strings about n * n / 2**65).
+In rounds 1 to 3 rows that agree in rank and in all bytes around them with an earlier row (two names of 64 bits) are repeats as a whole; first
+ones go on while their rank also stands in other surroundings. Names only decide what needs no further round; single strings are
+equal only if their bytes are.
+
+Skew: the rows of a batch are combined before each sort, so a passage that many documents hold reaches a task once a batch. A rank that
+already has `HOT` surroundings in one batch is known to go on: its rows are dealt by rank and surroundings, and only one of them a batch
+goes where other batches look for that rank. So a task gets less than `HOT` rows a batch of any one rank, however many documents share it.
 
 Edge cases: a null text is empty; texts under `length` bytes lose nothing; rows with one doc_id are ordered by a hash of their text, rows
-equal in both are one document given twice; null doc_ids come first; an empty table gives an empty result; other columns are kept only by `drop_repeats`.
+equal in both are one document given twice; null doc_ids come first; an empty table gives an empty result; very long texts are read in
+blocks; other columns, whatever their names, are kept only by `drop_repeats`.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import stored
 
 SEED = 32
-PIECE = 8
+HOT = 4
+BLOCK = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _FAR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -48,294 +54,393 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def doubled(names: np.ndarray, offset: int) -> np.ndarray:
-    """Names of the prefixes made of a name and the one `offset` further on."""
-    return _mix(names[:-offset] * _ODD + names[offset:] * _FAR) if len(names) > offset else names[:0]
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, and the powers of an odd number and of its inverse modulo 2**64."""
+    letters = _mix(_mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD) + _FAR)
+    up, down = np.full(n, _FAR), np.full(n, np.uint64(pow(int(_FAR), -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return letters, np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+class Names:
+    """Names (64-bit hashes) of any strings of some bytes, from sums over prefixes."""
+
+    def __init__(self, data: np.ndarray):
+        letters, up, down = _powers(1 << max(len(data), 1 << 10).bit_length())
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(letters[data] * up[: len(data)], out=self.sums[1:])
+        self.down = down[: len(data) + 1]
 
+    def all_of(self, size: int) -> np.ndarray:
+        """A name for each string of `size` bytes."""
+        n = max(len(self.sums) - size, 0)
+        return _mix((self.sums[size : size + n] - self.sums[:n]) * self.down[:n])
 
-def names_of(data: bytes, length: int) -> np.ndarray:
-    """A name for each `length`-byte string of `data`, by doubling; the last step overlaps."""
-    names, have = _mix((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * _ODD), 1
-    while have < length:
-        step = min(have, length - have)
-        names, have = doubled(names, step), have + step
-    return names
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _ODD)
 
 
 def _window_least(x: np.ndarray, width: int) -> np.ndarray:
-    """Index of the leftmost least of each `width` neighbours: leasts of doubling widths, with the index in the low bits of order."""
-    at = np.arange(len(x))
+    """Index of the least of each `width` neighbours. The index stands in the low bits, as many in any block, so equal names give the leftmost."""
+    low = np.uint64(20)
+    if len(x) >> 20:
+        raise ValueError("blocks are shorter than a million bytes")
+    least = (x >> low << low) | np.arange(len(x), dtype=np.uint64)
     have = 1
     while have < width:
         step = min(have, width - have)
-        a, b = at[:-step], at[step:]
-        at = np.where(x[b] < x[a], b, a)
+        least = np.minimum(least[:-step], least[step:])
         have += step
-    return at
-
-
-def samples(data: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """name, surroundings' name, place, first and last string (by start) of each sample of one text."""
-    n = len(data) - length + 1
-    names = names_of(data, SEED)
-    least = _window_least(names, length - SEED + 1)
-    cut = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    at, first, last = least[cut], cut, np.r_[cut[1:], n] - 1
-    # the surroundings are the bytes that the sample's strings may cover at most, as seen from the sample, clipped at the text's ends;
-    # two samples with equal ones choose the same strings
-    reach = length - SEED
-    low, high = np.maximum(at - reach, 0), np.minimum(at + length, len(data))
-    around = _mix((at - low).astype(np.uint64) * _FAR + (high - at).astype(np.uint64) * _ODD)
-    for begin in range(-reach, length - SEED + 1, SEED):
-        p = np.minimum(np.maximum(at + begin, low), high - SEED)
-        around = _mix(around * _ODD + names[p])
-    around = _mix(around * _ODD + names[high - SEED])
-    return names[at], around, at, first, last
-
-
-def pieces(data: bytes, length: int, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Samples cut in pieces: shared name, covered name, first, last, and the names of all strings in the order of the pieces."""
-    j = first - at - (first - at) % PIECE
-    count = (last - at - j) // PIECE + 1
-    q = np.repeat(at + j, count) + PIECE * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-    offset, low, high = q - np.repeat(at, count), np.repeat(first, count), np.repeat(last, count)
-    f, t = np.maximum(q, low), np.minimum(q + PIECE - 1, high)
-    shared = names_of(data, length - PIECE + 1)[q + PIECE - 1]
-    shared = _mix(shared + offset.astype(np.uint64) * _FAR)
-    eight = names_of(data, PIECE)
-    clip = ((f - q) * PIECE + (t - q)) * PIECE * PIECE + np.maximum(-q, 0) * PIECE + np.maximum(q + PIECE - 1 + length - len(data), 0)
-    covered = _mix(shared * _ODD + eight[np.maximum(q, 0)] * _FAR + clip.astype(np.uint64))
-    covered = _mix(covered * _ODD + eight[np.minimum(q + length - 1, len(data) - PIECE)])
-    full = names_of(data, length)
-    size = t - f + 1
-    strings = full[np.repeat(f, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-    return shared, covered, f, t, strings
-
-
-def _data(docs: DataFrame) -> Column:
-    return F.coalesce(docs["text"].cast("binary"), F.lit("").cast("binary"))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (bytes), h (a hash of the text that tells rows of one doc_id apart)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _data(docs).alias("text")).withColumn("h", F.hash("text"))
-
-
-ROW = "name long, around long, doc_id long, h int, place long"  # place: first, last and sample, in one number; below 0 for repeats
-PIECES = f"{ROW}, strings array<long>"
+    return (least & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+
+
+@dataclass
+class Batch:
+    """The texts of an Arrow batch as one run of bytes. `rank`: the place of each document in the order of doc_id (nulls first) and h."""
+
+    data: np.ndarray
+    edges: np.ndarray
+    ids: np.ndarray
+    known: np.ndarray
+    h: np.ndarray
+    rank: np.ndarray
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch) -> Batch:
+        data, edges = flat(batch.column("text"))
+        ids, h = batch.column("doc_id"), batch.column("h").to_numpy(zero_copy_only=False)
+        known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        order = np.lexsort((h, ids, known))
+        new = np.ones(len(order), np.int64)
+        if len(order):
+            key = np.c_[known, ids, h][order]
+            new[1:] = (key[1:] != key[:-1]).any(axis=1)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new)
+        return cls(data, edges, ids, known, h, rank)
+
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges, at, "right") - 1
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column behind each other, and where each value begins (and the last one ends)."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    edges = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = column.buffers()[2]
+    data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
+    return data[edges[0] : edges[-1]], edges - edges[0]
+
+
+def samples(batch: Batch, length: int, block: int = BLOCK) -> tuple[np.ndarray, ...]:
+    """name, surroundings' name, place, first and last string (by start) of each sample; places count from the batch's first byte."""
+    reach, found = length - SEED, []
+    n = len(batch.data)
+    for begin in range(0, n, block):
+        # strings that start in the block, and those that the runs of these may reach into; each run counts where it begins
+        low, high = max(begin - length, 0), min(begin + block + length, n)
+        names = Names(batch.data[max(low - reach, 0) : min(high + length + reach, n)])
+        shift = max(low - reach, 0)
+        seeds = names.all_of(SEED)[low - shift : high + length - SEED - shift]
+        starts = np.arange(low, min(high, low + max(len(seeds) - reach, 0)))
+        if not len(starts):
+            continue
+        at = _window_least(seeds, reach + 1)[: len(starts)] + low
+        doc = batch.doc_of(starts)
+        whole = starts + length <= batch.edges[doc + 1]
+        at, starts, doc = at[whole], starts[whole], doc[whole]
+        if not len(starts):
+            continue
+        cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
+        at, first, last, doc = at[cut], starts[cut], starts[np.r_[cut[1:], len(starts)] - 1], doc[cut]
+        own = (first >= begin) & (first < begin + block)
+        at, first, last, doc = at[own], first[own], last[own], doc[own]
+        # surroundings: the bytes that the strings may cover at most, as seen from the sample, clipped at the text's ends;
+        # two samples with equal ones choose the same strings
+        left, right = np.maximum(at - reach, batch.edges[doc]), np.minimum(at + length, batch.edges[doc + 1])
+        around = _mix(names.of(left - shift, right - shift) + (at - left).astype(np.uint64) * _FAR)
+        found.append((seeds[at - low], around, at, first, last, doc))
+    return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
+
+
+def parts(batch: Batch, length: int, width: int, at: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, ...]:
+    """Samples cut in parts of at most `width` strings, by the strings' places before the sample; so all strings of a part share
+    `length + 1 - width` bytes at a fixed place.
+
+    The arguments are sorted by `at`. Name of what a part's strings share, of all that they cover, at, first, last, document.
+    """
+    found = []
+    for begin, end in _stretches(at, first, last, length, block):
+        a, f0, t0, d = at[begin:end], first[begin:end], last[begin:end], doc[begin:end]
+        low, high = max(int(f0.min()) - length, 0), min(int(t0.max()) + 2 * length, len(batch.data))
+        names = Names(batch.data[low:high])
+        near, far = (a - t0) // width, (a - f0) // width
+        count = far - near + 1
+        row = np.repeat(np.arange(len(a)), count)
+        k = near[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        b = a[row]
+        f, t = np.maximum(f0[row], b - (k + 1) * width + 1), np.minimum(t0[row], b - k * width)
+        shared = names.of(b - k * width - low, b - (k + 1) * width + 1 + length - low) + k.astype(np.uint64) * _ODD
+        place = ((b - f) * length + (b - t)).astype(np.uint64) * _FAR
+        found.append((shared, _mix(names.of(f - low, t + length - low) + place), b, f, t, d[row]))
+    return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
+
+
+def _stretches(at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, block: int) -> Iterator[tuple[int, int]]:
+    """Ranges of samples that lie close together: text between them is not named, and no stretch is longer than a block."""
+    if not len(at):
+        return
+    gap = np.flatnonzero((np.diff(at) > 8 * length) | (np.diff(at // block) != 0)) + 1
+    yield from zip(np.r_[0, gap].tolist(), np.r_[gap, len(at)].tolist())
+
+
+#: key deals the rows; kind: 0 a row, 1 the repeat of an earlier row of its batch, 2 a row of a hot name, 3 a hot name's envoy
+ROW = "key long, kind byte, around long, doc_id long, h int, place long"
+_KINDS = [pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
 
 def _place(first: np.ndarray, last: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    return (first.astype(np.int64) * length + (last - first)) * length + (at - first)
+    """first, last and sample in one number; the sample lies at or behind the first string's start."""
+    return (first * length + (last - first)) * length + (at - first)
 
 
 def _columns(length: int) -> list[Column]:
-    """repeat, first, last, at of a row's place."""
-    place = "(CASE WHEN place < 0 THEN -1 - place ELSE place END)"
-    first, rest, at = f"{place} DIV {length * length}", f"{place} DIV {length} % {length}", f"{place} % {length}"
-    return [(F.col("place") < 0).alias("repeat"), F.expr(first).alias("first"), F.expr(f"{first} + {rest}").alias("last"), F.expr(f"{first} + {at}").alias("at")]
-
-
-def _emit(columns: list[list[np.ndarray]], docs: list[tuple], schema: str, strings: list[np.ndarray] | None = None) -> pa.RecordBatch:
-    """Rows of one batch, given in document order; those that repeat an earlier one are marked, and get a name of chance that spreads them.
-
-    columns: name, around, document, place, and the number of strings if there are any.
-    """
-    name, around, doc, place, *size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in columns)
-    ids = np.array([d[0] if d[0] is not None else 0 for d in docs] or [0], np.int64)[doc]
-    known = np.array([d[0] is not None for d in docs] or [False])[doc]
-    h = np.array([d[1] for d in docs] or [0], np.int32)[doc]
-    order = np.lexsort((around, name))
-    fresh = np.ones(len(name), bool)
-    fresh[1:] = (name[order][1:] != name[order][:-1]) | (around[order][1:] != around[order][:-1])
-    start = order[np.maximum.accumulate(np.where(fresh, np.arange(len(name)), 0))]
-    again = np.zeros(len(name), bool)
-    again[order] = (ids[start] != ids[order]) | (known[start] != known[order]) | (h[start] != h[order]) | (place[start] != place[order])
-    spread = _mix(name.view(np.uint64) + (ids + place).astype(np.uint64) * _ODD).view(np.int64)
-    arrays = [pa.array(np.where(again, spread, name)), pa.array(around), pa.array(ids, mask=~known), pa.array(h), pa.array(np.where(again, -1 - place, place))]
-    if size:
-        values = np.concatenate(strings) if strings else np.zeros(0, np.int64)
-        keep = np.repeat(~again, size[0])
-        ends = np.cumsum(np.where(again, 0, size[0]))
-        arrays.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values[keep])))
-    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
+    first, rest, at = f"place DIV {length * length}", f"place DIV {length} % {length}", f"place % {length}"
+    return [F.expr(first).alias("first"), F.expr(f"{first} + {rest}").alias("last"), F.expr(f"{first} + {at}").alias("at")]
+
+
+def emit(batch: Batch, name: np.ndarray, around: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray, length: int) -> pa.RecordBatch:
+    """The rows of one batch: repeats of an earlier row are marked and get a key of chance, rows of hot names are dealt by their surroundings too."""
+    kind, key = np.zeros(len(name), np.int8), name.copy()
+    order = np.argsort(name, kind="stable")
+    same = name[order][1:] == name[order][:-1]
+    several = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
+    base = batch.edges[doc]
+    envoys = np.zeros(0, np.int64)
+    if len(several):
+        several = several[np.lexsort((first[several] - base[several], batch.rank[doc[several]], around[several], name[several]))]
+        new_name = np.r_[True, name[several][1:] != name[several][:-1]]
+        fresh = new_name | np.r_[True, around[several][1:] != around[several][:-1]]
+        head = several[np.maximum.accumulate(np.where(fresh, np.arange(len(several)), 0))]
+        again = (batch.rank[doc[head]] != batch.rank[doc[several]]) | (first[head] - base[head] != first[several] - base[several])
+        kind[several[again]] = 1
+        group = np.cumsum(new_name) - 1
+        hot = np.bincount(group, fresh)[group] >= HOT
+        kind[several[hot & ~again]] = 2
+        envoys = several[hot & new_name]
+        spread = around * _FAR + ((batch.ids[doc] + first).astype(np.uint64) * _ODD) * (kind == 1)
+        key[kind > 0] = _mix(name + spread)[kind > 0]
+    rows = np.r_[np.arange(len(name)), envoys]
+    kind = np.r_[kind, np.full(len(envoys), 3, np.int8)]
+    key = np.r_[key, name[envoys]]
+    d = doc[rows]
+    place = _place(first - base, last - base, at - base, length)[rows]
+    columns = [key.view(np.int64), kind, around.view(np.int64)[rows], (batch.ids[d], ~batch.known[d]), batch.h[d], place]
+    arrays = [pa.array(c[0], k, mask=c[1]) if isinstance(c, tuple) else pa.array(c, k) for c, k in zip(columns, _KINDS)]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in ROW.split(", ")])
+
+
+def _data(text: Column) -> Column:
+    return F.coalesce(text.cast("binary"), F.lit("").cast("binary"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (bytes), h (a hash of the text that tells rows of one doc_id apart)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _data(F.col("text")).alias("text")).withColumn("h", F.hash("text"))
 
 
-def _ordered(batch: pa.RecordBatch) -> list[int]:
-    ids, h = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
-    return sorted(range(batch.num_rows), key=lambda i: (ids[i] is not None, ids[i] or 0, h[i]))
+def sample_rows(docs: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
+    """Round 1: the samples of all texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            batch = Batch.read(got)
+            yield emit(batch, *samples(batch, length, block), length)
 
-_BLOCK = 1 << 20
+    return docs.select("doc_id", "h", "text").mapInArrow(run, ROW)
 
 
-def sample_rows(docs: DataFrame, length: int) -> DataFrame:
-    """Step 1: the samples of all texts."""
+def rank(rows: DataFrame, length: int) -> DataFrame:
+    """Sorts rows by rank and surroundings: doc_id, h, repeat, first, last, at of those that repeat an earlier row, and of first ones to be told apart further."""
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("place")]
+    dealt = rows.repartition("key").sortWithinPartitions("key", F.col("kind") == 3, "around", *order)
+    group = Window.partitionBy("key")
+    mixed = (F.max("kind").over(group) >= 2) | (F.min("around").over(group) != F.max("around").over(group))
+    placed = F.rank().over(Window.partitionBy("key", F.col("kind") == 3, "around").orderBy(*order))
+    ranked = dealt.withColumn("mixed", mixed).withColumn("nth", placed).where("kind <> 3")
+    again = (F.col("kind") == 1) | (F.col("nth") > 1)
+    return ranked.where(again | F.col("mixed")).select("doc_id", "h", again.alias("repeat"), *_columns(length))
+
+
+def runs_of(batch: pa.RecordBatch, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The structs of the list column `runs` as rows of numbers counted from the batch's first byte, and the document of each."""
+    column = batch.column("runs")
+    sizes = np.diff(column.offsets.to_numpy())
+    flat_rows = column.flatten()
+    doc = np.repeat(np.arange(len(column)), sizes)
+    rows = [flat_rows.field(i).to_numpy(zero_copy_only=False).astype(np.int64) + edges[doc] for i in range(flat_rows.type.num_fields)]
+    return np.c_[tuple(rows)] if rows else np.zeros((0, 2), np.int64), doc
+
+
+def part_rows(docs: DataFrame, cut: DataFrame, length: int, width: int, block: int = BLOCK) -> DataFrame:
+    """Rounds 2 and 3: the parts of the samples in `cut` (doc_id, h, runs: array of first, last, at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name, around, doc, place, docs = [], [], [], [], []
-            for i in _ordered(batch):
-                doc_id, h, data = (batch.column(c)[i].as_py() for c in ("doc_id", "h", "text"))
-                if len(data) < length:
-                    continue
-                for begin in range(0, len(data) - length + 1, _BLOCK):  # a block more than its strings need, so that their choices are the same
-                    end = min(begin + _BLOCK, len(data))
-                    low, high = max(begin - 2 * length, 0), min(end + 2 * length, len(data))
-                    n, a, at, f, t = samples(data[low:high], length)
-                    inside = (f + low < end) & (t + low >= begin)
-                    name.append(n[inside].view(np.int64))
-                    around.append(a[inside].view(np.int64))
-                    place.append(_place(f[inside] + low, t[inside] + low, at[inside] + low, length))
-                    doc.append(np.full(len(name[-1]), len(docs)))
-                docs.append((doc_id, h))
-            yield _emit([name, around, doc, place], docs, ROW)
-
-    return docs.mapInArrow(run, ROW)
+        for got in batches:
+            batch = Batch.read(got)
+            rows, doc = runs_of(got, batch.edges)
+            order = np.lexsort((rows[:, 0], rows[:, 2]))
+            rows, doc = rows[order], doc[order]
+            yield emit(batch, *parts(batch, length, width, rows[:, 2], rows[:, 0], rows[:, 1], doc, block), length)
 
+    return _met(docs, cut).select("doc_id", "h", "text", "runs").mapInArrow(run, ROW)
 
-def rank(rows: DataFrame, length: int) -> DataFrame:
-    """Sorts rows by name and surroundings. Those that repeat an earlier row (`repeat`), and first ones that are to be told apart further."""
-    others = [c for c in rows.columns if c not in ("name", "around", "place")]
-    named = rows.select("name", "around", *_columns(length), *others)
-    order = [F.col("doc_id").asc_nulls_first(), "h", "first"]
-    dealt = named.repartition("name").sortWithinPartitions("name", "repeat", "around", *order)
-    group = Window.partitionBy("name", "repeat")
-    place = F.rank().over(Window.partitionBy("name", "repeat", "around").orderBy(*order))
-    ranked = dealt.withColumn("mixed", F.min("around").over(group) != F.max("around").over(group)).withColumn("_rank", place)
-    again = F.col("repeat") | (F.col("_rank") > 1)
-    return ranked.where(again | F.col("mixed")).withColumn("repeat", again).drop("name", "around", "mixed", "_rank")
 
+STRING = "string binary, again boolean, doc_id long, h int, first long"
 
-def piece_rows(docs: DataFrame, cut: DataFrame, length: int) -> DataFrame:
-    """Step 2: the pieces of samples (doc_id, h, runs: array of first, last, at)."""
+
+def string_rows(docs: DataFrame, cut: DataFrame, length: int) -> DataFrame:
+    """Round 4: the single strings of the runs in `cut` with their bytes; those equal to an earlier one of the batch are marked and carry none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns, strings, docs = [[], [], [], [], []], [], []
-            for i in _ordered(batch):
-                doc_id, h, data, own = (batch.column(c)[i].as_py() for c in ("doc_id", "h", "text", "runs"))
-                own = np.array(sorted({(r["first"], r["last"], r["at"]) for r in own}), np.int64)
-                gap = np.r_[True, (own[1:, 0] > own[:-1, 1] + 4096) | (own[1:, 0] // _BLOCK != own[:-1, 0] // _BLOCK)]  # text between is not named
-                for part in np.split(own, np.flatnonzero(gap)[1:]):
-                    low, high = max(int(part[0, 0]) - 2 * length, 0), min(int(part[-1, 1]) + 3 * length, len(data))
-                    shared, covered, f, t, names = pieces(data[low:high], length, part[:, 2] - low, part[:, 0] - low, part[:, 1] - low)
-                    rows = (shared.view(np.int64), covered.view(np.int64), np.full(len(f), len(docs)), _place(f + low, t + low, f + low, length), t - f + 1)
-                    for all_rows, new in zip(columns, rows):
-                        all_rows.append(new)
-                    strings.append(names.view(np.int64))
-                docs.append((doc_id, h))
-            yield _emit(columns, docs, PIECES, strings)
-
-    return _joined(docs, cut).mapInArrow(run, PIECES)
-
-
-def _joined(docs: DataFrame, runs: DataFrame, how: str = "inner") -> DataFrame:
-    named = runs.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "runs")
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["_d"]) & (docs["h"] == named["_h"]), how).drop("_d", "_h")
+        for got in batches:
+            batch = Batch.read(got)
+            rows, doc = runs_of(got, batch.edges)
+            size = rows[:, 1] - rows[:, 0] + 1
+            start = np.repeat(rows[:, 0], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            doc = np.repeat(doc, size)
+            string = np.lib.stride_tricks.sliding_window_view(batch.data, length)[start] if len(start) else np.zeros((0, length), np.uint8)
+            string = np.ascontiguousarray(string).view(np.dtype((np.void, length))).ravel()
+            begin = start - batch.edges[doc]
+            order = np.lexsort((begin, batch.rank[doc]))
+            _, lead, which = np.unique(string[order], return_index=True, return_inverse=True)
+            head = order[lead][which]  # the first of the equal ones, in document order
+            again = np.empty(len(start), bool)
+            again[order] = (batch.rank[doc[head]] != batch.rank[doc[order]]) | (begin[head] != begin[order])
+            kept = string[~again]
+            ends = np.cumsum(np.where(again, 0, length))
+            held = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(kept.tobytes())])
+            arrays = [held, pa.array(again), pa.array(batch.ids[doc], pa.int64(), mask=~batch.known[doc]), pa.array(batch.h[doc], pa.int32()), pa.array(begin, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in STRING.split(", ")])
+
+    return _met(docs, cut).select("doc_id", "h", "text", "runs").mapInArrow(run, STRING)
+
+
+def _met(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    named = runs.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "runs")
+    return docs.join(named, docs["doc_id"].eqNullSafe(named["d"]) & (docs["h"] == named["g"])).drop("d", "g")
 
 
 def _grouped(df: DataFrame, *columns: str) -> DataFrame:
-    return df.groupBy("doc_id", "h").agg(F.collect_list(F.struct(*(F.col(c).cast("int").alias(c) for c in columns))).alias("runs"))
+    return df.groupBy("doc_id", "h").agg(F.collect_set(F.struct(*(F.col(c).cast("int").alias(c) for c in columns))).alias("runs"))
 
 
-def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = 100, block: int = BLOCK) -> DataFrame:
     """doc_id, h, runs (array of first, last): starts of all strings that also start earlier. docs: doc_id, h, text (bytes)."""
-    if length < 2 * PIECE or length < SEED:
+    if length < SEED + 2:
         raise ValueError("strings this short are not sampled")
-    first = stored(rank(sample_rows(docs, length), length), "samples")
-    cut = _grouped(first.where("NOT repeat"), "first", "last", "at")
-    second = rank(piece_rows(docs, cut, length), length).withColumn("strings", F.when(~F.col("repeat"), F.col("strings")))
-    second = stored(second, "pieces")
-    each = second.where("NOT repeat").select("doc_id", "h", "first", F.posexplode("strings").alias("i", "name"))
-    each = each.select("doc_id", "h", (F.col("first") + F.col("i")).alias("first"), "name")
-    place = F.rank().over(Window.partitionBy("name").orderBy(F.col("doc_id").asc_nulls_first(), "h", "first"))
-    third = each.withColumn("_rank", place).where("_rank > 1").select("doc_id", "h", "first", F.col("first").alias("last"))
-    found = first.where("repeat").unionByName(second.where("repeat"), allowMissingColumns=True).select("doc_id", "h", "first", "last")
-    return stored(_grouped(found.unionByName(third), "first", "last"), "repeats")
-
-
-def _removed(runs: list[dict] | None, length: int) -> np.ndarray:
-    """Starts and ends of the maximal removed runs of bytes."""
-    if not runs:
-        return np.zeros((0, 2), np.int64)
-    own = np.array(sorted((r["first"], r["last"] + length) for r in runs), np.int64)
-    ends = np.maximum.accumulate(own[:, 1])
-    fresh = np.r_[True, own[1:, 0] > ends[:-1]]
-    return np.c_[own[fresh, 0], ends[np.r_[np.flatnonzero(fresh)[1:] - 1, len(own) - 1]]]
-
-
-def _without(data: bytes, gone: np.ndarray) -> bytes:
+    left = stored(rank(sample_rows(docs, length, block), length), "samples")
+    repeats = [left]
+    for width in ((length - SEED) // 2 + 1, 8):
+        left = stored(rank(part_rows(docs, _grouped(left.where("NOT repeat"), "first", "last", "at"), length, width, block), length), "parts")
+        repeats.append(left)
+    strings = string_rows(docs, _grouped(left.where("NOT repeat"), "first", "last"), length)
+    # marked ones carry no bytes and are dealt by their document
+    place = F.rank().over(Window.partitionBy("string", F.when(F.col("again"), F.hash("doc_id", "first"))).orderBy(F.col("doc_id").asc_nulls_first(), "h", "first"))
+    third = strings.withColumn("nth", place).where("again OR nth > 1").select("doc_id", "h", "first", F.col("first").alias("last"))
+    found = reduce(DataFrame.unionByName, [*(r.where("repeat").select("doc_id", "h", "first", "last") for r in repeats), third])
+    return stored(_grouped(found, "first", "last"), "repeats")
+
+
+def removed(edges: np.ndarray, rows: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal removed runs of bytes, and their documents. rows: first, last from the batch's first byte."""
+    if not len(rows):
+        return (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    start, end, doc = rows[order, 0], np.maximum.accumulate(rows[order, 1] + length), doc[order]
+    fresh = np.r_[True, (start[1:] > end[:-1]) | (doc[1:] != doc[:-1])]
+    return start[fresh], end[np.r_[np.flatnonzero(fresh)[1:] - 1, len(start) - 1]], doc[fresh]
+
+
+def _without(data: bytes, gone: list[tuple[int, int]]) -> bytes:
     at, parts = 0, []
     for a, b in gone:
         parts.append(data[at:a])
-        at = int(b)
+        at = b
     return b"".join([*parts, data[at:]])
 
 
-def _at_characters(data: bytes, gone: np.ndarray) -> np.ndarray:
+def _at_characters(data: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The runs without characters that they cover in part only."""
     out = []
-    for a, b in gone.tolist():
+    for a, b in gone:
         while a < b and data[a] & 0xC0 == 0x80:
             a += 1
         while b < len(data) and a < b and data[b] & 0xC0 == 0x80:
             b -= 1
         if a < b:
             out.append((a, b))
-    return np.array(out, np.int64).reshape(-1, 2)
+    return out
+
+
+def _cut(length: int, kind: pa.DataType, make: Callable) -> Callable:
+    """make(data, gone) for each text; `gone` are the removed runs of bytes."""
+
+    def run(text: pa.Array, runs: pa.Array) -> pa.Array:
+        _, edges = flat(text)
+        rows, doc = runs_of(pa.RecordBatch.from_arrays([runs], names=["runs"]), edges)
+        start, end, doc = removed(edges, rows, doc, length)
+        bounds = np.searchsorted(doc, np.arange(len(text) + 1))
+        out = []
+        for i in range(len(text)):
+            gone = [(int(a), int(b)) for a, b in zip(start[bounds[i] : bounds[i + 1]] - edges[i], end[bounds[i] : bounds[i + 1]] - edges[i])]
+            out.append(make(text[i].as_py(), gone))
+        return pa.array(out, kind)
 
+    return run
 
-def with_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """`docs` with `__runs`: the starts of its strings that also start earlier, null if there are none. `__h` tells rows of one doc_id apart."""
-    each = _keyed(docs)
-    runs = repeated_strings(each, length).select(F.col("doc_id").alias("__d"), F.col("h").alias("__g"), F.col("runs").alias("__runs"))
-    keyed = docs.withColumn("__h", F.hash(_data(docs)))
-    return keyed.join(runs, keyed["doc_id"].cast("long").eqNullSafe(runs["__d"]) & (keyed["__h"] == runs["__g"]), "left").drop("__d", "__g")
 
+def with_repeats(docs: DataFrame, length: int = 100, block: int = BLOCK) -> DataFrame:
+    """row (all columns of `docs`), data (the text's bytes), runs (starts of its strings that also start earlier, empty if there are none)."""
+    each = keyed(docs)
+    runs = repeated_strings(each, length, block).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "runs")
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    packed = packed.select("row", F.col("row.doc_id").cast("long").alias("id"), _data(F.col("row.text")).alias("data")).withColumn("h", F.hash("data"))
+    met = packed.join(runs, packed["id"].eqNullSafe(runs["d"]) & (packed["h"] == runs["g"]), "left")
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    return met.select("row", "id", "data", F.coalesce("runs", none).alias("runs"))
 
-REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
+DIGEST = pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
-def report(docs: DataFrame, length: int = 100) -> DataFrame:
+
+def report(docs: DataFrame, length: int = 100, block: int = BLOCK) -> DataFrame:
     """What goes of each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("__runs")):
-                data = text.as_py() or b""
-                gone = _removed(runs.as_py(), length)
-                kept = _without(data, gone)
-                rows.append((doc_id, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in REPORT.split(", ")])
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return with_repeats(slim, length).drop("__h").mapInArrow(run, REPORT)
-
-
-def drop_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    def digest(data: bytes, gone: list[tuple[int, int]]) -> dict:
+        kept = _without(data, gone)
+        return {"n_removed": len(data) - len(kept), "n_spans": len(gone), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+
+    measure = F.arrow_udf(_cut(length, DIGEST, digest), "n_removed long, n_spans long, kept_sha256 string")
+    cut = with_repeats(docs.select("doc_id", "text"), length, block).withColumn("d", measure("data", "runs"))
+    return cut.select(F.col("id").alias("doc_id"), F.octet_length("data").cast("long").alias("n_bytes"), "d.n_removed", "d.n_spans", "d.kept_sha256")
+
+
+def drop_repeats(docs: DataFrame, length: int = 100, block: int = BLOCK) -> DataFrame:
     """The documents with repeated strings taken out of `text` (whole characters only) and n_chars counted anew, other columns as they are.
 
     Documents of which nothing is left stay, with an empty text; a null text stays null.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, runs in zip(batch.column("__data"), batch.column("__runs")):
-                data = text.as_py()
-                out.append(None if data is None else _without(data, _at_characters(data, _removed(runs.as_py(), length))).decode("utf-8", "replace"))
-            kept = batch.drop_columns(["__data", "__runs"])
-            yield kept.append_column("__new", pa.array(out, pa.string()))
-
-    runs = with_repeats(docs, length).drop("__h")
-    others = [c for c in docs.columns if c != "text"]
-    moved = runs.select(*others, F.col("text").cast("binary").alias("__data"), "__runs")
-    kinds = T.StructType([*(docs.schema[c] for c in others), T.StructField("__new", T.StringType())])
-    done = moved.mapInArrow(run, kinds).withColumnRenamed("__new", "text")
+    def rest(data: bytes, gone: list[tuple[int, int]]) -> str:
+        return _without(data, _at_characters(data, gone)).decode("utf-8", "replace")
+
+    left = F.arrow_udf(_cut(length, pa.string(), rest), "string")
+    cut = with_repeats(docs, length, block).select("row", F.when(F.col("row.text").isNotNull(), left("data", "runs")).alias("left"))
+    new = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
-    return done.select(docs.columns)
+        new["n_chars"] = F.coalesce(F.length("left").cast(docs.schema["n_chars"].dataType), F.col("row.n_chars"))
+    return cut.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -42,40 +42,66 @@ def corpus(rng, letters):
     return rows
 
 
-@pytest.mark.parametrize("letters", ["abcdefghij é\n", "ab"])
-@pytest.mark.parametrize("block", [1 << 20, 64])
-def test_same_as_brute_force(spark, letters, block, monkeypatch):
-    rng = random.Random(len(letters) + block)
-    rows = [((i * 11) % 101, t, "x") for i, t in enumerate(corpus(rng, letters))]
-    rows += [(None, rows[20][1], "x"), (rows[12][0], rows[12][1], "x")]
-    if block < 1000:  # the functions are sent by name: the workers see the usual block, so the cut is tried here
-        monkeypatch.setattr(suffixes, "_BLOCK", block)
-    docs = spark.createDataFrame(rows, "doc_id long, text string, runs string").repartition(4)
-    want = plain([(d, (t or "").encode()) for d, t, _ in rows], 100)
-    got = suffixes.report(docs).collect()
+def check(spark, rows, schema="doc_id long, text string, runs string", tasks=4, **how):
+    docs = spark.createDataFrame(rows, schema).repartition(tasks)
+    want = plain([(r[0], (r[1] or "").encode()) for r in rows], 100)
+    got = suffixes.report(docs, **how).collect()
     assert len(got) == len(rows)
-    data = {d: (t or "").encode() for d, t, _ in rows}
+    data = {r[0]: (r[1] or "").encode() for r in rows}
     for r in got:
         mask = want[r.doc_id]
         kept = bytes(b for b, m in zip(data[r.doc_id], mask) if not m)
         assert (r.n_bytes, r.n_removed, r.n_spans) == (len(mask), sum(mask), spans(mask)), (r.doc_id, data[r.doc_id])
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+    return docs
+
+
+@pytest.mark.parametrize("letters", ["abcdefghij é\n", "ab"])
+@pytest.mark.parametrize("block", [suffixes.BLOCK, 64])
+def test_same_as_brute_force(spark, letters, block):
+    rng = random.Random(len(letters) + block)
+    rows = [((i * 11) % 101, t, "x") for i, t in enumerate(corpus(rng, letters))]
+    rows += [(None, rows[20][1], "x"), (rows[12][0], rows[12][1], "x")]
+    docs = check(spark, rows, block=block)
     assert suffixes.report(docs.limit(0)).collect() == []
 
 
-def test_block_borders_choose_the_same(spark):
+def test_a_passage_that_very_many_documents_share(spark):
+    """Its edges are hot: every document goes on differently."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    own = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(150)))
+    rows = [(i, own() + passage[rng.choice([0, 0, 3]) : rng.choice([260, 260, 255])] + own(), "x") for i in range(400)]
+    check(spark, rows, tasks=12)
+
+
+def test_a_text_beyond_a_megabyte(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdefgh ", k=1_300_000))
+    inner = long[600_000:600_400]
+    rows = [(1, long, "x"), (2, "start" + inner + "end", "x"), (3, long[1_299_800:] + long[131_000:131_200], "x"), (4, long[:1_100_000] + "!" + inner, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(2)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.report(docs).collect()}
+    assert got == {1: (1_300_000, 0, 0), 2: (408, 400, 1), 3: (400, 400, 1), 4: (1_100_401, 1_100_400, 2)}
+
+
+def samples_of(texts, **how):
+    import pyarrow as pa
+
+    n = len(texts)
+    got = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int32()), pa.array(texts, pa.binary())], names=["doc_id", "h", "text"])
+    name, around, _, first, last, doc = suffixes.samples(suffixes.Batch.read(got), 100, **how)
+    return set(zip(name.tolist(), around.tolist(), first.tolist(), last.tolist(), doc.tolist()))
+
+
+@pytest.mark.parametrize("block", [64, 256, 1000])
+def test_block_borders_choose_the_same(block):
     rng = random.Random(5)
-    data = "".join(rng.choice("abcd ") for _ in range(3000)).encode()
-    n, a, _, f, t = suffixes.samples(data, 100)
-    whole = set(zip(n.tolist(), a.tolist(), f.tolist(), t.tolist()))
-    block = 256
-    parts = set()
-    for at in range(0, len(data) - 99, block):
-        low, high = max(at - 200, 0), min(at + block + 200, len(data))
-        n, a, _, f, t = suffixes.samples(data[low:high], 100)
-        inside = (f + low < min(at + block, len(data))) & (t + low >= at)
-        parts |= set(zip(n[inside].tolist(), a[inside].tolist(), (f[inside] + low).tolist(), (t[inside] + low).tolist()))
-    assert parts == whole
+    texts = ["".join(rng.choice("abcd ") for _ in range(n)).encode() for n in (3000, 0, 99, 100, 731, 40)]
+    whole = samples_of(texts)
+    assert samples_of(texts, block=block) == whole
+    covered = sorted(i for *_, first, last, _ in whole for i in range(first, last + 1))
+    assert len(covered) == len(set(covered)) == sum(max(len(t) - 99, 0) for t in texts)
 
 
 def test_drop_repeats_keeps_whole_characters(spark):
@@ -89,5 +115,14 @@ def test_drop_repeats_keeps_whole_characters(spark):
     assert got[6].text == "zzw" and got[6].n_chars == 3 and got[8].text == "plain"
 
 
+def test_names_of_other_columns_do_not_matter(spark):
+    text = "some words that repeat " * 20
+    names = ["d", "g", "h", "id", "row", "data", "runs", "left", "__d", "__g", "__h", "__data", "__runs", "__new", "first", "key", "kind"]
+    docs = spark.createDataFrame([(i, text, *([i] * len(names))) for i in range(2)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    got = {r.doc_id: r for r in suffixes.drop_repeats(docs).collect()}
+    assert got[1].text == "" and len(got[0].text) < 200 and all(got[1][n] == 1 for n in names)
+    assert suffixes.drop_repeats(docs).columns == docs.columns and suffixes.report(docs).count() == 2
+
+
 def test_same_as_sql(spark):
     same_as_sql(spark, QUERIES["op8_prefix_doubling"], ORACLES["op8_prefix_doubling"])
