@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,15 +62,15 @@ def made(rng):
     return docs, items
 
 
-@pytest.mark.parametrize("block_words", [200_000, 20])
-def test_same_as_brute_force(spark, block_words):
+@pytest.mark.parametrize("filter_bits", [27, 3])
+def test_same_as_brute_force(spark, filter_bits):
     docs, items = made(random.Random(9))
     frame = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, item_id string").repartition(3)
     bench = spark.createDataFrame([(k, t, 1.0) for k, t in items], "item_id long, text string, coverage double")
-    got = tiling.contaminations(frame, bench, seed=3, coverage=0.5, block_words=block_words).collect()
+    got = tiling.contaminations(frame, bench, seed=3, coverage=0.5, filter_bits=filter_bits).collect()
     assert sorted(str((r.doc_id, r.item_id, round(r.coverage, 9), r.n_tiles, r.longest_tile)) for r in got) == plain(docs, items, 3, 0.5)
     bad = {r.doc_id for r in got}
-    clean = tiling.decontaminate(frame, bench, seed=3, coverage=0.5, block_words=block_words)
+    clean = tiling.decontaminate(frame, bench, seed=3, coverage=0.5, filter_bits=filter_bits)
     assert clean.columns == frame.columns
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, _ in docs if d not in bad)
 
@@ -84,6 +85,38 @@ def test_reordered_passages(spark):
     assert tiling.decontaminate(docs, bench.limit(0)).count() == 3
 
 
+def test_a_very_long_text_and_a_seed_of_all_items(spark):
+    rng = random.Random(12)
+    common = "which of the following is"
+    items = [(k, f"{common} " + " ".join(rng.choices("abcdefghij", k=1)[0] + str(rng.randrange(400)) for _ in range(14))) for k in range(40)]
+    filler = [f"z{rng.randrange(1000)}" for _ in range(220_000)]
+    filler[100_000:100_000] = items[3][1].split()[9:]
+    filler[180_000:180_000] = items[3][1].split()[:9] + ["x"] + items[7][1].split()[:6]
+    docs = [(1, " ".join(filler)), (2, common), (3, f"{common} " * 300), (4, items[5][1] + " " + items[6][1])] + [(i, f"{common} {i}") for i in range(5, 200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = tiling.contaminations(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(docs[0][1]) > 1_000_000
+    assert sorted((r.doc_id, r.item_id, r.coverage, r.n_tiles) for r in got) == [(1, 3, 1.0, 2), (4, 5, 1.0, 1), (4, 6, 1.0, 1)]
+
+
+def test_words_are_compared_as_such(monkeypatch):
+    """Equal hashes of unequal words make no tile."""
+    item, text = b"a b c d e f g h", b"a b c d e f g h"
+    assert [m[1] for m in tiling.tile(text, [(1, item)], 3, 0.6)] == [1.0]
+    monkeypatch.setattr(tiling, "running_hash", lambda words, width: np.zeros(max(0, len(words) - width + 1), np.uint64))
+    assert [m[1] for m in tiling.tile(text, [(1, item)], 3, 0.6)] == [1.0]
+    assert list(tiling.tile(b"a c e g b d f h a a", [(1, item)], 3, 0.6)) == []
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    names = ["d", "g", "h", "id", "row", "number", "items", "item", "n", "need", "seed", "item_id"]
+    docs = spark.createDataFrame([(1, "one two three four five six", *([7] * len(names))), (2, "other", *([8] * len(names)))], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    bench = spark.createDataFrame([(5, "One two, three four five", 3)], "item_id long, text string, number long")
+    kept = tiling.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "other", *([8] * len(names)))]
+    assert [tuple(r)[:3] for r in tiling.contaminations(docs, bench).collect()] == [(1, 5, 1.0)]
+
+
 def test_query_finds_all_whole_passages(spark):
     got = {(r.doc_id, r.item_id) for r in QUERIES["op3_string_tiling"](spark, "/root/testdata/sf0.1").collect()}
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
