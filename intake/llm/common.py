@@ -18,9 +18,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Only a local session may leave it unset and gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -50,6 +52,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None, share: int = 1000, salts: int = 64) -> DataFrame:
+    """`rows` joined with `table` on `key`, whatever share of the rows one key holds. how: inner or left.
+
+    Keys with more than 1/`share` of the rows (at most `share` of them, so their list is broadcast) are dealt over `salts` tasks, and the
+    table's rows of those keys go to each of them. counts (key, _n) and total: the rows of each key and of all, where they are known.
+    Give stored tables: they are read twice.
+    """
+    least = max((rows.count() if total is None else total) // share, 10_000)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts
+    hot = counts.where(F.col("_n") > least).select(key, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
+    right = table.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and the text as UTF-8 bytes (null stays null)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))

@@ -1,7 +1,7 @@
 """Connected components of an edge table, as alternating star contractions.
 
 Every round replaces the neighbours of a node by links to their smallest member. The edges live in written tables, nothing is
-collected but one pair of sums per round, and a hub is reduced by a map-side minimum before its rows meet.
+collected but one pair of sums per round. The minimum of a hub is formed map-side, and its links are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread_join, stored
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -17,15 +17,18 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(mixed)).first())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One contraction. edges: u > v, no loops. large: larger neighbours move to the minimum; else smaller ones do."""
     if large:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        met = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = met.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("u", "m"))
+    else:
+        met = edges
+        least = met.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+    joined = spread_join(met, least.drop("_n"), "u", counts=least.select("u", "_n"), total=2 * total)
+    if large:
+        moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(least, "u")
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return moved.where("u > v").distinct()
 
@@ -41,7 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        kept = stored(_star(_star(kept, large=True), large=False), "edges")
+        kept = stored(_star(kept, large=True, total=before[0]), "edges")
+        kept = stored(_star(kept, large=False, total=before[0]), "edges")
         after = _fingerprint(kept)
         if after == before:
             break
