@@ -2,10 +2,14 @@
 
 A text is a set of hashed features: its words (A-Z lower-cased, ASCII marks as spaces), pairs of neighbours, and pairs with one word
 between them. Weights are learned with a rate for each coordinate, and L1 keeps most of them at exactly zero, so the model is a
-short list of buckets that is sent to every task. `shards` tasks learn on a part of the sample each, and a weight is the mean of those of the tasks that have one other than zero.
+short list of buckets that is sent to every task.
 
-The sample is bounded: about `sample` labelled rows, chosen by a hash of their doc_id (Bernoulli with a share of the count), and only
-rows whose crc32 of the doc_id as text leaves a remainder at division by 5. Every text is scored whole.
+The sample is dealt over tasks by its size. In each epoch every task starts from the common state (z, n), learns on its rows in their order,
+and hands back what it added; the sums of what all tasks added are the next state. With one task that is plain FTRL. The state has
+2**bits + 1 coordinates, whatever the input.
+
+The sample is bounded: about `sample` labelled rows and `sample_bytes` bytes of text, chosen by a hash of their doc_id (Bernoulli with a
+share of the count), and only rows whose crc32 of the doc_id as text leaves a remainder at division by 5. Every text is scored whole.
 
 Edge cases: a null or empty text has no feature and the score of the bias; a doc_id with several labels is toxic if one of them says so;
 labels without a document, null labels and null doc_ids teach nothing; without any label all scores are 0.5 of a zero model; repeated
@@ -19,12 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import stored, text_bytes
 
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -79,33 +82,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, shards: int = 1, bits: int = 20, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1) -> Model:
-    """The model of a bounded sample of labelled rows that are not held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int) -> tuple[DataFrame, int]:
+    """doc_id, text, toxic of the bounded sample, and about how many bytes of text it has."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
-    share = min(1.0, sample / max(1, known.count()))
+    texts = text_bytes(docs)
+    size = texts.select("doc_id", F.octet_length("text").cast("long").alias("size")).join(known, "doc_id").agg(F.count(F.lit(1)), F.sum("size")).first()
+    rows, total = size[0], size[1] or 0
+    share = min(1.0, sample / max(1, rows), sample_bytes / max(1, total))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = text_bytes(docs).join(F.broadcast(chosen), "doc_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(np.unique(features(t, bits)).astype(np.int32), y) for pdf in frames for t, y in zip(pdf["text"], pdf["toxic"])]
-        model = Ftrl(bits, alpha, beta, l1, l2)
-        for _ in range(epochs):
-            for x, y in rows:
-                model.learn(x, y)
-        if rows:
-            at = np.arange(len(model.z))
-            w = model.weights(at)
-            at = np.flatnonzero((w != 0) | (at == len(at) - 1))
-            yield pd.DataFrame({"bucket": at, "weight": w[at]})
-
-    order = F.xxhash64("doc_id", F.lit(1))
-    learned = texts.repartition(shards, order).sortWithinPartitions(order, F.xxhash64("text")).mapInPandas(run, "bucket long, weight double")
-    rows = learned.groupBy("bucket").agg(F.avg("weight").alias("weight")).orderBy("bucket").collect()  # at most 2**bits + 1
-    found = np.array([r["bucket"] for r in rows], np.int64)
-    mean = np.array([r["weight"] for r in rows], float)
-    inner = found < 1 << bits
-    return Model(found[inner], mean[inner].astype(np.float32), float(mean[~inner].sum()), bits)
+    return texts.join(chosen, "doc_id"), int(share * total)
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, sample: int = 20_000, sample_bytes: int = 64 << 20, task_bytes: int = 12 << 20, bits: int = 20, epochs: int = 10,
+    alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1,
+) -> Model:
+    """The model of a bounded sample of labelled rows that are not held out, learned by a task for about `task_bytes` of text."""
+    texts, size = labelled_sample(docs, labels, sample, sample_bytes)
+    tasks = max(1, -(-size // task_bytes))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(features(t.as_py(), bits)).astype(np.int32) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("task"), batch.column("turn"), pa.array(held, pa.list_(pa.int32())), batch.column("toxic")], names=["task", "turn", "buckets", "toxic"])
+
+    turn = F.xxhash64("doc_id", F.lit(1), "text")
+    dealt = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(tasks)).cast("int").alias("task"), turn.alias("turn"), "text", "toxic")
+    rows = stored(dealt.mapInArrow(sets, "task int, turn long, buckets array<int>, toxic int"), "features")
+    state = Ftrl(bits, alpha, beta, l1, l2)
+    for _ in range(epochs):
+        z, n = state.z.astype(np.float64), state.n.astype(np.float64)
+
+        def epoch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Ftrl(bits, alpha, beta, l1, l2)
+            own.z, own.n = z.copy(), n.copy()
+            for batch in batches:
+                for buckets, toxic in zip(batch.column("buckets"), batch.column("toxic").to_pylist()):
+                    own.learn(buckets.values.to_numpy(), toxic)
+            at = np.flatnonzero((own.n != n) | (own.z != z))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.z[at] - z[at]), pa.array(own.n[at] - n[at])], names=["at", "z", "n"])
+
+        steps = rows.repartition(tasks, "task").sortWithinPartitions("task", "turn").select("buckets", "toxic").mapInArrow(epoch, "at long, z double, n double")
+        added = steps.groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()  # at most 2**bits + 1 rows
+        at = added.column("at").to_numpy()
+        state.z[at] += added.column("z").to_numpy()
+        state.n[at] += added.column("n").to_numpy()
+    at = np.arange(len(state.z))
+    w = state.weights(at)
+    found = np.flatnonzero(w[:-1])
+    return Model(found, w[found].astype(np.float32), float(w[-1]), bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -131,5 +157,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that the model does not call toxic."""
-    gone = score(docs, model).where("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(docs.columns)
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    gone = score(docs, model).where("predicted = 1").select(F.col("doc_id").alias("gone")).distinct()
+    kept = packed.join(gone, packed["id"].eqNullSafe(gone["gone"]), "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -28,7 +29,8 @@ def test_held_out_accuracy(spark):
     assert area([r.score for r, _ in rows], [y for _, y in rows]) > 0.96
     hit = sum(r.predicted and y for r, y in rows)
     print("precision", hit / sum(r.predicted for r, _ in rows), "recall", hit / sum(y for _, y in rows), "area", area([r.score for r, _ in rows], [y for _, y in rows]))
-    assert hit / sum(r.predicted for r, _ in rows) > 0.9 and hit / sum(y for _, y in rows) > 0.7
+    # 10 of the 97 toxic texts here hold none of the words that mark toxic rows: 0.90 is the most that a reader of texts can reach
+    assert hit / sum(r.predicted for r, _ in rows) > 0.95 and hit / sum(y for _, y in rows) > 0.82
 
 
 def test_the_model_is_sparse_and_stable(spark):
@@ -53,6 +55,48 @@ def test_ftrl_step_by_hand():
     assert w.tolist() == pytest.approx([0, 0.3 / (1.5 / 0.5 + 0.1), 0.5 / (1.5 / 0.5 + 0.1)])
 
 
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2):
+    """Textbook FTRL over dictionaries. rows: sets of buckets, label, in the order they are learned."""
+    z, n = {}, {}
+
+    def weight(i):
+        pull = 0.0 if i == "bias" else l1
+        s = z.get(i, 0.0)
+        return 0.0 if abs(s) <= pull else -(s - math.copysign(pull, s)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in [*x, "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, own in w.items():
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * own
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i) != 0.0}
+
+
+def test_weights_are_those_of_plain_ftrl(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    turns = docs.select("doc_id", "text", F.xxhash64("doc_id", F.lit(1), F.col("text").cast("binary")).alias("turn")).orderBy("turn").collect()
+    rows = [(set(toxicity.features((r.text or "").encode(), 20).tolist()), toxic[r.doc_id]) for r in turns if r.doc_id in toxic]
+    model = toxicity.train(docs, labels, epochs=3)
+    want = plain_ftrl(rows, 3, 3.0, 1.0, 8.0, 0.1)
+    bias = want.pop("bias")
+    assert want.keys() == set(model.buckets.tolist()) and len(want) > 20
+    assert [want[b] for b in model.buckets.tolist()] == pytest.approx(model.weights.tolist(), rel=1e-5) and model.bias == pytest.approx(bias)
+
+
+def test_several_tasks_and_a_bound_in_bytes(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.train(docs, labels, task_bytes=2 << 20)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    rows = [(got[r.doc_id], r.toxic) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out]
+    assert sum(r.predicted and y for r, y in rows) / sum(y for _, y in rows) > 0.8 < sum(r.predicted and y for r, y in rows) / sum(r.predicted for r, _ in rows)
+    some, size = toxicity.labelled_sample(docs, labels, 10**9, 1 << 20)
+    assert size <= 1 << 20 and 100 < some.count() < 1500 and some.agg(F.sum(F.octet_length("text"))).first()[0] < 2 << 20
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "bad idiot", 0.1), (2, None, 0.1), (3, "", 0.1), (None, "x", 0.1), (1, "bad idiot", 0.1), (7, "w " * 20000, 0.1)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 0, 1), (1, 0, 1), (2, 0, None), (None, 0, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")
