@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What is shown where nothing is stored.
 NO_SUBJECT = "(Sin asunto)"
 NO_SNIPPET = "Sin resumen disponible"
 

@@ -14,6 +14,8 @@ MIMES = {
     ".pdf": "application/pdf", ".zip": "application/zip", ".rar": "application/vnd.rar", ".jpg": "image/jpeg", ".jpeg": "image/jpeg",
     ".png": "image/png", ".bmp": "image/bmp", ".tif": "image/tiff", ".tiff": "image/tiff", ".7z": "application/x-7z-compressed",
 }
+#: Stand-ins for what is missing.
+NO_REASON, NO_NAME = "Error de contenedor", "documento"
 RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
 INVALID = r'["<>|:*?/\\\x00-\x1f]'
 
@@ -64,11 +66,11 @@ def origin_hash(content: Column, chain: Column | None = None) -> Column:
 
 
 def safe_reason(c: Column) -> Column:
-    return F.substring(F.translate(F.coalesce(c, F.lit("Error de contenedor")), "\r\n", "  "), 1, 300)
+    return F.substring(F.translate(F.coalesce(c, F.lit(NO_REASON)), "\r\n", "  "), 1, 300)
 
 
 def safe_original_name(c: Column) -> Column:
-    return F.substring(F.when(F.coalesce(F.trim(F.regexp_replace(c, r"\s", " ")), F.lit("")) == "", "documento").otherwise(c), 1, 500)
+    return F.substring(F.when(F.coalesce(F.trim(F.regexp_replace(c, r"\s", " ")), F.lit("")) == "", NO_NAME).otherwise(c), 1, 500)
 
 
 def safe_segment(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,18 @@ from pyspark.sql import functions as F
 HOSTS = ("arca.gob.ar", "www.arca.gob.ar", "afip.gob.ar", "www.afip.gob.ar")
 
 
-def qr_url_ok(c: Column) -> Column:
-    """https, one of the hosts (its default port may be written, a user may not), the path, no fragment, 12,000 characters at most."""
-    part = lambda name: F.try_parse_url(c, F.lit(name))
+#: Where a URL's parts stand once it is parsed.
+PARTS = {name: f"_url_{name.lower()}" for name in ("PROTOCOL", "AUTHORITY", "PATH", "REF", "QUERY")}
+
+
+def url_part(c: Column) -> Callable[[str], Column]:
+    return lambda name: F.try_parse_url(c, F.lit(name))
+
+
+def qr_url_ok(c: Column, part: Callable[[str], Column] | None = None) -> Column:
+    """https, one of the hosts (its default port may be written, a user may not), the path, no fragment, 12,000 characters at most.
+    `part` gives parts that were parsed before."""
+    part = part or url_part(c)
     host = F.regexp_replace(F.lower(part("AUTHORITY")), ":443$", "")
     fits = (F.length(c) <= 12_000) & (F.lower(part("PROTOCOL")) == "https") & host.isin(*HOSTS) & (F.lower(part("PATH")) == "/fe/qr/")
     return F.coalesce(fits, F.lit(False)) & (F.coalesce(part("REF"), F.lit("")) == "")
@@ -22,9 +33,9 @@ def percent_decode(c: Column) -> Column:
     return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
-def qr_query_payload(c: Column) -> Column:
+def qr_query_payload(c: Column, part: Callable[[str], Column] | None = None) -> Column:
     """The value of `p`, if it is the query's one parameter, is not blank and has 10,000 characters at most; else NULL."""
-    parts = F.filter(F.split(F.try_parse_url(c, F.lit("QUERY")), "&"), lambda x: x != "")
+    parts = F.filter(F.split((part or url_part(c))("QUERY"), "&"), lambda x: x != "")
     only = F.when(F.size(parts) == 1, F.get(parts, F.lit(0)))
     key, value = percent_decode(F.substring_index(only, "=", 1)), percent_decode(F.regexp_replace(only, "(?s)^[^=]*=", ""))
     return F.when(F.contains(only, F.lit("=")) & (key == "p") & (F.trim(value) != "") & (F.length(value) <= 10_000), value)
@@ -42,9 +53,8 @@ def strict_utf8(data: Column) -> Column:
     return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string"))
 
 
-def json_strict(c: Column) -> Column:
-    """A JSON object as a variant; NULL for other values, broken texts and repeated keys."""
-    v = F.try_parse_json(c)
+def json_strict(v: Column) -> Column:
+    """A parsed JSON value if it is an object; NULL for other values. (Broken texts and repeated keys do not parse.)"""
     return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
 
 
@@ -87,18 +97,24 @@ def auth_ok(c: Column) -> Column:
     return c.isin("A", "E")
 
 
-def receiver_ok(v: Column) -> Column:
+def receiver_ok(v: Column, token: Callable[[str], Column] | None = None) -> Column:
     """Receiver type and number: both missing, or both good. A JSON null is there, and so is not good."""
+    token = token or (lambda key: token_text(v, key))
     kind, number = present(v, "tipoDocRec"), present(v, "nroDocRec")
-    return (~kind & ~number) | (kind & number & int_in_range(token_text(v, "tipoDocRec"), 0, 99) & digits(token_text(v, "nroDocRec"), 1, 20))
+    return (~kind & ~number) | (kind & number & int_in_range(token("tipoDocRec"), 0, 99) & digits(token("nroDocRec"), 1, 20))
 
 
-def qr_payload_ok(v: Column) -> Column:
-    t = lambda key: token_text(v, key)
+#: The keys that are read as texts.
+TOKENS = ("ver", "fecha", "cuit", "ptoVta", "tipoCmp", "nroCmp", "importe", "moneda", "ctz", "tipoCodAut", "codAut", "tipoDocRec", "nroDocRec")
+
+
+def qr_payload_ok(v: Column, token: Callable[[str], Column] | None = None) -> Column:
+    """All checks of a payload. `token` gives texts that were read before."""
+    t = token or (lambda key: token_text(v, key))
     checks = (
         int_in_range(t("ver"), 1, 1), exact_date(t("fecha")), digits(t("cuit"), 11, 11), int_in_range(t("ptoVta"), 1, 99_999), int_in_range(t("tipoCmp"), 1, 999),
         int_in_range(t("nroCmp"), 1, 99_999_999), decimal_at_least(t("importe"), "0"), currency_ok(t("moneda")), decimal_at_least(t("ctz"), "0.0000000001"),
-        auth_ok(t("tipoCodAut")), digits(t("codAut"), 14, 14), receiver_ok(v),
+        auth_ok(t("tipoCodAut")), digits(t("codAut"), 14, 14), receiver_ok(v, t),
     )
     out = F.lit(True)
     for check in checks:
@@ -106,17 +122,20 @@ def qr_payload_ok(v: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def qr_payload(c: Column) -> Column:
-    """The JSON object of a code's text, NULL where a gate fails."""
-    return F.when(qr_url_ok(c), json_strict(strict_utf8(base64url_lenient(qr_query_payload(c)))))
-
-
 def qr_evidence(readings: DataFrame, text: str = "qr_text") -> DataFrame:
-    """`readings` with qr_detected, qr_valid and qr_type (valid codes only)."""
-    parsed = readings.withColumn("_json", qr_payload(F.col(text)))
-    valid = parsed.withColumn("qr_valid", F.col("_json").isNotNull() & qr_payload_ok(F.col("_json")))
-    kind = F.when(F.col("qr_valid"), token_text(F.col("_json"), "tipoCmp").try_cast("int"))
-    return valid.withColumns({"qr_detected": F.col(text).isNotNull(), "qr_type": kind}).drop("_json")
+    """`readings` with qr_detected, qr_valid and qr_type (valid codes only). The URL is parsed once, then its payload is decoded once, then
+    each key is read once; every step reads the columns of the one before."""
+    c = F.col(text)
+    parsed = readings.withColumns({column: url_part(c)(name) for name, column in PARTS.items()})
+    part = lambda name: F.col(PARTS[name])
+    decoded = parsed.withColumn("_payload", F.when(qr_url_ok(c, part), qr_query_payload(c, part)))
+    decoded = decoded.withColumn("_data", base64url_lenient(F.col("_payload"))).withColumn("_object", F.try_parse_json(strict_utf8(F.col("_data"))))
+    decoded = decoded.withColumn("_json", json_strict(F.col("_object")))
+    read = decoded.withColumns({f"_token_{key}": token_text(F.col("_json"), key) for key in TOKENS})
+    token = lambda key: F.col(f"_token_{key}")
+    valid = read.withColumn("qr_valid", F.col("_json").isNotNull() & qr_payload_ok(F.col("_json"), token))
+    kind = F.when(F.col("qr_valid"), token("tipoCmp").try_cast("int"))
+    return valid.withColumns({"qr_detected": c.isNotNull(), "qr_type": kind}).select(*readings.columns, "qr_valid", "qr_detected", "qr_type")
 
 
 def page_selected(page: Column, n_pages: Column, cap: int = 20) -> Column:

@@ -87,13 +87,14 @@ def useful_ocr_text(c: Column) -> Column:
 
 #: Fixed values.
 REDACT_URL = r"(?i)https?://\S+"
+URL_LEFT_OUT = "[URL omitida]"
 REDACT_SECRET = r"(?i)(client[_ ]?secret|access[_ ]?token|refresh[_ ]?token|authorization[_ ]?code|code|token)\s*[:=]\s*[^\s,;]+"
 
 
 def redact(c: Column, longest: int = 500) -> Column:
     """One line, without URLs and secrets, cut with an ellipsis."""
     line = F.trim(F.translate(F.coalesce(c, F.lit("")), "\r\n", "  "))
-    safe = F.regexp_replace(F.regexp_replace(line, REDACT_URL, "[URL omitida]"), REDACT_SECRET, "$1=[REDACTADO]")
+    safe = F.regexp_replace(F.regexp_replace(line, REDACT_URL, URL_LEFT_OUT), REDACT_SECRET, "$1=[REDACTADO]")
     return F.when(F.length(safe) > longest, F.concat(F.substring(safe, 1, longest), F.lit("..."))).otherwise(safe)
 
 

@@ -68,18 +68,24 @@ def with_path_collision(entries: DataFrame) -> DataFrame:
 
 
 def with_failure(entries: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """`failure`: the first check that an entry does not pass, NULL if it passes all."""
+    """`failure`: the first check that an entry does not pass, NULL if it passes all. The chain of an entry begins with `root_name`, the
+    container's own name or chain, where the entries have that column."""
     e = with_path_collision(with_running_budget(entries))
+    root = F.coalesce("root_name", F.lit("")) if "root_name" in entries.columns else F.lit("")
     file, key = ~F.col("is_directory"), F.coalesce("entry_key", F.lit(""))
     linked = F.coalesce(F.col("link_target"), F.lit("")) != ""
+    # an entry is read block by block: the limit that an earlier block crosses counts, and in one block the entry's own
+    left = limits.total_bytes - (F.col("bytes_seen") - F.col("entry_bytes"))
+    entry_first = F.lit(limits.entry_bytes // limits.read_bytes) <= F.floor(left / F.lit(limits.read_bytes))
     failure = (
         F.when(F.col("n_seen") > limits.entries, "entries")
         .when(file & (F.col("is_encrypted") | linked), "unsupported")
         .when(file & ((F.trim(key) == "") | key.rlike(r"^[/\\]") | F.contains(key, F.lit(":"))), "path")
         .when(file & (_levels(key) < 0), "traversal")
         .when(F.col("collides"), "collision")
-        .when(file & (F.col("entry_bytes") > limits.entry_bytes), "entry_bytes")
+        .when(file & (F.col("entry_bytes") > limits.entry_bytes) & entry_first, "entry_bytes")
         .when(file & (F.col("bytes_seen") > limits.total_bytes), "total_bytes")
+        .when(file & (F.length(container_chain(root, key)) > limits.chain), "chain")
     )
     return e.withColumn("failure", failure)
 
@@ -111,8 +117,11 @@ def apply_nested_policy(entries: DataFrame, limits: Limits = LIMITS) -> DataFram
     """Trees of containers: entries with container_id, child_id (the container that an entry is, else NULL) and the root's `root_name`.
 
     A fold in reading order with one budget for the tree, never given back. Gives accepted entries and one row with the failure for
-    each refused container. A tree has `limits.entries` entries that count; the fold stops where they are spent.
+    each refused container. A tree has `limits.entries` entries that count; the fold stops where they are spent, and no container can
+    spend more, so entries beyond the next one of each container never reach the fold.
     """
+    place = F.row_number().over(Window.partitionBy("root_id", "container_id").orderBy("ordinal"))
+    entries = entries.withColumn("_place", place).where(F.col("_place") <= limits.entries + 1).drop("_place")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         by = {k: g.sort_values("ordinal").to_dict("records") for k, g in pdf.groupby("container_id")}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,10 +14,20 @@ from ..functions.files import date_path, file_ext, file_stem, safe_extension, sa
 LEDGER_KEY = ("message", "part_id", "origin_hash")
 
 
+def _known(target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys of `target` as `_k0`, `_k1`, ..., once each."""
+    return target.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).distinct()
+
+
+def _same_key(source: DataFrame, keys: Sequence[str]) -> Column:
+    """A NULL in a key equals a NULL: a row that was written once is found again."""
+    return reduce(and_, (source[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+
+
 def exists_flag(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`source` with `present`: whether its key is in `target`."""
-    known = target.select(*keys).distinct().withColumn("_there", F.lit(True))
-    return source.join(known, list(keys), "left").withColumn("present", F.col("_there").isNotNull()).drop("_there")
+    """`source` with `present`: whether its key is in `target`. NULLs in keys are equal."""
+    known = _known(target, keys).withColumn("_there", F.lit(True))
+    return source.join(known, _same_key(source, keys), "left").withColumn("present", F.col("_there").isNotNull()).select(*source.columns, "present")
 
 
 def first_of_key(source: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -25,17 +37,21 @@ def first_of_key(source: DataFrame, keys: Sequence[str], order: Sequence[str]) -
 
 
 def insert_if_absent(target: DataFrame, source: DataFrame, keys: Sequence[str] = LEDGER_KEY, order: Sequence[str] = ("id",)) -> tuple[DataFrame, DataFrame]:
-    """(new, existing): rows to append, first of each key of the batch, and rows of `source` whose key is there already."""
-    new = first_of_key(source.join(target.select(*keys).distinct(), list(keys), "left_anti"), keys, order)
-    return new, source.join(target.select(*keys).distinct(), list(keys), "left_semi")
+    """(new, existing): rows to append, first of each key of the batch, and rows of `source` whose key is there already. NULLs in keys are equal."""
+    known, same = _known(target, keys), _same_key(source, keys)
+    return first_of_key(source.join(known, same, "left_anti"), keys, order), source.join(known, same, "left_semi")
+
+
+def natural_key(keys: Sequence[str]) -> Column:
+    """A text that is one key's only: each part with its length before it, `-` for NULL."""
+    texts = (F.col(k).cast("string") for k in keys)
+    return F.concat(*(F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts))
 
 
 def ensure_keys(target: DataFrame, source: DataFrame, keys: Sequence[str], key_id: str = "key_id") -> DataFrame:
     """Get or create: each key of `source` with `key_id`, a hash of the key (no global counter), and `created`."""
-    natural = F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in keys)), 256)
-    asked = source.select(*keys).distinct()
-    known = target.select(*keys).distinct().withColumn("_there", F.lit(True))
-    return asked.join(known, list(keys), "left").select(*keys, natural.alias(key_id), F.col("_there").isNull().alias("created"))
+    asked = exists_flag(target, source.select(*keys).distinct(), keys)
+    return asked.select(*keys, F.sha2(natural_key(keys), 256).alias(key_id), (~F.col("present")).alias("created"))
 
 
 def messages_to_store(messages: DataFrame, candidates: DataFrame) -> DataFrame:

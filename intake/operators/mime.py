@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
+#: Fixed values.
 NO_SENDER = "Remitente no disponible"
 
 
@@ -44,21 +49,30 @@ def _part_id(v: Column, path: Column) -> Column:
     return F.when(F.coalesce(F.trim(own), F.lit("")) != "", own).otherwise(path)
 
 
-def flatten_parts(raw: DataFrame, max_depth: int = 20) -> DataFrame:
-    """raw: id, payload (variant). The attachment parts of each message's tree, down to `max_depth`; a part without an id of its own has
-    its path, `0.i.j`. One level after the other, so no number of rows is too large."""
+class TooDeep(RuntimeError):
+    """A tree of parts has more levels than allowed."""
+
+
+def flatten_parts(raw: DataFrame, max_depth: int = 1000, levels: int = 4) -> DataFrame:
+    """raw: id, payload (variant). The attachment parts of each message's tree, however deep; a part without an id of its own has
+    its path, `0.i.j`. One level after the other, so no number of rows is too large.
+
+    What lies below the next `levels` levels is checkpointed (`spark.checkpoint.dir`) and read from there, until nothing is left, so no level
+    is computed twice by its own parts. Trees beyond `max_depth` raise TooDeep; nothing is dropped.
+    """
     level = raw.select(F.col("id").alias("message_id"), F.col("payload").alias("part"), F.lit("0").alias("path"))
-    out = None
+    out = []
     for depth in range(max_depth + 1):
         rows = level.select("message_id", _part_id(F.col("part"), F.col("path")).alias("part_id"), *(c.alias(k) for k, c in _fields(F.col("part")).items()))
-        rows = rows.where(is_attachment_part(rows))
-        out = rows if out is None else out.unionByName(rows)
-        if depth == max_depth:
-            break
+        out.append(rows.where(is_attachment_part(rows)))
         parts = F.try_variant_get("part", "$.parts", "array<variant>")
         deeper = level.select("message_id", "path", F.posexplode(parts).alias("_i", "_p"))
         level = deeper.select("message_id", F.col("_p").alias("part"), F.concat("path", F.lit("."), F.col("_i").cast("string")).alias("path"))
-    return out.select(*PARTS)
+        if (depth + 1) % levels == 0 or depth == max_depth:
+            level = checkpointed(level)
+            if level.isEmpty():
+                return reduce(DataFrame.unionByName, out).select(*PARTS)
+    raise TooDeep(f"parts lie more than {max_depth} levels deep")
 
 
 def flatten_parts_recursive(raw: DataFrame) -> DataFrame:

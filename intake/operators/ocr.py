@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import useful_ocr_text, useful_page_text
 
@@ -21,16 +18,19 @@ class ImageLimits:
 
 
 def ocr_rollup(pages: DataFrame, max_chars: int = 200_000) -> DataFrame:
-    """pages: doc_id, pass, page, text, confidence. One row for each document and pass: text in page order, a space behind each page,
-    cut where the limit is reached; mean_confidence, n_pages, useful, success."""
+    """pages: doc_id, pass, page, text, confidence and, where it is known, failure. One row for each document and pass: text in page order,
+    a space behind each page, cut where the limit is reached; mean_confidence, n_pages, useful, success (no page failed) and failure (the
+    first page's)."""
     order = Window.partitionBy("doc_id", "pass").orderBy("page", "text").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.length(F.coalesce("text", F.lit(""))) + 1).over(order), F.lit(0))
     room = F.greatest(F.lit(max_chars) - before, F.lit(0)).cast("int")
     cut = pages.withColumn("_part", F.when(room > 0, F.concat(F.substring(F.coalesce("text", F.lit("")), F.lit(1), room), F.lit(" "))))
     parts = F.array_sort(F.collect_list(F.struct("page", "text", "_part")))
-    whole = cut.groupBy("doc_id", "pass").agg(parts.alias("_p"), F.avg("confidence").alias("mean_confidence"), F.count(F.lit(1)).alias("n_pages"))
+    failed = F.col("failure") if "failure" in pages.columns else F.lit(None).cast("string")
+    reason = F.min_by(failed, F.when(failed.isNotNull(), F.struct("page", "text")))
+    whole = cut.groupBy("doc_id", "pass").agg(parts.alias("_p"), F.avg("confidence").alias("mean_confidence"), F.count(F.lit(1)).alias("n_pages"), reason.alias("failure"))
     whole = whole.withColumn("text", F.array_join(F.col("_p._part"), "")).drop("_p")
-    return whole.withColumns({"useful": useful_ocr_text(F.col("text")), "success": F.col("n_pages") > 0})
+    return whole.withColumns({"useful": useful_ocr_text(F.col("text")), "success": F.col("failure").isNull()})
 
 
 def ocr_limits(pages: DataFrame, limits: ImageLimits = ImageLimits()) -> DataFrame:
@@ -51,10 +51,17 @@ def cap_images(images: DataFrame, n: int, mode: str = "keep") -> DataFrame:
 
 
 def ocr_evidence(pages: DataFrame, limits: ImageLimits = ImageLimits()) -> DataFrame:
-    """doc_id, success, text, header_success, header_text, over_limit, n_images: both passes of each document side by side."""
-    rolled = ocr_rollup(pages)
-    of = lambda p, *names: rolled.where(F.col("pass") == p).select("doc_id", F.col("success").alias(names[0]), F.col("text").alias(names[1]))
-    met = of("full", "success", "text").join(of("header", "header_success", "header_text"), "doc_id", "full_outer").join(ocr_limits(pages.where("pass = 'full'"), limits), "doc_id", "left")
+    """doc_id, success, text, failure, header_success, header_text, over_limit, n_images: both passes of each document side by side.
+
+    Pages are shuffled once, by document: the roll-up, its two passes and the limits are formed of one grouping.
+    """
+    dealt = pages.repartition("doc_id")
+    rolled = ocr_rollup(dealt)
+    of = lambda p, c: F.max(F.when(F.col("pass") == p, F.col(c)))
+    met = rolled.groupBy("doc_id").agg(
+        of("full", "success").alias("success"), of("full", "text").alias("text"), of("full", "failure").alias("failure"),
+        of("header", "success").alias("header_success"), of("header", "text").alias("header_text"),
+    ).join(ocr_limits(dealt.where("pass = 'full'"), limits), "doc_id", "left")
     none = {"success": False, "header_success": False, "text": "", "header_text": "", "over_limit": False, "n_images": 0}
     return met.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in none.items()})
 
@@ -62,48 +69,46 @@ def ocr_evidence(pages: DataFrame, limits: ImageLimits = ImageLimits()) -> DataF
 #: Text operands of a page's content.
 LITERAL = r"\(((?:\\.|[^\\)])*)\)"
 HEX = r"<([0-9A-Fa-f\s]+)>"
-_ESCAPE = re.compile(r"\\([nrtbf()\\]|[0-7]{1,3})")
-_NAMED = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
-#: The bytes that Windows-1252 leaves undefined stand for themselves.
-_CP1252 = "".join(bytes([i]).decode("cp1252", "replace") for i in range(256))
-_CP1252 = "".join(chr(i) if c == "�" else c for i, c in enumerate(_CP1252))
+#: A piece of a literal is an escape or a run of plain characters; named escapes stand for control characters.
+PIECE = r"(?s)(\\[0-7]{1,3}|\\[nrtbf()\\]|\\|[^\\]+)"
+NAMED = {r"\n": "\n", r"\r": "\r", r"\t": "\t", r"\b": "\b", r"\f": "\f"}
+#: Bytes that Windows-1252 reads as other characters than Latin-1 does.
+_MOVED = {chr(i): c for i in range(0x80, 0xA0) if (c := bytes([i]).decode("cp1252", "replace")) != "�"}
 
 
-def _literal(value: str) -> str:
-    def one(m: re.Match) -> str:
-        token = m[1]
-        return chr(int(token, 8)) if token.isdigit() and len(token) > 1 else _NAMED.get(token, token)
+def windows_1252(data: Column) -> Column:
+    """Bytes as text; those that Windows-1252 leaves undefined stand for themselves."""
+    return F.translate(F.decode(data, "ISO-8859-1"), "".join(_MOVED), "".join(_MOVED.values()))
 
-    return _ESCAPE.sub(one, value)
 
+def decode_literal(value: Column) -> Column:
+    """Escapes of one literal operand; an octal code has two digits or more, a single digit stays one. A literal without a
+    backslash is left alone."""
 
-def _hex(value: str) -> str:
-    digits = re.sub(r"\s", "", value)
-    return bytes.fromhex(digits + "0" * (len(digits) % 2)).decode("latin-1").translate(dict(enumerate(_CP1252)))
+    def one(piece: Column) -> Column:
+        rest = F.substring(piece, 2, 3)
+        # chr() takes the remainder at 256, and an octal code goes to 511
+        coded = F.decode(F.unhex(F.lpad(F.hex(F.conv(rest, 8, 10).cast("int")), 4, "0")), "UTF-16BE")
+        out = F.when(piece.rlike(r"^\\[0-7]{2,3}$"), coded)
+        for name, char in NAMED.items():
+            out = out.when(piece == name, char)
+        return out.when((F.length(piece) > 1) & F.startswith(piece, F.lit("\\")), rest).otherwise(piece)
 
+    pieces = F.regexp_extract_all(value, F.lit(PIECE), 1)
+    return F.when(F.contains(value, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(value)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def decode_literals(values: pd.Series) -> pd.Series:
-    """Escapes of literal operands; an octal code has two digits or more, a single digit stays one."""
-    return values.map(lambda x: None if x is None else [_literal(v) for v in x])
 
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def decode_hex(values: pd.Series) -> pd.Series:
-    """Hexadecimal operands as Windows-1252; an odd digit is completed with 0."""
-    return values.map(lambda x: None if x is None else [_hex(v) for v in x])
-
-
-@F.pandas_udf(T.StringType())
-def _content(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else bytes(x).decode("latin-1").translate(dict(enumerate(_CP1252))))
+def decode_hex(value: Column) -> Column:
+    """A hexadecimal operand as Windows-1252; an odd digit is completed with 0."""
+    digits = F.regexp_replace(value, r"\s", "")
+    return windows_1252(F.unhex(F.concat(digits, F.repeat(F.lit("0"), F.length(digits) % 2))))
 
 
 def assemble_page_text(page_text: DataFrame) -> DataFrame:
     """page_text: doc_id, page, content (bytes). doc_id, text, useful: pages in order, in each all literals, then all hexadecimal strings."""
-    read = page_text.withColumn("_c", _content(F.col("content")))
+    read = page_text.withColumn("_c", windows_1252(F.col("content")))
     found = read.withColumns({"_lit": F.regexp_extract_all("_c", F.lit(LITERAL), 1), "_hex": F.regexp_extract_all("_c", F.lit(HEX), 1)})
-    parts = F.concat(decode_literals(F.col("_lit")), decode_hex(F.col("_hex")))
+    parts = F.concat(F.transform("_lit", decode_literal), F.transform("_hex", decode_hex))
     text = F.array_join(F.transform(parts, lambda x: F.concat(x, F.lit(" "))), "")
     pages = found.select("doc_id", "page", F.coalesce(text, F.lit("")).alias("_t"))
     whole = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "_t"))), lambda x: x["_t"]), "").alias("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,10 +14,12 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable:
-    """Registers f(t), where t(name) is a domain table."""
+    """Registers f(t), where t(name) is a domain table, or f(spark, sf_dir)."""
 
     def register(f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            if len(signature(f).parameters) == 2:
+                return f(spark, sf_dir)
             return f(lambda table: domain_table(spark, sf_dir, table))
 
         run.__name__, run.__doc__ = name, f.__doc__

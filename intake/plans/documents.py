@@ -149,7 +149,7 @@ def origin_hash(t):
 
 
 @query("safe_values", """SELECT doc_id, substr(replace(replace(text, chr(13), ' '), chr(10), ' '), 1, 300) AS reason, substr(text, 1, 500) AS name,
-    substr(regexp_replace(regexp_replace(substr(text, 1, 200), '["<>|:*?/\\\\\\x00-\\x1f]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 120) AS segment, lower(regexp_extract(file_name, '(\\.[^.]+)$', 1)) AS ext FROM doc_text""")
+    substr(regexp_replace(regexp_replace(text, '["<>|:*?/\\\\\\x00-\\x1f]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 120) AS segment, lower(regexp_extract(file_name, '(\\.[^.]+)$', 1)) AS ext FROM doc_text""")
 def safe_values(t):
     return t("doc_text").select("doc_id", files.safe_reason(F.col("text")).alias("reason"), files.safe_original_name(F.col("text")).alias("name"),
         files.safe_segment(F.col("text")).alias("segment"), files.safe_extension(files.file_ext(F.col("file_name"))).alias("ext"))
@@ -164,12 +164,12 @@ def redact(t):
     return t("doc_source").select("doc_id", text.redact(F.col("text")).alias("safe"))
 
 
-@query("base64url", "SELECT doc_id, doc_id % 3 <> 1 AS good, CASE WHEN doc_id % 3 <> 1 THEN octet_length(encode(text)) END AS size FROM doc_text")
+@query("base64url", "SELECT doc_id, doc_id % 3 <> 1 AS good, CASE WHEN doc_id % 3 <> 1 THEN sha256(text) END AS hash FROM doc_text")
 def base64url(t):
     encoded = F.translate(F.base64(F.col("text").cast("binary")), "+/=\r\n", "-_")
     broken = F.when(F.col("doc_id") % 3 == 1, F.concat(encoded, F.lit("!"))).otherwise(encoded)
     data = text.base64url_strict(broken)
-    return t("doc_text").select("doc_id", data.isNotNull().alias("good"), F.octet_length(data).cast("long").alias("size"))
+    return t("doc_text").select("doc_id", data.isNotNull().alias("good"), files.sha256_hex(data).alias("hash"))
 
 
 _GATE = "regexp_matches(qr_text, '^https://(www\\.)?(arca|afip)\\.gob\\.ar(:443)?/fe/qr/\\?[^#]*$', 'i') AND length(qr_text) <= 12000"
@@ -215,6 +215,10 @@ def combined_sql(d: dict[str, str]) -> dict[str, str]:
         "classification": f"CASE WHEN {clash} THEN 'REVISAR' WHEN {_INVOICE} THEN 'FACTURA' WHEN {_OTHER} THEN 'DESCARTAR' ELSE {c} END",
         "method": f"CASE WHEN {clash} THEN 'QR_TEXTO_CONFLICTO' WHEN {_INVOICE} AND {c} = 'FACTURA' THEN 'QR_ARCA+' || {d['method']} WHEN {_INVOICE} OR {_OTHER} THEN 'QR_ARCA' ELSE {d['method']} END",
         "confidence": f"CAST(CASE WHEN {clash} THEN 70 WHEN {_INVOICE} OR {_OTHER} THEN 98 ELSE {d['confidence']} END AS SMALLINT)",
+        "reason": f"""CASE WHEN {_INVOICE} AND {c} = 'DESCARTAR' THEN 'El QR ARCA indica factura, pero el texto identifica inequívocamente otro tipo documental.'
+          WHEN {_OTHER} AND {c} = 'FACTURA' THEN 'El QR ARCA indica un comprobante no factura, pero el texto identifica factura.'
+          WHEN {_INVOICE} THEN 'QR ARCA estructuralmente válido con tipo de comprobante factura. No constituye validación online de autenticidad.'
+          WHEN {_OTHER} THEN 'El tipo de comprobante informado por el QR ARCA no corresponde a una factura.' ELSE {d['reason']} END""",
     }
 
 
@@ -224,12 +228,12 @@ _JOINED = f"SELECT s.*, coalesce(q.qr_valid, false) AS v, q.qr_type AS y, coales
 @query("combine_evidence", f"SELECT doc_id, {_columns(combined_sql(_DECIDED))}, qd AS qr_detected, CASE WHEN v THEN y END AS qr_type FROM ({_JOINED})")
 def combine_evidence(t):
     selections = C.classify_text(t("doc_text").select("doc_id", "text"), "text", F.lit(True)).drop("text")
-    return C.combine_evidence(selections, qr.first_valid_qr(t("qr_readings"))).select("doc_id", *C.DECISION[:3], "qr_detected", "qr_type")
+    return C.combine_evidence(selections, qr.first_valid_qr(t("qr_readings"))).select("doc_id", *C.DECISION, "qr_detected", "qr_type")
 
 
 _FAIL = """SELECT *, CASE WHEN n > 200 THEN 'entries' WHEN NOT is_directory AND (is_encrypted OR coalesce(link_target, '') <> '') THEN 'unsupported'
     WHEN NOT is_directory AND (starts_with(entry_key, '/') OR contains(entry_key, ':')) THEN 'path' WHEN NOT is_directory AND starts_with(entry_key, '../') THEN 'traversal'
-    WHEN NOT is_directory AND c > 1 THEN 'collision' WHEN NOT is_directory AND entry_bytes > 52428800 THEN 'entry_bytes' WHEN NOT is_directory AND b > 262144000 THEN 'total_bytes' END AS failure
+    WHEN NOT is_directory AND c > 1 THEN 'collision' WHEN NOT is_directory AND entry_bytes > 52428800 AND 640 <= (262144000 - (b - entry_bytes)) // 81920 THEN 'entry_bytes' WHEN NOT is_directory AND b > 262144000 THEN 'total_bytes' END AS failure
   FROM (SELECT *, count(*) OVER w AS n, sum(CASE WHEN is_directory THEN 0 ELSE entry_bytes END) OVER w AS b,
     row_number() OVER (PARTITION BY root_id, CASE WHEN is_directory THEN CAST(ordinal AS VARCHAR) ELSE lower(entry_key) END ORDER BY ordinal) AS c
     FROM container_entries WINDOW w AS (PARTITION BY root_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING))"""
@@ -256,12 +260,30 @@ def container_rollup(t):
     return K.container_rollup(t("container_entries"))
 
 
-@query("container_nested", f"""SELECT root_id, ordinal, entry_key, 'accepted' AS outcome, CAST(NULL AS VARCHAR) AS failure FROM ({_FAILED}) WHERE stop IS NULL AND NOT is_directory
-    UNION ALL SELECT root_id, 0, 'root', 'refused', failure FROM ({_FAILED}) WHERE ordinal = stop""")
+#: Large entries lie in an inner archive, the last entry of its container.
+INNER = "entry_bytes > 31500000"
+_FIELDS = "is_directory, is_encrypted, link_target"
+_TREE = f"""SELECT root_id, 0 AS c, ordinal, entry_key, entry_bytes, {_FIELDS} FROM container_entries WHERE NOT ({INNER})
+    UNION ALL SELECT DISTINCT root_id, 0, 1000, 'inner.zip', 1000, false, false, CAST(NULL AS VARCHAR) FROM container_entries WHERE {INNER}
+    UNION ALL SELECT root_id, 1, ordinal, entry_key, entry_bytes, {_FIELDS} FROM container_entries WHERE {INNER}"""
+_TREE_FAIL = _FAIL.replace("ORDER BY ordinal)", "ORDER BY c0, ordinal)").replace("PARTITION BY root_id ORDER BY ordinal ROWS", "PARTITION BY root_id ORDER BY c0, ordinal ROWS").replace("PARTITION BY root_id, CASE", "PARTITION BY root_id, c0, CASE").replace("FROM container_entries", f"FROM (SELECT * RENAME (c AS c0) FROM ({_TREE}))")
+_TREE_STOPS = f"SELECT *, min(CASE WHEN failure IS NOT NULL THEN ordinal END) OVER (PARTITION BY root_id, c0) AS stop, bool_or(failure IS NOT NULL AND c0 = 0) OVER (PARTITION BY root_id) AS lost FROM ({_TREE_FAIL})"
+
+
+@query("container_nested", f"""SELECT root_id, ordinal, entry_key, 'accepted' AS outcome, CAST(NULL AS VARCHAR) AS failure FROM ({_TREE_STOPS}) WHERE NOT lost AND stop IS NULL AND NOT is_directory AND ordinal < 1000
+    UNION ALL SELECT root_id, 0, 'root', 'refused', failure FROM ({_TREE_STOPS}) WHERE c0 = 0 AND ordinal = stop
+    UNION ALL SELECT root_id, 1000, 'inner.zip', 'refused', failure FROM ({_TREE_STOPS}) WHERE NOT lost AND c0 = 1 AND ordinal = stop""")
 def container_nested(t):
-    """The fold over trees, on trees of one level: the same decisions as the windows."""
-    flat = t("container_entries").withColumns({"container_id": F.col("root_id"), "child_id": F.lit(None).cast("long"), "root_name": F.lit("root")})
-    return K.apply_nested_policy(flat).select("root_id", "ordinal", "entry_key", "outcome", "failure")
+    """Trees of two levels with one budget: what fails inside refuses the inner archive only."""
+    entries = t("container_entries")
+    inside, child = F.expr(INNER), -F.col("root_id") - 1
+    own = entries.withColumns({"container_id": F.when(inside, child).otherwise(F.col("root_id")), "child_id": F.lit(None).cast("long")})
+    archive = entries.where(inside).select("root_id").distinct().withColumns({
+        "ordinal": F.lit(1000), "entry_key": F.lit("inner.zip"), "entry_bytes": F.lit(1000).cast("long"), "is_directory": F.lit(False), "is_encrypted": F.lit(False),
+        "link_target": F.lit(None).cast("string"), "container_id": F.col("root_id"), "child_id": child,
+    })
+    tree = own.unionByName(archive).withColumn("root_name", F.lit("root"))
+    return K.apply_nested_policy(tree).select("root_id", "ordinal", "entry_key", "outcome", "failure")
 
 
 @query("unanalysable", f"""SELECT root_id, 'REVISAR' AS classification, 'ZIP_NO_ANALIZABLE' AS method, 'Contenedor no analizable: ' || failure AS reason, 'application/zip' AS mime_type FROM ({_FAILED}) WHERE ordinal = stop""")
@@ -270,7 +292,7 @@ def unanalysable(t):
     return C.unanalysable_candidates(refused).select("root_id", "classification", "method", "reason", "mime_type")
 
 
-_ROLL = """SELECT doc_id, pass, string_agg(part || ' ', '' ORDER BY page, text) FILTER (part IS NOT NULL) AS text, avg(confidence) AS mean_confidence, count(*) AS n_pages
+_ROLL = """SELECT doc_id, pass, arg_min(failure, (page, text)) FILTER (failure IS NOT NULL) AS failure, string_agg(part || ' ', '' ORDER BY page, text) FILTER (part IS NOT NULL) AS text, avg(confidence) AS mean_confidence, count(*) AS n_pages
   FROM (SELECT *, CASE WHEN 200000 - b > 0 THEN substr(text, 1, CAST(200000 - b AS BIGINT)) END AS part FROM (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, pass ORDER BY page, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM ocr_pages))
   GROUP BY doc_id, pass"""
 
@@ -299,35 +321,54 @@ def cap_images_flag(t):
     return O.cap_images(t("qr_readings"), 4, "fail").select("doc_id", "image", "over_cap")
 
 
-_EVIDENCE = f"""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AS success, coalesce(a.text, '') AS text, b.doc_id IS NOT NULL AS header_success, coalesce(b.text, '') AS header_text
-    FROM (SELECT * FROM ({_ROLL}) WHERE pass = 'full') a FULL JOIN (SELECT * FROM ({_ROLL}) WHERE pass = 'header') b ON a.doc_id = b.doc_id"""
-_FIRST_PASS = f"SELECT * FROM (SELECT doc_id, success, header_success, text, header_text, {ocr_sql()} FROM ({signals_sql(f'({_EVIDENCE})', 'text', more=', success, header_success, text, header_text, ' + _USEFUL_OCR.format('text') + ' AS u')}))"
+_EVIDENCE = f"""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AND a.failure IS NULL AS success, coalesce(a.text, '') AS text, a.failure,
+    b.doc_id IS NOT NULL AND b.failure IS NULL AS header_success, coalesce(b.text, '') AS header_text, coalesce(o.over_limit, false) AS over_limit, coalesce(o.n_images, 0) AS n_images
+    FROM (SELECT * FROM ({_ROLL}) WHERE pass = 'full') a FULL JOIN (SELECT * FROM ({_ROLL}) WHERE pass = 'header') b ON a.doc_id = b.doc_id LEFT JOIN ({_OVER}) o ON o.doc_id = a.doc_id"""
+_KEPT = ", success, header_success, text, header_text, failure, over_limit, n_images, "
+_FIRST_PASS = f"SELECT * FROM (SELECT doc_id{_KEPT}{ocr_sql()} FROM ({signals_sql(f'({_EVIDENCE})', 'text', more=_KEPT + _USEFUL_OCR.format('text') + ' AS u')}))"
 _BOTH = f"SELECT doc_id, substr(text || CASE WHEN text <> '' AND header_text <> '' THEN chr(10) ELSE '' END || header_text, 1, 200000) AS t FROM ({_FIRST_PASS}) WHERE success AND header_success AND classification = 'REVISAR'"
 _SECOND_PASS = f"SELECT doc_id, {ocr_sql()} FROM ({signals_sql(f'({_BOTH})', 't', more=', ' + _USEFUL_OCR.format('t') + ' AS u')})"
 
 
 def _two(c: str) -> str:
-    error = {"classification": "'REVISAR'", "method": "'OCR_ERROR'", "confidence": "NULL"}[c]
+    error = {"classification": "'REVISAR'", "method": "'OCR_ERROR'", "confidence": "NULL", "reason": "coalesce(a.failure, 'El OCR no pudo procesar el documento.')"}[c]
     return f"CASE WHEN NOT a.success THEN {error} WHEN b.doc_id IS NOT NULL THEN b.{c} ELSE a.{c} END AS {c}"
 
 
-@query("classify_ocr_two_pass", f"SELECT a.doc_id, {', '.join(map(_two, C.DECISION[:3]))} FROM ({_FIRST_PASS}) a LEFT JOIN ({_SECOND_PASS}) b ON b.doc_id = a.doc_id")
+_TWO_PASS = f"SELECT a.doc_id, a.over_limit, a.n_images, {', '.join(map(_two, C.DECISION))} FROM ({_FIRST_PASS}) a LEFT JOIN ({_SECOND_PASS}) b ON b.doc_id = a.doc_id"
+
+
+@query("classify_ocr_two_pass", f"SELECT doc_id, {', '.join(C.DECISION)} FROM ({_TWO_PASS})")
 def classify_ocr_two_pass(t):
-    return C.classify_ocr_two_pass(O.ocr_evidence(t("ocr_pages"))).select("doc_id", *C.DECISION[:3])
+    return C.classify_ocr_two_pass(O.ocr_evidence(t("ocr_pages"))).select("doc_id", *C.DECISION)
+
+
+def _routed(d: str, over: str, none: str) -> dict[str, str]:
+    """The decision of table `d`, or what its images say."""
+    given = {
+        "classification": ("'REVISAR'", "'REVISAR'"), "method": ("'OCR_LIMITE'", "'OCR_NO_DISPONIBLE'"), "confidence": ("NULL", "NULL"),
+        "reason": ("'Las imágenes del PDF superan los límites de OCR.'", "'No hay una imagen procesable para OCR.'"),
+    }
+    return {c: f"CASE WHEN {over} THEN {a} WHEN {none} THEN {b} ELSE {d}.{c} END" for c, (a, b) in given.items()}
 
 
-@query("route_textless", f"""SELECT d.doc_id, CASE WHEN coalesce(o.over_limit, false) THEN 'OCR_LIMITE' WHEN coalesce(o.n_images, 0) = 0 THEN 'OCR_NO_DISPONIBLE' ELSE d.method END AS method
-    FROM (SELECT a.doc_id, {_two('method')} FROM ({_FIRST_PASS}) a LEFT JOIN ({_SECOND_PASS}) b ON b.doc_id = a.doc_id) d LEFT JOIN ({_OVER}) o ON o.doc_id = d.doc_id""")
+@query("route_textless", f"SELECT d.doc_id, {_columns(_routed('d', 'd.over_limit', 'd.n_images = 0'))} FROM ({_TWO_PASS}) d")
 def route_textless(t):
-    return C.route_textless(O.ocr_evidence(t("ocr_pages"))).select("doc_id", "method")
+    return C.route_textless(O.ocr_evidence(t("ocr_pages"))).select("doc_id", *C.DECISION)
 
 
 _PDF = f"SELECT doc_id, {_columns(combined_sql(_DECIDED))}, qd AS qr_detected, CASE WHEN v THEN y END AS qr_type FROM ({_JOINED}) WHERE doc_id IN (SELECT doc_id FROM doc_text WHERE {_EXT} = '.pdf' AND {_USEFUL.format('text')})"
+_D_EXT = _EXT.replace("file_name", "d.file_name")
+#: PDFs without useful text: their OCR, and then their code.
+_TEXTLESS = f"""SELECT d.doc_id, {_columns(_routed('o', 'coalesce(o.over_limit, false)', 'coalesce(o.n_images, 0) = 0'))}, coalesce(q.qr_valid, false) AS v, q.qr_type AS y, coalesce(q.qr_detected, false) AS qd
+    FROM doc_text d LEFT JOIN ({_TWO_PASS}) o ON o.doc_id = d.doc_id LEFT JOIN ({_FIRST}) q ON q.doc_id = d.doc_id WHERE {_D_EXT} = '.pdf' AND NOT {_USEFUL.format("coalesce(d.text, '')")}"""
+_BY_OCR = f"SELECT doc_id, {_columns(combined_sql({c: c for c in C.DECISION}))}, qd AS qr_detected, CASE WHEN v THEN y END AS qr_type FROM ({_TEXTLESS})"
 
 
-@query("classify_documents", f"""{_PDF} UNION ALL SELECT doc_id, classification, method, confidence, false, NULL FROM (SELECT doc_id, {_columns(_NAME_DECISION)} FROM doc_text WHERE {_EXT} <> '.pdf' AND {_EXT} NOT IN {_IMAGES})
-    UNION ALL SELECT d.doc_id, coalesce(x.classification, 'REVISAR'), coalesce(x.method, 'OCR_ERROR'), x.confidence, false, NULL FROM doc_text d LEFT JOIN
-      (SELECT a.doc_id, {', '.join(map(_two, C.DECISION[:3]))} FROM ({_FIRST_PASS}) a LEFT JOIN ({_SECOND_PASS}) b ON b.doc_id = a.doc_id) x ON x.doc_id = d.doc_id WHERE {_EXT.replace('file_name', 'd.file_name')} IN {_IMAGES}""")
+@query("classify_documents", f"""{_PDF} UNION ALL {_BY_OCR}
+    UNION ALL SELECT doc_id, classification, method, confidence, reason, false, NULL FROM (SELECT doc_id, {_columns(_NAME_DECISION)} FROM doc_text WHERE {_EXT} <> '.pdf' AND {_EXT} NOT IN {_IMAGES})
+    UNION ALL SELECT d.doc_id, coalesce(x.classification, 'REVISAR'), coalesce(x.method, 'OCR_ERROR'), x.confidence, coalesce(x.reason, 'El OCR no pudo procesar el documento.'), false, NULL
+      FROM doc_text d LEFT JOIN ({_TWO_PASS}) x ON x.doc_id = d.doc_id WHERE {_D_EXT} IN {_IMAGES}""")
 def classify_documents(t):
-    """All of it: PDFs by text or OCR and then by code, images by OCR, others by name. (The SQL leaves PDFs without useful text out.)"""
-    return C.classify_documents(t("doc_text"), qr.first_valid_qr(t("qr_readings")), O.ocr_evidence(t("ocr_pages"))).select("doc_id", *C.DECISION[:3], "qr_detected", "qr_type")
+    """All of it: PDFs by text or OCR and then by code, images by OCR, others by name."""
+    return C.classify_documents(t("doc_text"), qr.first_valid_qr(t("qr_readings")), O.ocr_evidence(t("ocr_pages"))).select("doc_id", *C.DECISION, "qr_detected", "qr_type")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,29 +17,39 @@ from ..operators import containers as K
 from ..operators import mime as M
 from ..operators import ocr as O
 from ..sources import batches as B
-from ..streaming.intake_stream import dedup_stream, process_batch
+from ..sources.shared import new_folder
+from ..streaming.intake_stream import dedup_stream, start_intake
 from .define import ORACLES, QUERIES, query
 
 
 def raw_messages(attachments: DataFrame) -> DataFrame:
-    """id, payload: a tree of two levels for each message, its parts in the order of their ids."""
+    """id, payload: a tree for each message, its parts in the order of their ids. Most have two levels; where the first part is large, the
+    parts lie below 24 more."""
     part = F.struct(
         F.col("part_id").alias("partId"), F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".pdf")).alias("filename"), F.lit("application/pdf").alias("mimeType"),
         F.struct(F.when(F.col("state") != "Error", F.concat(F.lit("A"), F.col("id").cast("string"))).alias("attachmentId"), F.col("size_bytes").alias("size")).alias("body"),
     )
-    grouped = attachments.groupBy("message").agg(F.sort_array(F.collect_list(F.struct("id", part.alias("part")))).alias("all"))
-    inner = F.struct(F.lit("").alias("filename"), F.transform("all", lambda x: x["part"]).alias("parts"))
-    payload = F.struct(F.lit("").alias("filename"), F.array(inner).alias("parts"))
-    return grouped.select(F.concat(F.lit("m"), F.col("message").cast("string")).alias("id"), F.parse_json(F.to_json(payload)).alias("payload"))
+    grouped = attachments.groupBy("message").agg(F.sort_array(F.collect_list(F.struct("id", part.alias("part"), "size_bytes"))).alias("all"))
+    inner = F.to_json(F.struct(F.lit("").alias("filename"), F.transform("all", lambda x: x["part"]).alias("parts")))
+    levels = F.when(F.col("all")[0]["size_bytes"] > DEEP, 25).otherwise(1)
+    payload = F.concat(F.repeat(F.lit('{"filename":"","parts":['), levels), inner, F.repeat(F.lit("]}"), levels))
+    return grouped.select(F.concat(F.lit("m"), F.col("message").cast("string")).alias("id"), F.parse_json(payload).alias("payload"))
 
 
-_PARTS = """SELECT 'm' || message AS message_id, coalesce(part_id, '0.0.' || k) AS part_id, 'f' || id || '.pdf' AS file_name, 'application/pdf' AS mime_type, 'A' || id AS attachment_id,
-    CAST(NULL AS VARCHAR) AS inline_data, CAST(size_bytes AS INTEGER) AS declared_size FROM (SELECT *, row_number() OVER (PARTITION BY message ORDER BY id) - 1 AS k FROM attachments) WHERE state <> 'Error'"""
+DEEP = 1_000_000
+_PARTS = f"""SELECT 'm' || message AS message_id, coalesce(part_id, '0' || repeat('.0', CASE WHEN first_size > {DEEP} THEN 25 ELSE 1 END) || '.' || k) AS part_id, 'f' || id || '.pdf' AS file_name,
+    'application/pdf' AS mime_type, 'A' || id AS attachment_id, CAST(NULL AS VARCHAR) AS inline_data, CAST(size_bytes AS INTEGER) AS declared_size
+    FROM (SELECT *, row_number() OVER w - 1 AS k, first_value(size_bytes) OVER w AS first_size FROM attachments WINDOW w AS (PARTITION BY message ORDER BY id)) WHERE state <> 'Error'"""
 
 
 @query("flatten_parts", _PARTS)
 def flatten_parts(t):
-    return M.flatten_parts(raw_messages(t("attachments")), max_depth=4)
+    return M.flatten_parts(raw_messages(t("attachments")))
+
+
+@query("flatten_parts_recursive", _PARTS)
+def flatten_parts_recursive(t):
+    return M.flatten_parts_recursive(raw_messages(t("attachments")))
 
 
 @query("map_messages", "SELECT message_id, received, CASE WHEN id % 5 = 0 THEN 'Remitente no disponible' ELSE sender END AS sender, subject, snippet FROM messages")
@@ -83,11 +93,16 @@ def expand_zip(t):
     return entries.select("name", "ordinal", "entry_key", "entry_bytes", files.sha256_hex(F.col("content")).alias("hash"))
 
 
-@query("page_text", """SELECT doc_id, string_agg(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') || ' Hi ', '' ORDER BY page, text) AS text FROM ocr_pages GROUP BY doc_id""")
+#: Behind each text: an octal letter, a kept digit, named escapes, an odd hexadecimal operand and one that Windows-1252 reads otherwise.
+_TAIL = "\\351\\7\\t\\q) Tj <4 869> <80E94> ET"
+
+
+@query("page_text", """SELECT doc_id, string_agg(text || 'é7' || chr(9) || '\\q Hi €é@ ', '' ORDER BY page, text) AS text FROM (SELECT doc_id, page, regexp_replace(text, '[^\\x00-\\xFF]', '?', 'g') AS text FROM ocr_pages) GROUP BY doc_id""")
 def page_text(t):
-    plain = F.regexp_replace(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), r"([()\\])", r"\\$1")
-    pages = t("ocr_pages").select("doc_id", "page", F.concat(F.lit("BT ("), plain, F.lit(") Tj <4 869> ET")).cast("binary").alias("content"))
-    return O.assemble_page_text(pages).select("doc_id", "text")
+    """Texts as literal operands in one byte a character; other characters are beyond such pages."""
+    plain = F.regexp_replace(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), r"([()\\])", r"\\$1")
+    content = F.encode(F.concat(F.lit("BT ("), plain, F.lit(_TAIL)), "ISO-8859-1")
+    return O.assemble_page_text(t("ocr_pages").select("doc_id", "page", content.alias("content"))).select("doc_id", "text")
 
 
 @query("page_selected", "SELECT image, page <= 19 OR page = n_pages AS selected, CASE WHEN page IN (1, 6, 11, 19) THEN 'invoice' WHEN page IN (2, 3, 4, 7, 8, 9, 12, 13, 15, 20, 21) THEN 'other' END AS kind FROM qr_readings")
@@ -109,19 +124,28 @@ def backfill(t):
 
 
 def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream into a ledger of first sightings: one run to the end, with its own checkpoint."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/spark-{uuid.uuid4().hex}"
-    root = f"{shared.rstrip('/')}/intake-{uuid.uuid4().hex}"
+    """The events as a stream into a ledger of first sightings and a table of dead letters. The first run meets bad rows and holds its cursor;
+    the second replays the same batch, puts them aside and moves on."""
+    root = new_folder(spark, "intake")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
-    rows = dedup_stream(stream.select(F.col("event_id").alias("id"), "user_id", "event_type"), ["id"])
-
-    def each(df: DataFrame, batch_id: int) -> None:
-        process_batch(df, batch_id, f"{root}/ledger", f"{root}/dead", ["user_id", "event_type"], ["id"], "event_type <> 'error'", "quarantine")
-
-    rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/ledger").select("id", "user_id", "event_type")
+    trim = lambda s: dedup_stream(s.select(F.col("event_id").alias("id"), "user_id", "event_type"), ["id"])
+    held = 0
+    for on_error in ("hold", "quarantine"):
+        run = start_intake(
+            spark, f"{sf_dir}/events*.parquet", schema, f"{root}/checkpoint", f"{root}/ledger", f"{root}/dead", ["user_id", "event_type"],
+            "event_type <> 'error'", on_error=on_error, transform=trim, buckets=8,
+        )
+        try:
+            run.awaitTermination()
+        except StreamingQueryException:
+            held += 1
+    if held > 1:
+        raise RuntimeError("the second run was to put bad rows aside")
+    kept = spark.read.parquet(f"{root}/ledger").select("id", "user_id", "event_type", F.lit(False).alias("dead"))
+    return kept.unionByName(spark.read.parquet(f"{root}/dead").select("id", "user_id", "event_type", F.lit(True).alias("dead")))
 
 
 QUERIES["stream_intake"] = stream_intake
-ORACLES["stream_intake"] = "SELECT min(event_id) AS id, user_id, event_type FROM events WHERE event_type <> 'error' GROUP BY user_id, event_type"
+ORACLES["stream_intake"] = """
+    SELECT min(event_id) AS id, user_id, event_type, false AS dead FROM events WHERE event_type <> 'error' GROUP BY user_id, event_type
+    UNION ALL SELECT event_id, user_id, event_type, true FROM events WHERE event_type = 'error'"""

@@ -10,6 +10,7 @@ from ..operators import ledger as L
 from ..operators import quality as Q
 from ..operators import reports as R
 from ..sources import batches as B
+from ..sources.shared import checkpointed
 from .define import query
 
 AS_OF = "1998-08-02 00:00:00"
@@ -29,10 +30,10 @@ def inbox(t):
     return R.inbox(t("messages"), t("accounts"), t("ledger"), t("attachments"))
 
 
-@query("message_detail", INBOX_SQL + " WHERE m.id % 1000 = 7")
+@query("message_detail", INBOX_SQL + " WHERE c.active")
 def message_detail(t):
-    """The report of single messages: the key filter comes before the counts."""
-    some = t("messages").where("id % 1000 = 7")
+    """The report of the messages that a table of keys names, here those of active accounts: the keys come before the counts."""
+    some = t("messages").join(t("accounts").where("active").select(F.col("id").alias("account_id")), "account_id", "left_semi")
     keys = some.select(F.col("id").alias("message"))
     return R.inbox(some, t("accounts"), t("ledger").join(keys, "message", "left_semi"), t("attachments").join(keys, "message", "left_semi"), ordered=False)
 
@@ -202,31 +203,31 @@ def ensure_columns(t):
     return Q.ensure_columns(t("accounts"), "id bigint, note string")
 
 
-def _halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """An old side (two thirds) and a batch that overlaps it."""
-    return df.where("id % 3 <> 0"), df.where("id % 2 = 0")
+def _halves(df: DataFrame, old: str, batch: str = "true") -> tuple[DataFrame, DataFrame]:
+    """An old side and a batch that overlaps it; every row is on one side or both."""
+    return df.where(old), df.where(batch)
 
 
 @query("insert_new", """
-    WITH s AS (SELECT * FROM ledger l WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM ledger o WHERE o.id % 3 <> 0 AND o.message = l.message AND o.part_id = l.part_id AND o.origin_hash = l.origin_hash))
+    WITH s AS (SELECT * FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM ledger o WHERE o.classification = 'REVISAR' AND o.message = l.message AND o.part_id = l.part_id AND o.origin_hash = l.origin_hash))
     SELECT id, message, part_id, origin_hash FROM (SELECT *, row_number() OVER (PARTITION BY message, part_id, origin_hash ORDER BY id) AS k FROM s) WHERE k = 1""")
 def insert_new(t):
-    return L.insert_if_absent(*_halves(t("ledger")))[0].select("id", "message", "part_id", "origin_hash")
+    return L.insert_if_absent(*_halves(t("ledger"), "classification = 'REVISAR'"))[0].select("id", "message", "part_id", "origin_hash")
 
 
-@query("insert_existing", """SELECT id FROM ledger l WHERE id % 2 = 0 AND EXISTS (SELECT 1 FROM ledger o WHERE o.id % 3 <> 0 AND o.message = l.message AND o.part_id = l.part_id AND o.origin_hash = l.origin_hash)""")
+@query("insert_existing", """SELECT id FROM ledger l WHERE EXISTS (SELECT 1 FROM ledger o WHERE o.classification = 'REVISAR' AND o.message = l.message AND o.part_id = l.part_id AND o.origin_hash = l.origin_hash)""")
 def insert_existing(t):
-    return L.insert_if_absent(*_halves(t("ledger")))[1].select("id")
+    return L.insert_if_absent(*_halves(t("ledger"), "classification = 'REVISAR'"))[1].select("id")
 
 
-@query("exists_flag", """SELECT id, EXISTS (SELECT 1 FROM ledger o WHERE o.id % 3 <> 0 AND o.message = l.message AND o.part_id = l.part_id AND o.origin_hash = l.origin_hash) AS present FROM ledger l WHERE id % 2 = 0""")
+@query("exists_flag", """SELECT id, EXISTS (SELECT 1 FROM ledger o WHERE o.classification = 'REVISAR' AND o.message = l.message AND o.part_id = l.part_id AND o.origin_hash = l.origin_hash) AS present FROM ledger l""")
 def exists_flag(t):
-    return L.exists_flag(*_halves(t("ledger")), L.LEDGER_KEY).select("id", "present")
+    return L.exists_flag(*_halves(t("ledger"), "classification = 'REVISAR'"), L.LEDGER_KEY).select("id", "present")
 
 
-@query("ensure_keys", """SELECT DISTINCT account_id, message_id, sha256(CAST(account_id AS VARCHAR) || '|' || message_id) AS key_id, id % 3 = 0 AS created FROM messages WHERE id % 2 = 0""")
+@query("ensure_keys", """SELECT DISTINCT account_id, message_id, sha256(length(CAST(account_id AS VARCHAR)) || ':' || account_id || length(message_id) || ':' || message_id) AS key_id, subject IS NULL AS created FROM messages""")
 def ensure_keys(t):
-    return L.ensure_keys(*_halves(t("messages")), ["account_id", "message_id"])
+    return L.ensure_keys(*_halves(t("messages"), "subject IS NOT NULL"), ["account_id", "message_id"])
 
 
 @query("messages_to_store", "SELECT id FROM messages m WHERE EXISTS (SELECT 1 FROM ledger d WHERE d.message = m.id AND d.classification = 'REVISAR')")
@@ -238,21 +239,22 @@ _CANON = f"SELECT * EXCLUDE (canonical_order) FROM ({_RANK}) WHERE canonical_ord
 
 
 @query("upsert_attachments", f"""
-    WITH c AS ({_CANON}), o AS (SELECT * FROM c WHERE id % 3 <> 0), n AS (SELECT * FROM c WHERE id % 2 = 0)
+    WITH c AS ({_CANON}), o AS (SELECT * FROM c WHERE state <> 'Pendiente'), n AS (SELECT * FROM c WHERE state <> 'Error')
     SELECT coalesce(n.message, o.message) AS message, coalesce(n.part_id, o.part_id) AS part_id, CASE WHEN n.id IS NULL THEN o.state ELSE lower(n.state) END AS state,
       CASE WHEN n.id IS NULL THEN o.path END AS path, coalesce(o.size_bytes, n.size_bytes) AS size_bytes
     FROM o FULL JOIN n ON o.message = n.message AND o.part_id = n.part_id""")
 def upsert_attachments(t):
-    old, new = _halves(Q.consolidate_parts(t("attachments"))[0].where("part_id IS NOT NULL"))
+    ranked = checkpointed(Q.consolidate_parts(t("attachments"))[0].where("part_id IS NOT NULL"))  # both sides read the one ranking
+    old, new = _halves(ranked, "state <> 'Pendiente'", "state <> 'Error'")
     new = new.withColumn("state", F.lower("state")).withColumn("path", F.lit(None).cast("string"))
     return L.upsert(old, new, ["message", "part_id"], update=["state", "path"]).select("message", "part_id", "state", "path", "size_bytes")
 
 
 @query("upsert_accounts", """
-    WITH o AS (SELECT * FROM accounts WHERE id % 3 <> 0), n AS (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE email || '!' END AS token FROM accounts WHERE id % 2 = 0)
+    WITH o AS (SELECT * FROM accounts WHERE active), n AS (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE email || '!' END AS token FROM accounts WHERE has_token OR NOT active)
     SELECT coalesce(n.id, o.id) AS id, coalesce(n.token, o.email) AS email, CASE WHEN n.id IS NULL THEN o.active ELSE true END AS active FROM o FULL JOIN n ON o.id = n.id""")
 def upsert_accounts(t):
-    old, new = _halves(t("accounts"))
+    old, new = _halves(t("accounts"), "active", "has_token OR NOT active")
     new = new.select("id", F.when(F.col("id") % 4 != 0, F.concat("email", F.lit("!"))).alias("email"))
     return L.upsert(old, new, ["id"], coalesce=["email"], set_to={"active": F.lit(True)}).select("id", "email", "active")
 
@@ -306,9 +308,15 @@ def incremental_cursor(t):
     return B.incremental_batch(t("history"), 500)[1]
 
 
-@query("select_batch", f"""SELECT message_id, 'fallback' AS mode FROM (SELECT DISTINCT message_id, received FROM messages WHERE received >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) ORDER BY received DESC, message_id LIMIT 100""")
+_RECENT = f"(SELECT message_id FROM (SELECT DISTINCT message_id, received FROM messages WHERE received >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) ORDER BY received DESC, message_id LIMIT 100)"
+
+
+@query("select_batch", f"""SELECT 'none' AS cursor, message_id, 'initial' AS mode FROM {_RECENT} UNION ALL SELECT 'expired', message_id, 'fallback' FROM {_RECENT}
+    UNION ALL SELECT 'known', message_id, 'incremental' FROM (SELECT DISTINCT message_id FROM history WHERE history_id > 500 AND record_type = 'messageAdded' AND trim(message_id) <> '')""")
 def select_batch(t):
-    return B.select_batch(t("messages"), t("history"), -1, F.lit(AS_OF).cast("timestamp_ntz"))
+    """All three branches: no cursor yet, one that history does not reach back to, and one that it does."""
+    batch = lambda name, cursor: B.select_batch(t("messages"), t("history"), cursor, F.lit(AS_OF).cast("timestamp_ntz")).select(F.lit(name).alias("cursor"), "message_id", "mode")
+    return batch("none", None).unionByName(batch("expired", -1)).unionByName(batch("known", 500))
 
 
 @query("split_missing", "SELECT DISTINCT h.message_id, m.message_id IS NOT NULL AS found FROM history h LEFT JOIN messages m ON m.message_id = h.message_id WHERE h.message_id <> ''")
@@ -333,6 +341,12 @@ def run_metrics(t):
     return B.run_metrics(rows)
 
 
-@query("read_tables", "SELECT id, email, active, has_token FROM accounts WHERE active")
-def read_tables(t):
-    return t("accounts").where("active").select("id", "email", "active", "has_token")
+_READ = {"customer": "c_custkey bigint, c_name string", "nation": "n_nationkey int, n_name string"}
+
+
+@query("read_tables", "SELECT 'customer' AS source, c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation")
+def read_tables(spark, sf_dir):
+    """Two tables with the columns of their schemas only."""
+    found = B.read_tables(spark, sf_dir, _READ)
+    named = [df.toDF("key", "name").select(F.lit(n).alias("source"), F.col("key").cast("long").alias("key"), "name") for n, df in found.items()]
+    return named[0].unionByName(named[1])

@@ -41,7 +41,7 @@ SELECT l_orderkey * 1000 + {_NTH} AS id, l_orderkey AS message, CAST(l_linenumbe
   CASE WHEN l_linestatus = 'O' THEN 'FACTURA' ELSE 'REVISAR' END AS classification,
   CASE WHEN l_returnflag = 'N' THEN NULL ELSE CAST(50 + l_linenumber * 6 AS SMALLINT) END AS confidence,
   l_shipdate AS classified
-FROM lineitem WHERE l_orderkey % 3 = 0""",
+FROM lineitem WHERE l_quantity > 20""",
     "doc_text": """
 SELECT doc_id, concat('file', CAST(doc_id AS STRING), CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.xlsx'
     WHEN 3 THEN ' Fáctura.txt' ELSE '.zip' END) AS file_name,
@@ -61,7 +61,7 @@ SELECT doc_id, concat('file', CAST(doc_id AS STRING), CASE doc_id % 5 WHEN 0 THE
 FROM documents""",
     "doc_source": "SELECT doc_id, text FROM documents",
     "qr_readings": """
-SELECT page_id % 60 AS doc_id, CAST(page_id % 25 + 1 AS INT) AS page, CAST(25 AS INT) AS n_pages, CAST(page_id AS INT) AS image,
+SELECT CAST(CASE WHEN floor(page_id / 125) % 2 = 1 THEN floor(page_id / 125) * 5 ELSE floor(page_id / 25) END AS BIGINT) AS doc_id, CAST(page_id % 25 + 1 AS INT) AS page, CAST(25 AS INT) AS n_pages, CAST(page_id AS INT) AS image,
   concat(CASE page_id % 16 WHEN 1 THEN 'http' ELSE 'https' END, '://',
     CASE page_id % 16 WHEN 2 THEN 'example.com' WHEN 3 THEN 'WWW.AFIP.GOB.AR' WHEN 4 THEN 'afip.gob.ar:8443' WHEN 5 THEN 'afip.gob.ar:443'
       WHEN 6 THEN 'u@afip.gob.ar' ELSE 'www.arca.gob.ar' END,
@@ -91,7 +91,8 @@ FROM lineitem""",
     "ocr_pages": """
 SELECT conv_id AS doc_id, CASE WHEN role = 'assistant' THEN 'header' ELSE 'full' END AS pass, CAST(turn AS INT) AS page,
   CAST(1000 + (conv_id % 7) * 700 AS INT) AS width, CAST(1000 + turn * 500 AS INT) AS height, text,
-  CAST((conv_id * 7 + turn * 3) % 100 AS DOUBLE) AS confidence
+  CAST((conv_id * 7 + turn * 3) % 100 AS DOUBLE) AS confidence,
+  CASE WHEN (conv_id * 5 + turn * 11) % 29 = 0 THEN concat('Página ', CAST(turn AS STRING), ' ilegible.') END AS failure
 FROM conversations""",
 }
 DOMAIN = tuple(_SQL)

@@ -3,6 +3,8 @@
 The checkpoint is the cursor. A batch with a bad row writes its good rows and its bad rows, and then raises, so that it is not committed
 and comes again; the ledger's rows of one batch id are replaced as a whole and earlier ones are never written twice, so a replay
 changes nothing. With `on_error='quarantine'` bad rows are put aside and the cursor moves on.
+
+The ledger is partitioned by a hash of the key. A micro-batch looks its keys up in the partitions that they fall in, not in all of it.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ledger import first_of_key
+from ..operators.ledger import first_of_key, insert_if_absent
+
+BUCKETS = 64
 
 
 class BatchHeld(RuntimeError):
@@ -31,22 +35,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def append_once(df: DataFrame, path: str, keys: Sequence[str], batch_id: int, order: Sequence[str]) -> None:
-    """The first row of each key that no other batch wrote, under this batch's partition; a replay replaces that partition."""
+def append_once(df: DataFrame, path: str, keys: Sequence[str], batch_id: int, order: Sequence[str], buckets: int = BUCKETS) -> None:
+    """The first row of each key that no other batch wrote, under its bucket and this batch's partition; a replay replaces that partition."""
     spark = df.sparkSession
-    new = first_of_key(df, keys, order)
+    new = first_of_key(df, keys, order).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     if _exists(spark, path):
-        known = spark.read.parquet(path).where(F.col("batch_id") != batch_id).select(*keys).distinct()
-        new = new.join(known, list(keys), "left_anti")
-    new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        known = spark.read.parquet(path).where(F.col("bucket").isin(touched) & (F.col("batch_id") != batch_id))
+        new = insert_if_absent(known, new, [*keys, "bucket"], order)[0]
+    dealt = new.withColumn("batch_id", F.lit(batch_id)).repartition("bucket")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(path)
 
 
-def process_batch(df: DataFrame, batch_id: int, ledger: str, dead: str, keys: Sequence[str], order: Sequence[str], check: str, on_error: str = "hold") -> None:
+def process_batch(df: DataFrame, batch_id: int, ledger: str, dead: str, keys: Sequence[str], order: Sequence[str], check: str, on_error: str = "hold", buckets: int = BUCKETS) -> None:
     """Writes rows that pass `check` (SQL) to the ledger and the others to the dead letters; then holds the batch, or not."""
     if on_error not in ("hold", "quarantine"):
         raise ValueError(on_error)
     good = F.coalesce(F.expr(check), F.lit(False))
-    append_once(df.where(good), ledger, keys, batch_id, order)
+    append_once(df.where(good), ledger, keys, batch_id, order, buckets)
     bad = df.where(~good).withColumn("batch_id", F.lit(batch_id))
     bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(dead)
     if on_error == "hold" and not bad.isEmpty():
@@ -55,13 +61,14 @@ def process_batch(df: DataFrame, batch_id: int, ledger: str, dead: str, keys: Se
 
 def start_intake(
     spark: SparkSession, landed: str, schema: T.StructType | str, checkpoint: str, ledger: str, dead: str, keys: Sequence[str],
-    check: str, order: Sequence[str] = ("id",), on_error: str = "hold", transform: Callable[[DataFrame], DataFrame] | None = None,
+    check: str, order: Sequence[str] = ("id",), on_error: str = "hold", transform: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """All that landed since the last run, as one query that ends when it has caught up."""
+    """All that landed since the last run, as one query that ends when it has caught up. Keys that came before fall out at the ledger, so the
+    stream itself keeps no state; `transform` may add some."""
     stream = spark.readStream.schema(schema).parquet(landed)
-    stream = dedup_stream(transform(stream) if transform else stream, [*keys, *order])
+    stream = transform(stream) if transform else stream
 
     def each(df: DataFrame, batch_id: int) -> None:
-        process_batch(df, batch_id, ledger, dead, keys, order, check, on_error)
+        process_batch(df, batch_id, ledger, dead, keys, order, check, on_error, buckets)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -153,10 +153,50 @@ def test_flat_policy_equals_the_fold(spark):
     keys = ["a/b.pdf", "./A/B.pdf", "a/../c", "..", "a/../../x", "\\x", "k:x", " ", "", "d/e", "a//b.pdf", "q.pdf"]
     rows = [(i, i, j + 1, k, 30 * (j + 1), j == 9, False, None, None, "r") for i in range(len(keys)) for j, k in enumerate(keys[i:] + keys[:i])]
     df = spark.createDataFrame(rows, ENTRY)
-    limits = containers.Limits(entries=6, entry_bytes=200, total_bytes=500)
+    limits = containers.Limits(entries=6, entry_bytes=200, total_bytes=500, chain=len("r!/a/../c"))
     refused = {r.root_id: r.failure for r in containers.apply_container_policy(df, limits)[1].collect()}
     fold = {r.root_id: r.failure for r in containers.apply_nested_policy(df, limits).where("outcome = 'refused'").collect()}
-    assert refused == fold and len(set(fold.values())) >= 3
+    assert refused == fold and len(set(fold.values())) >= 3 and "chain" in fold.values()
+
+
+def test_a_chain_too_long(spark):
+    rows = [(1, 1, 1, "a" * 2500, 1, False, False, None, None, "r"), (2, 2, 1, "a" * 1997, 1, False, False, None, None, "r"), (3, 3, 1, "a" * 1998, 1, False, False, None, None, "r")]
+    accepted, refused = containers.apply_container_policy(spark.createDataFrame(rows, ENTRY))
+    assert sorted((r.root_id, r.failure) for r in refused.collect()) == [(1, "chain"), (3, "chain")] and [r.root_id for r in accepted.collect()] == [2]
+    assert sorted(r.root_id for r in containers.apply_nested_policy(spark.createDataFrame(rows, ENTRY)).where("outcome = 'refused'").collect()) == [1, 3]
+
+
+def test_keys_with_nulls_and_separators(spark):
+    rows = [(1, "m", None, "h"), (2, "m", None, "h"), (3, "m", "p", "h"), (4, None, None, None)]
+    batch = spark.createDataFrame(rows, "id long, message string, part_id string, origin_hash string")
+    new, _ = ledger.insert_if_absent(batch.limit(0), batch)
+    assert sorted(r.id for r in new.collect()) == [1, 3, 4]
+    again, existing = ledger.insert_if_absent(new, batch)
+    assert again.collect() == [] and existing.count() == 4
+    assert all(r.present for r in ledger.exists_flag(new, batch, ledger.LEDGER_KEY).collect())
+    keys = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", None), (None, "a"), ("1:a", ""), ("", "1:a")], "x string, y string")
+    got = ledger.ensure_keys(keys.limit(1), keys, ["x", "y"]).collect()
+    assert len({r.key_id for r in got}) == 6 and [r.x for r in got if not r.created] == ["a|b"]
+
+
+def test_reasons_of_failed_ocr(spark):
+    text = "FACTURA B CUIT CAE IVA TOTAL some more words to read"
+    rows = [(1, False, "", "motor", False, "", False, 1, None), (2, False, "", None, False, "", False, 1, None), (3, True, text, None, False, "", True, 1, "too large"), (4, True, "", None, False, "", False, 0, None), (5, True, text, None, False, "", False, 1, None),
+        (6, True, "nothing here that tells what this text might be", None, True, text, False, 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, success boolean, text string, failure string, header_success boolean, header_text string, over_limit boolean, n_images long, image_failure string")
+    two = {r.doc_id: (r.classification, r.method, r.reason) for r in classify.classify_ocr_two_pass(docs).collect()}
+    assert two[1] == ("REVISAR", "OCR_ERROR", "motor") and two[2] == ("REVISAR", "OCR_ERROR", "El OCR no pudo procesar el documento.")
+    assert two[5][:2] == two[6][:2] == ("FACTURA", "OCR")
+    routed = {r.doc_id: (r.method, r.reason) for r in classify.route_textless(docs).collect()}
+    assert routed[3] == ("OCR_LIMITE", "too large") and routed[4] == ("OCR_NO_DISPONIBLE", "No hay una imagen procesable para OCR.") and routed[1] == ("OCR_ERROR", "motor")
+
+
+def test_the_plan_of_two_passes_is_small(spark):
+    """Each text is normalised once, and nothing is filtered by a decision."""
+    docs = spark.createDataFrame([], "doc_id long, success boolean, text string, header_success boolean, header_text string, over_limit boolean, n_images long")
+    for made in (classify.classify_ocr_two_pass(docs), classify.route_textless(docs)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("translate(") <= 12 and "Exchange" not in plan
 
 
 def test_page_text(spark):
@@ -178,7 +218,16 @@ def test_flatten_parts(spark):
     for f in (mime.flatten_parts, mime.flatten_parts_recursive):
         got = f(raw_messages(spark)).orderBy("message_id", "part_id").collect()
         assert [(r.message_id, r.part_id, r.file_name, r.attachment_id, r.inline_data, r.declared_size) for r in got] == want
-    assert mime.flatten_parts(raw_messages(spark), max_depth=1).count() == 2
+    with pytest.raises(mime.TooDeep):  # nothing is dropped without a word
+        mime.flatten_parts(raw_messages(spark), max_depth=1)
+
+
+@pytest.mark.parametrize("depth", [3, 4, 21, 60])
+def test_parts_at_any_depth(spark, depth):
+    leaf = '{"filename":"a.pdf","body":{"attachmentId":"X"}}'
+    tree = '{"filename":"","parts":[' * depth + leaf + "]}" * depth
+    raw = spark.createDataFrame([("m", tree)], "id string, p string").select("id", F.try_parse_json("p").alias("payload"))
+    assert [(r.part_id, r.file_name) for r in mime.flatten_parts(raw).collect()] == [("0" + ".0" * depth, "a.pdf")]
 
 
 def test_map_messages_and_part_bytes(spark):
