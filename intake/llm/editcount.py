@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, text_bytes
-from .encode import WordEncoder, encoder, vocabulary_path
+from .encode import WordEncoder, encoder, vocabulary_path, words_stand_alone
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(ASCII_SPACE)] = True
@@ -55,7 +55,7 @@ class SegmentTree:
     @classmethod
     def build(cls, text: bytes, enc: WordEncoder, leaf: int) -> SegmentTree:
         starts = leaf_starts(text, leaf)
-        counts = np.array([len(enc.encode(text[a:b])) // 2 for a, b in zip(starts, np.r_[starts[1:], len(text)])])
+        counts = np.array([enc.count(text[a:b]) for a, b in zip(starts, np.r_[starts[1:], len(text)])])
         return cls(text, starts, sums(counts), leaf)
 
     @property
@@ -100,7 +100,7 @@ class SegmentTree:
                 cuts = np.array(pick, np.int64)
             else:
                 same = False
-            fresh = [len(enc.encode(region[a:b])) // 2 for a, b in zip(cuts, [*cuts[1:], len(region)])]
+            fresh = [enc.count(region[a:b]) for a, b in zip(cuts, [*cuts[1:], len(region)])]
             if same:
                 changed += list(zip(range(first, last + 1), fresh))
             starts += (cuts + at_out).tolist()
@@ -125,9 +125,17 @@ class SegmentTree:
 STATE = "doc_id long, text binary, starts array<long>, tree array<long>"
 
 
+def _checked(tokenizer: str | None) -> str:
+    """The tokenizer's path; one that does not encode words independently of each other has no counts of leaves."""
+    path = tokenizer or vocabulary_path()
+    if not words_stand_alone(path):
+        raise ValueError(f"{path}: leaves can be counted only where words are encoded independently of each other")
+    return path
+
+
 def build_trees(docs: DataFrame, leaf: int = 32, tokenizer: str | None = None) -> DataFrame:
     """The state of each document: doc_id, text, starts (leaves' bytes), tree (sums of tokens)."""
-    path = tokenizer or vocabulary_path()
+    path = _checked(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -158,7 +166,7 @@ RESULT = "doc_id long, text binary, starts array<long>, tree array<long>, n_toke
 
 def apply_edits(state: DataFrame, edits: DataFrame, leaf: int = 32, tokenizer: str | None = None) -> DataFrame:
     """The state after the edits, with n_tokens_before, n_tokens, n_edits and n_bytes_encoded (bytes that were encoded again)."""
-    path = tokenizer or vocabulary_path()
+    path = _checked(tokenizer)
     grouped = edits.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     grouped = grouped.agg(F.collect_set(F.struct(F.col("position").cast("long").alias("position"), F.col("n_deleted").cast("long").alias("n_deleted"), "inserted")).alias("edits"))
 
@@ -167,13 +175,13 @@ def apply_edits(state: DataFrame, edits: DataFrame, leaf: int = 32, tokenizer: s
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 out = []
-                for row in batch.slice(lo, 500).to_pylist():
-                    text = row["text"] or b""
-                    old = SegmentTree(text, np.array(row["starts"], np.int64), np.array(row["tree"], np.int64), leaf)
-                    new, encoded, apart = old, 0, _in_bytes(text, row["edits"] or [])
+                for doc_id, text, starts, tree, own in zip(*batch.slice(lo, 500).columns):
+                    text = text.as_py() or b""
+                    old = SegmentTree(text, starts.values.to_numpy(), tree.values.to_numpy(), leaf)
+                    new, encoded, apart = old, 0, _in_bytes(text, own.as_py() or [])
                     if apart:
                         new, encoded = old.apply(apart, enc)
-                    out.append((row["doc_id"], new.text, new.starts, new.tree, old.total, new.total, len(apart), encoded))
+                    out.append((doc_id.as_py(), new.text, new.starts, new.tree, old.total, new.total, len(apart), encoded))
                 kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 4]
                 names = [c.split()[0] for c in RESULT.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)

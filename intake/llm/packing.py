@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, size: int = 4096, tokenizer: str | None = None) -> D
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.r_[np.frombuffer(enc.encode(text.as_py()), "<u2").astype("<u4"), end]
+                ids = np.r_[enc.ids(text.as_py()).astype("<u4"), end]
                 for at in range(0, len(ids), size):
                     cut = ids[at : at + size]
                     rows.append((doc_id, at, len(cut), zlib.crc32(cut.tobytes()), len(ids)))
@@ -99,23 +99,37 @@ def assignments(patterns: list[tuple[Pattern, int]]) -> list[tuple[int, int, int
     return out
 
 
+def in_blocks(rows: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple], dict[int, int]]:
+    """The assignments with a block of ranks before them, and how many ranks of each length make a block: as many as an assignment has on
+    average, so a piece meets about two assignments of its length, and there are at most twice as many rows."""
+    ends: dict[int, int] = {}
+    times: dict[int, int] = {}
+    for length, _, last, _, _ in rows:
+        ends[length] = max(ends.get(length, 0), last)
+        times[length] = times.get(length, 0) + 1
+    width = {length: -(-ends[length] // times[length]) for length in ends}
+    return [(length, block, *rest) for length, *rest in rows for block in range(rest[0] // width[length], (rest[1] - 1) // width[length] + 1)], width
+
+
 def pack(docs: DataFrame, size: int = 4096, tokenizer: str | None = None, bucket_rows: int = 200_000) -> DataFrame:
     """All pieces with sequence_id and offset."""
     spark = docs.sparkSession
     cut = stored(pieces(docs, size, tokenizer), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = assignments(shortest_pack_first(histogram, size))
-    slots = spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], "length long, first long, last long, sequence long, offset long")
+    rows, width = in_blocks(assignments(shortest_pack_first(histogram, size)))
+    slots = spark.createDataFrame(rows or [(0, 0, 0, 0, 0, 0)], "length long, block long, first long, last long, sequence long, offset long")
+    widths = spark.createDataFrame(list(width.items()) or [(0, 1)], "length long, width long")  # at most `size` rows
     buckets = max(64, -(-max(histogram.values(), default=0) // bucket_rows))
     salted = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = ranked.join(counts, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("r")).alias("p")
-    if len(rows) <= 500_000:  # 40 bytes each; the number of patterns depends on `size`, not on the input
+    ranked = ranked.join(counts, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("r"))
+    ranked = ranked.join(F.broadcast(widths), "length").withColumn("block", F.floor(F.col("rank") / F.col("width"))).alias("p")
+    if len(rows) <= 500_000:  # 48 bytes each; the number of patterns depends on `size`, not on the input
         slots = F.broadcast(slots)
     slots = slots.alias("s")
-    met = ranked.join(slots, (F.col("p.length") == F.col("s.length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
+    met = ranked.join(slots, (F.col("p.length") == F.col("s.length")) & (F.col("p.block") == F.col("s.block")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     sequence = (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id")
     return met.select("doc_id", "start", F.col("p.length").alias("length"), "ids_crc32", "doc_tokens", sequence, "offset")

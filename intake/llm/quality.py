@@ -199,6 +199,11 @@ def judge(docs: DataFrame, min_words: int = 50, most_class: float = 0.3, most_wo
     return measure(docs, known, min_words, most_word).withColumn("base_failed", failed).withColumn("kept", ~failed & fits)
 
 
+def keep_long(docs: DataFrame, least: int = 10) -> DataFrame:
+    """The rows with `least` words or more, the base rule that a text may fail after parts of it were cut out. A null text has none."""
+    return docs.where(F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")) >= least)
+
+
 def keep_good(docs: DataFrame, min_words: int = 50, most_class: float = 0.3, most_word: float = 0.5, known: References | None = None) -> DataFrame:
     """The rows that the same rules keep, with all their columns and without a shuffle of texts."""
     known = known or references(docs, min_words)

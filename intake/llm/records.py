@@ -119,10 +119,10 @@ def write_records(docs: DataFrame, root: str, tokenizer: str | None = None, shar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shards, enc = _Shards(root, context.partitionId(), context.taskAttemptId(), shard_bytes), encoder(path)
-        end = np.array([END], "<u2")
+        end = np.array([END], enc.kind)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                shards.add(doc_id, np.r_[np.frombuffer(enc.encode(text.as_py()), "<u2"), end])
+                shards.add(doc_id, np.r_[enc.ids(text.as_py()), end])
         shards.close()
         names, n_docs, n_ids = zip(*shards.done) if shards.done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n_docs, pa.int64()), pa.array(n_ids, pa.int64())], names=["shard", "n_docs", "n_ids"])
@@ -137,6 +137,12 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def placed(shards: DataFrame) -> DataFrame:
+    """shard, first: the ids before each shard. One row for each shard of 64 MB."""
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return shards.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+
+
 def read_records(shards: DataFrame, root: str) -> DataFrame:
     """All records of the shards: shard, doc_id, start (ids before it in all shards), n_tokens, ids_crc32 (of the ids as 32-bit integers)."""
 
@@ -153,14 +159,12 @@ def read_records(shards: DataFrame, root: str) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
                 yield out.astype({"doc_id": "Int64"})
 
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard of 64 MB
-    placed = shards.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    dealt = placed.select("shard", "first").repartition(_tasks(shards.sparkSession), "shard")
+    dealt = placed(shards).repartition(_tasks(shards.sparkSession), "shard")
     return dealt.mapInPandas(run, "shard string, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_index(shards: DataFrame, root: str) -> DataFrame:
-    """The offset index: shard, doc_id, offset (of the frame), n_tokens."""
+    """The offset index: shard, doc_id, offset (of the frame), start (ids before it in its shard), n_tokens."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, folder = _store(root)
@@ -170,10 +174,10 @@ def read_index(shards: DataFrame, root: str) -> DataFrame:
                     got = np.frombuffer(stream.read(), INDEX_TYPE)
                 ids = pd.array(got["doc_id"].astype("i8"), dtype="Int64")
                 ids[got["flag"] == 0] = pd.NA
-                yield pd.DataFrame({"shard": shard, "doc_id": ids, "offset": got["offset"].astype("i8"), "n_tokens": got["n"].astype("i8")})
+                yield pd.DataFrame({"shard": shard, "doc_id": ids, "offset": got["offset"].astype("i8"), "start": got["start"].astype("i8"), "n_tokens": got["n"].astype("i8")})
 
     dealt = shards.select("shard").repartition(_tasks(shards.sparkSession), "shard")
-    return dealt.mapInPandas(run, "shard string, doc_id long, offset long, n_tokens long")
+    return dealt.mapInPandas(run, "shard string, doc_id long, offset long, start long, n_tokens long")
 
 
 def read_shuffled(index: DataFrame, root: str, seed: int = 0, tasks: int | None = None) -> DataFrame:
@@ -199,8 +203,35 @@ def read_shuffled(index: DataFrame, root: str, seed: int = 0, tasks: int | None
     return dealt.mapInPandas(run, "doc_id long, ids array<int>")
 
 
+def read_indexed(index: DataFrame, root: str, block_bytes: int = 8 << 20) -> DataFrame:
+    """The records that `index` (shard, doc_id, offset, start, n_tokens) names, each sought out by its entry and compared with it:
+    doc_id, start, n_tokens, ids_crc32. Entries that lie within `block_bytes` of a shard are read by one task in the order of their offsets."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, folder = _store(root)
+        name = stream = None
+        for pdf in frames:
+            rows = []
+            for shard, asked, offset, start, n in zip(pdf["shard"], pdf["doc_id"].astype("Int64"), pdf["offset"], pdf["start"], pdf["n_tokens"]):
+                if shard != name:
+                    if stream is not None:
+                        stream.close()
+                    name, stream = shard, fs.open_input_file(f"{folder}/{shard}.rec")
+                stream.seek(int(offset))
+                doc_id, ids = unpack(unframe(stream))
+                if len(ids) != n or (doc_id is None) != (asked is pd.NA) or (doc_id is not None and doc_id != asked):
+                    raise ValueError(f"{shard}: the index names another record at {offset}")
+                rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+
+    tasks = _tasks(index.sparkSession)
+    dealt = index.repartition(tasks, "shard", F.floor(F.col("offset") / block_bytes)).sortWithinPartitions("shard", "offset")
+    return dealt.select("shard", "doc_id", "offset", "start", "n_tokens").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Writes the documents to a new folder in the shared place and reads them back: doc_id, start, n_tokens, ids_crc32."""
+    """Writes the documents to a new folder in the shared place and reads them back through the offset index: doc_id, start, n_tokens, ids_crc32."""
     root = new_folder(docs.sparkSession, "records")
     shards = write_records(docs, root, tokenizer)
-    return read_records(shards, root).drop("shard")
+    index = read_index(shards, root).join(F.broadcast(placed(shards)), "shard")  # a row for each shard of 64 MB
+    return read_indexed(index.withColumn("start", F.col("first") + F.col("start")), root)

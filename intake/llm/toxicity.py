@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import shuffles_removed, stored, text_bytes
 
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -91,45 +91,68 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, sample_byte
     rows, total = size[0], size[1] or 0
     share = min(1.0, sample / max(1, rows), sample_bytes / max(1, total))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return texts.join(chosen, "doc_id"), int(share * total)
+    return texts.join(F.broadcast(chosen), "doc_id"), int(share * total)  # `sample` rows of two numbers
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample: int = 20_000, sample_bytes: int = 64 << 20, task_bytes: int = 12 << 20, bits: int = 20, epochs: int = 10,
+    docs: DataFrame, labels: DataFrame, sample: int = 20_000, sample_bytes: int = 64 << 20, task_bytes: int = 12 << 20, bits: int = 20, least: int = 3, epochs: int = 10,
     alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1,
 ) -> Model:
-    """The model of a bounded sample of labelled rows that are not held out, learned by a task for about `task_bytes` of text."""
+    """The model of a bounded sample of labelled rows that are not held out, learned by a task for about `task_bytes` of text.
+
+    Buckets that fewer than `least` texts of the sample hold are left out, as most pairs of words stand in one text only.
+    """
     texts, size = labelled_sample(docs, labels, sample, sample_bytes)
+    spark = docs.sparkSession
     tasks = max(1, -(-size // task_bytes))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each task: its texts' buckets in the order they are learned, how many each has, and their labels."""
+        held: dict[int, list] = {}
         for batch in batches:
-            held = [np.unique(features(t.as_py(), bits)).astype(np.int32) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("task"), batch.column("turn"), pa.array(held, pa.list_(pa.int32())), batch.column("toxic")], names=["task", "turn", "buckets", "toxic"])
+            for task, text, toxic in zip(batch.column("task").to_pylist(), batch.column("text"), batch.column("toxic").to_pylist()):
+                held.setdefault(task, []).append((np.unique(features(text.as_py(), bits)).astype(np.int32), toxic))
+        for rows in held.values():
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            columns = (np.concatenate([x for x, _ in rows]), np.array([len(x) for x, _ in rows]), np.array([y for _, y in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], names=["buckets", "sizes", "toxic"])
 
     turn = F.xxhash64("doc_id", F.lit(1), "text")
     dealt = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(tasks)).cast("int").alias("task"), turn.alias("turn"), "text", "toxic")
-    rows = stored(dealt.mapInArrow(sets, "task int, turn long, buckets array<int>, toxic int"), "features")
+    dealt = dealt.repartition(tasks, "task").sortWithinPartitions("task", "turn").select("task", "text", "toxic")
+    rows = stored(dealt.mapInArrow(sets, "buckets array<int>, sizes array<int>, toxic array<int>"), "features")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.bincount(batch.column("buckets").flatten().to_numpy(), minlength=1 << bits)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
+
+    with shuffles_removed(spark):
+        counted = rows.select("buckets").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    kept = np.zeros(1 << bits, bool)
+    kept[counted.column("at").to_numpy()] = True
     state = Ftrl(bits, alpha, beta, l1, l2)
     for _ in range(epochs):
-        z, n = state.z.astype(np.float64), state.n.astype(np.float64)
+        z, n = state.z.copy(), state.n.copy()
 
         def epoch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Ftrl(bits, alpha, beta, l1, l2)
-            own.z, own.n = z.copy(), n.copy()
             for batch in batches:
-                for buckets, toxic in zip(batch.column("buckets"), batch.column("toxic").to_pylist()):
-                    own.learn(buckets.values.to_numpy(), toxic)
-            at = np.flatnonzero((own.n != n) | (own.z != z))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.z[at] - z[at]), pa.array(own.n[at] - n[at])], names=["at", "z", "n"])
-
-        steps = rows.repartition(tasks, "task").sortWithinPartitions("task", "turn").select("buckets", "toxic").mapInArrow(epoch, "at long, z double, n double")
-        added = steps.groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()  # at most 2**bits + 1 rows
+                for buckets, sizes, toxic in zip(*(batch.column(c) for c in ("buckets", "sizes", "toxic"))):
+                    own = Ftrl(bits, alpha, beta, l1, l2)
+                    own.z, own.n = z.copy(), n.copy()
+                    for x, y in zip(np.split(buckets.values.to_numpy(), np.cumsum(sizes.values.to_numpy())[:-1]), toxic.values.to_pylist()):
+                        own.learn(x[kept[x]], y)
+                    at = np.flatnonzero((own.n != n) | (own.z != z))
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.z[at] - z[at]), pa.array(own.n[at] - n[at])], names=["at", "z", "n"])
+
+        with shuffles_removed(spark):
+            steps = rows.mapInArrow(epoch, "at long, z double, n double")
+            added = steps.groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()  # at most 2**bits + 1 rows
         at = added.column("at").to_numpy()
         state.z[at] += added.column("z").to_numpy()
         state.n[at] += added.column("n").to_numpy()
-    at = np.arange(len(state.z))
-    w = state.weights(at)
+    w = state.weights(np.arange(len(state.z)))
     found = np.flatnonzero(w[:-1])
     return Model(found, w[found].astype(np.float32), float(w[-1]), bits)
 

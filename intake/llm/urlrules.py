@@ -20,6 +20,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread_join
+
+#: Rule tables of at most so many rows are broadcast; larger ones are joined with hot tokens and hosts dealt over several tasks.
+MOST_BROADCAST = 200_000
+
 #: (action, host, path)
 HOST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: (action, pattern): tracking and advertisement paths, session and sorting variants, printed copies, and what is always allowed.
@@ -119,6 +124,11 @@ def file_rules(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     return lowered.join(counts, "token", "left").groupBy("rule_no", "action", "pattern").agg(F.min_by("token", rank).alias("token"))
 
 
+def _with_rules(each: DataFrame, rules: DataFrame, key: str, n: int) -> DataFrame:
+    """`each` with the rules of its key: without a shuffle where the rules, `n` at most, can be broadcast, so only hits go on."""
+    return each.join(F.broadcast(rules), key) if n <= MOST_BROADCAST else spread_join(each, rules, key)
+
+
 def match_hosts(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """row, rule, verdict of the longest host rule; rows without one are left out. pages: row, host, path."""
     spark = pages.sparkSession
@@ -126,7 +136,7 @@ def match_hosts(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Data
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     each = pages.where("host <> ''").select("row", "path", F.explode(F.array_distinct(suffixes)).alias("rule_host"))
-    met = each.join(named, "rule_host").where(F.startswith("path", "rule_path"))
+    met = _with_rules(each, named, "rule_host", len(rules)).where(F.startswith("path", "rule_path"))
     rule = F.concat("rule_host", "rule_path")
     best = F.max_by(F.struct(rule.alias("rule"), "action"), F.struct(F.length(rule), rule, "action"))
     return met.groupBy("row").agg(best.alias("b")).select("row", "b.rule", F.col("b.action").alias("verdict"))
@@ -137,7 +147,7 @@ def match_patterns(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFr
     filed = file_rules(pages, rules)
     tokens = F.array_append(F.regexp_extract_all(F.lower("url"), F.lit(TOKEN), 0), F.lit(""))
     each = pages.where("url IS NOT NULL").select("row", "url", F.explode(F.array_distinct(tokens)).alias("token"))
-    hit = each.join(filed, "token").where(F.expr("url RLIKE pattern"))
+    hit = _with_rules(each, filed, "token", len(rules)).where(F.expr("url RLIKE pattern"))
     return hit.groupBy("row").agg(F.min("action").alias("pattern_action"))
 
 
@@ -146,10 +156,12 @@ def judge_urls(pages: DataFrame, hosts: Sequence[tuple[str, str, str]] = HOST_RU
     host, path = host_and_path(F.col("url"))
     base = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     # a URL is judged once, however many pages share it
-    distinct = base.select("url", "host", "path").distinct().withColumn("row", F.col("url"))
+    counted = base.where("url IS NOT NULL").groupBy("url", "host", "path").agg(F.count(F.lit(1)).alias("_n"))
+    distinct = counted.withColumn("row", F.col("url"))
     by_host = match_hosts(distinct, hosts)
     by_pattern = match_patterns(distinct, patterns)
     judged = distinct.join(by_host, "row", "left").join(by_pattern, "row", "left")
-    judged = judged.select(F.col("row").alias("_url"), "rule", F.coalesce("verdict", "pattern_action", F.lit(default)).alias("verdict"))
-    out = base.join(judged, F.col("url") == F.col("_url"), "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    judged = judged.select("url", "rule", F.coalesce("verdict", "pattern_action", F.lit(default)).alias("verdict"))
+    out = spread_join(base.where("url IS NOT NULL"), judged, "url", counts=counted.select("url", "_n")).select("page_id", "host", "path", "rule", "verdict")
+    none = base.where("url IS NULL").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return out.unionByName(none)

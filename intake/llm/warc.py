@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, stored
+from .common import new_folder, spread_join, stored
 
 _EPOCH = datetime.datetime(2024, 1, 1)
 _NAME = "urn:intake-page:"
@@ -140,7 +140,8 @@ def decide(pages: DataFrame, least: int = 1000) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1("html"))
     sized = rows.where(F.octet_length("html") >= least).select("page_id", "digest")
     best = sized.groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 AND best IS NOT NULL")
-    again = sized.join(best, "digest").where("page_id IS NULL OR page_id <> best").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("best").alias("refers_to")).distinct()
+    met = spread_join(sized, best.drop("n"), "digest", counts=best.select("digest", F.col("n").alias("_n")))  # one error page may be a third of all
+    again = met.where("page_id IS NULL OR page_id <> best").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("best").alias("refers_to")).distinct()
     met = rows.join(again, rows["page_id"].eqNullSafe(again["_page"]) & (rows["digest"] == again["_digest"]), "left")
     return met.select("page_id", "url", "html", "when", "digest", "refers_to")
 
@@ -270,8 +271,8 @@ def merge_runs(runs: DataFrame, root: str, fan_in: int = 256, part_lines: int =
     Groups of about `fan_in` runs are merged range by range; then groups within a range, until each range has one file.
     """
     total, count = runs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    parts = min(4096, -(-total // part_lines)) or 1
-    lines = runs.select(F.explode("lines").alias("line")).orderBy(F.xxhash64("line")).limit(sample)
+    parts = min(1 << 16, -(-total // part_lines)) or 1  # a merge holds a line a run, whatever its range: more ranges make shorter tasks only
+    lines = runs.select(F.explode("lines").alias("line")).orderBy(F.xxhash64("line")).limit(max(sample, 4 * parts))
     known = sorted(bytes(r["line"]) for r in lines.collect())
     splits = sorted({known[len(known) * i // parts] for i in range(1, parts)}) if known else []
     groups = runs.withColumn("g", F.crc32(F.col("run").cast("binary")) % F.lit(max(1, -(-count // fan_in))))

@@ -99,3 +99,28 @@ def test_query_covers_all_documents(spark):
     got = QUERIES["op1_simhash_pivots"](spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where(F.lit(True)).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == brute([(r.doc_id, r.text) for r in docs])
+
+
+def test_very_many_rows_of_one_fingerprint(spark):
+    """A third of all rows and more: the hot fingerprint is dealt over tasks, and every row keeps its result."""
+    hot = spark.range(100_000).selectExpr("id AS doc_id", "'the same page again' AS text")
+    rest = spark.range(100_000, 100_300).selectExpr("id AS doc_id", "concat('w', id, ' x', id * 7, ' y', id * 13, ' z', id) AS text")
+    got = simhash.near_duplicates(hot.unionByName(rest))
+    assert got.count() == 100_300 and got.where("component_id = 0").count() == 100_000
+    sizes = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(sizes) < 60_000
+
+
+def test_large_bands_are_narrowed(spark):
+    """Fingerprints that agree in half of their bits: all of them meet in one band."""
+    rng = random.Random(6)
+    fps = sorted({rng.getrandbits(32) for _ in range(300)} | {1 << 40 | k for k in range(8)})
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "node long, fp long")
+    got = {r.node: r.component for r in simhash.similar_groups(nodes, bucket=40).collect()}
+    first = {i: i for i in range(len(fps))}
+    for _ in range(20):
+        for i, a in enumerate(fps):
+            for j in range(i):
+                if (a ^ fps[j]).bit_count() <= 3:
+                    first[i] = first[j] = min(first[i], first[j])
+    assert {i: got.get(i, i) for i in first} == first and len(got) > 5

@@ -194,3 +194,46 @@ def test_edit_query(spark, tokenizer):
         assert (got[d].n_tokens_before, got[d].n_tokens, got[d].n_bytes) == (len(ids_of(tokenizer, text)) - 1, len(ids_of(tokenizer, want)) - 1, len(want.encode()))
     whole = [r for r in got.values() if r.n_bytes > 6000]
     assert sum(r.n_bytes_encoded for r in whole) < 0.4 * sum(r.n_bytes for r in whole)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizers_give_their_own_ids(spark, name):
+    from tokenizers import Tokenizer
+
+    from intake.llm.encode import words_stand_alone
+
+    path = vocabulary_path(name)
+    own = Tokenizer.from_file(path)
+    assert words_stand_alone(path) == (name == "word_bpe_49k.json")
+    docs = odd_docs(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = records.round_trip(docs, path).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_tokens, r.ids_crc32) for r in got))) == sorted(str((d, len(ids_of(own, t)), crc(ids_of(own, t)))) for d, t in rows)
+    check_packing(rows, own, packing.pack(docs, size=64, tokenizer=path).collect(), 64)
+    if name != "word_bpe_49k.json":
+        with pytest.raises(ValueError, match="independently"):
+            editcount.build_trees(docs, tokenizer=path)
+
+
+def test_the_index_leads_to_the_records(spark, tokenizer):
+    docs = odd_docs(spark)
+    root = new_folder(spark, "records")
+    shards = records.write_records(docs, root, shard_bytes=300)
+    index = records.read_index(shards, root)
+    some = index.where("doc_id > 30")
+    got = records.read_indexed(some, root, block_bytes=100).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.where("doc_id > 30").collect())
+    with pytest.raises(Exception, match="names another record"):
+        records.read_indexed(some.withColumn("n_tokens", F.col("n_tokens") + 1), root).collect()
+
+
+def test_slots_of_many_pieces():
+    rng = random.Random(4)
+    rows = packing.assignments(packing.shortest_pack_first({n: rng.choice([1, 5, 1000]) for n in range(1, 65)}, 64))
+    blocks, width = packing.in_blocks(rows)
+    assert len(blocks) <= 2 * len(rows) + 64
+    found = {}
+    for length, block, first, last, *_ in blocks:
+        for r in range(max(first, block * width[length]), min(last, (block + 1) * width[length])):
+            found[length, r] = found.get((length, r), 0) + 1
+    assert set(found.values()) == {1} and len(found) == sum(last - first for _, first, last, _, _ in rows)

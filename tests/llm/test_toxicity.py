@@ -1,5 +1,6 @@
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -80,6 +81,8 @@ def test_weights_are_those_of_plain_ftrl(spark):
     toxic = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
     turns = docs.select("doc_id", "text", F.xxhash64("doc_id", F.lit(1), F.col("text").cast("binary")).alias("turn")).orderBy("turn").collect()
     rows = [(set(toxicity.features((r.text or "").encode(), 20).tolist()), toxic[r.doc_id]) for r in turns if r.doc_id in toxic]
+    held = Counter(b for x, _ in rows for b in x)
+    rows = [({b for b in x if held[b] >= 3}, y) for x, y in rows]
     model = toxicity.train(docs, labels, epochs=3)
     want = plain_ftrl(rows, 3, 3.0, 1.0, 8.0, 0.1)
     bias = want.pop("bias")
