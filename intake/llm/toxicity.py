@@ -5,8 +5,9 @@ between them. Weights are learned with a rate for each coordinate, and L1 keeps
 short list of buckets that is sent to every task.
 
 The sample is dealt over tasks by its size. In each epoch every task starts from the common state (z, n), learns on its rows in their order,
-and hands back what it added; the sums of what all tasks added are the next state. With one task that is plain FTRL. The state has
-2**bits + 1 coordinates, whatever the input.
+and hands back what it added. What k tasks added to a coordinate is summed and divided by the root of k: the sum alone goes too far, as all of
+them push where one would have been enough, and the mean not far enough. With one task that is plain FTRL. The state has 2**bits + 1
+coordinates, whatever the input.
 
 The sample is bounded: about `sample` labelled rows and `sample_bytes` bytes of text, chosen by a hash of their doc_id (Bernoulli with a
 share of the count), and only rows whose crc32 of the doc_id as text leaves a remainder at division by 5. Every text is scored whole.
@@ -148,7 +149,8 @@ def train(
 
         with shuffles_removed(spark):
             steps = rows.mapInArrow(epoch, "at long, z double, n double")
-            added = steps.groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()  # at most 2**bits + 1 rows
+            mean = lambda c: (F.sum(c) / F.sqrt(F.count(F.lit(1)))).alias(c)
+            added = steps.groupBy("at").agg(mean("z"), mean("n")).toArrow()  # at most 2**bits + 1 rows
         at = added.column("at").to_numpy()
         state.z[at] += added.column("z").to_numpy()
         state.n[at] += added.column("n").to_numpy()
