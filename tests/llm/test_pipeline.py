@@ -54,7 +54,7 @@ def test_near_copies_go(spark):
 
 def odd_rows():
     text = " ".join(f"word{i}" for i in range(30))
-    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(180_000))
+    long = " ".join(f"w{i}" for i in range(180_000))
     return [
         (1, text, "en", "s", 9, "a"), (1, text, "en", "s", 9, "a"), (2, text, "en", "s", 9, "b"), (3, None, None, None, None, None), (4, "", "en", "s", 0, "c"), (5, " \n", "en", "s", 2, "c"),
         (None, text + " and more of it", "en", "s", 1, "d"), (6, long, "xx", "s", 1, "e"), (7, "short text", "en", "s", 1, "f"),
