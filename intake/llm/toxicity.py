@@ -131,13 +131,18 @@ def train(
 
     with shuffles_removed(spark):
         counted = rows.select("buckets").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    kept = np.zeros(1 << bits, bool)
-    kept[counted.column("at").to_numpy()] = True
+    some = np.zeros(1 << bits, bool)
+    some[counted.column("at").to_numpy()] = True
+    packed = np.packbits(some)  # 2**bits / 8 bytes in each task
     state = Ftrl(bits, alpha, beta, l1, l2)
     for _ in range(epochs):
-        z, n = state.z.copy(), state.n.copy()
+        at = np.flatnonzero(state.n)
+        sent = spark.sparkContext.broadcast((at.astype(np.int32), state.z[at], state.n[at]))  # 20 bytes a coordinate; gone after the epoch
 
         def epoch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept = np.unpackbits(packed).astype(bool)
+            z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+            z[sent.value[0]], n[sent.value[0]] = sent.value[1:]
             for batch in batches:
                 for buckets, sizes, toxic in zip(*(batch.column(c) for c in ("buckets", "sizes", "toxic"))):
                     own = Ftrl(bits, alpha, beta, l1, l2)
@@ -151,6 +156,7 @@ def train(
             steps = rows.mapInArrow(epoch, "at long, z double, n double")
             mean = lambda c: (F.sum(c) / F.sqrt(F.count(F.lit(1)))).alias(c)
             added = steps.groupBy("at").agg(mean("z"), mean("n")).toArrow()  # at most 2**bits + 1 rows
+        sent.destroy()
         at = added.column("at").to_numpy()
         state.z[at] += added.column("z").to_numpy()
         state.n[at] += added.column("n").to_numpy()
