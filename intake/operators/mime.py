@@ -57,10 +57,10 @@ def flatten_parts(raw: DataFrame, max_depth: int = 1000, levels: int = 4) -> Dat
     """raw: id, payload (variant). The attachment parts of each message's tree, however deep; a part without an id of its own has
     its path, `0.i.j`. One level after the other, so no number of rows is too large.
 
-    What lies below the next `levels` levels is checkpointed (`spark.checkpoint.dir`) and read from there, until nothing is left, so no level
-    is computed twice by its own parts. Trees beyond `max_depth` raise TooDeep; nothing is dropped.
+    The trees, and then what lies below every `levels` levels, are checkpointed (`spark.checkpoint.dir`) and read from there until nothing is
+    left: whatever made `raw` runs once, and no level needs a shuffle. Trees beyond `max_depth` raise TooDeep; nothing is dropped.
     """
-    level = raw.select(F.col("id").alias("message_id"), F.col("payload").alias("part"), F.lit("0").alias("path"))
+    level = checkpointed(raw.select(F.col("id").alias("message_id"), F.col("payload").alias("part"), F.lit("0").alias("path")))
     out = []
     for depth in range(max_depth + 1):
         rows = level.select("message_id", _part_id(F.col("part"), F.col("path")).alias("part_id"), *(c.alias(k) for k, c in _fields(F.col("part")).items()))
@@ -76,14 +76,14 @@ def flatten_parts(raw: DataFrame, max_depth: int = 1000, levels: int = 4) -> Dat
 
 
 def flatten_parts_recursive(raw: DataFrame) -> DataFrame:
-    """The same as a recursive query; Spark bounds its depth (100) and rows (a million)."""
+    """The same as a recursive query; Spark bounds its depth (100 levels, beyond which it raises). LIMIT ALL lifts its bound on rows."""
     found = raw.sparkSession.sql(
         """
         WITH RECURSIVE tree(message_id, part, path) AS (
           SELECT id, payload, CAST('0' AS STRING) FROM {raw}
           UNION ALL
           SELECT t.message_id, e.value, concat(t.path, '.', CAST(e.pos AS STRING)) FROM tree t, LATERAL variant_explode(try_variant_get(t.part, '$.parts', 'variant')) e
-        ) SELECT * FROM tree""",
+        ) SELECT * FROM tree LIMIT ALL""",
         raw=raw,
     )
     rows = found.select("message_id", _part_id(F.col("part"), F.col("path")).alias("part_id"), *(c.alias(k) for k, c in _fields(F.col("part")).items()))
