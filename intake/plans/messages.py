@@ -23,23 +23,22 @@ from .define import ORACLES, QUERIES, query
 
 
 def raw_messages(attachments: DataFrame) -> DataFrame:
-    """id, payload: a tree for each message, its parts in the order of their ids. Most have two levels; where the first part is large, the
-    parts lie below 24 more."""
+    """id, payload: a tree for each message, its parts in the order of their ids. Most have two levels; where the first part
+    has no id of its own, the parts lie below 24 more."""
     part = F.struct(
         F.col("part_id").alias("partId"), F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".pdf")).alias("filename"), F.lit("application/pdf").alias("mimeType"),
         F.struct(F.when(F.col("state") != "Error", F.concat(F.lit("A"), F.col("id").cast("string"))).alias("attachmentId"), F.col("size_bytes").alias("size")).alias("body"),
     )
-    grouped = attachments.groupBy("message").agg(F.sort_array(F.collect_list(F.struct("id", part.alias("part"), "size_bytes"))).alias("all"))
+    grouped = attachments.groupBy("message").agg(F.sort_array(F.collect_list(F.struct("id", part.alias("part")))).alias("all"))
     inner = F.to_json(F.struct(F.lit("").alias("filename"), F.transform("all", lambda x: x["part"]).alias("parts")))
-    levels = F.when(F.col("all")[0]["size_bytes"] > DEEP, 25).otherwise(1)
+    levels = F.when(F.col("all")[0]["part"]["partId"].isNull(), 25).otherwise(1)
     payload = F.concat(F.repeat(F.lit('{"filename":"","parts":['), levels), inner, F.repeat(F.lit("]}"), levels))
     return grouped.select(F.concat(F.lit("m"), F.col("message").cast("string")).alias("id"), F.parse_json(payload).alias("payload"))
 
 
-DEEP = 1_000_000
-_PARTS = f"""SELECT 'm' || message AS message_id, coalesce(part_id, '0' || repeat('.0', CASE WHEN first_size > {DEEP} THEN 25 ELSE 1 END) || '.' || k) AS part_id, 'f' || id || '.pdf' AS file_name,
+_PARTS = """SELECT 'm' || message AS message_id, coalesce(part_id, '0' || repeat('.0', CASE WHEN first_id IS NULL THEN 25 ELSE 1 END) || '.' || k) AS part_id, 'f' || id || '.pdf' AS file_name,
     'application/pdf' AS mime_type, 'A' || id AS attachment_id, CAST(NULL AS VARCHAR) AS inline_data, CAST(size_bytes AS INTEGER) AS declared_size
-    FROM (SELECT *, row_number() OVER w - 1 AS k, first_value(size_bytes) OVER w AS first_size FROM attachments WINDOW w AS (PARTITION BY message ORDER BY id)) WHERE state <> 'Error'"""
+    FROM (SELECT *, row_number() OVER w - 1 AS k, first_value(part_id) OVER w AS first_id FROM attachments WINDOW w AS (PARTITION BY message ORDER BY id)) WHERE state <> 'Error'"""
 
 
 @query("flatten_parts", _PARTS)
