@@ -18,6 +18,7 @@ from .tiling import contaminations
 from .toxicity import score_toxicity
 from .urlrules import HOST_RULES, PATTERN_RULES, judge_urls
 from .warc import round_trip as warc_round_trip
+from .whitening import whiten
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +158,10 @@ def op10_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -170,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_prefix_doubling,
         op9_ftrl_toxicity,
         op10_shortest_pack_first,
+        op11_embedding_whitening,
     )
 }
 
