@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .editcount import apply_edits, build_trees
+from .langid import identify
 from .packing import pack
 from .quality import judge
 from .records import round_trip
@@ -162,6 +163,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -176,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_ftrl_toxicity,
         op10_shortest_pack_first,
         op11_embedding_whitening,
+        op13_nearest_centroid,
     )
 }
 
