@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .collocations import collocations
 from .editcount import apply_edits, build_trees
 from .langid import identify
 from .packing import pack
@@ -163,6 +164,28 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+    i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+    g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM i, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w)),
+    n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+    f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+    s AS (SELECT lang, f, g[b:b + j - 1] AS g FROM (SELECT *, unnest(range(1, k - j + 2)) AS b FROM (SELECT *, unnest(range(2, k)) AS j FROM f WHERE k > 2))),
+    m AS (SELECT lang, g, max(f) AS longer FROM s GROUP BY ALL),
+    c AS (SELECT f.lang, f.g, f.k, f.f AS a, n.n, unnest(range(1, f.k)) AS cut FROM f JOIN n ON n.lang = f.lang LEFT JOIN m ON m.lang = f.lang AND m.g = f.g WHERE f.k > 1 AND NOT coalesce(100 * longer >= 100 * f.f, false)),
+    x AS (SELECT c.lang, c.g, a, n, cut, fl.f AS l, fr.f AS r, (1000 * a::HUGEINT * n::HUGEINT) // (fl.f::HUGEINT * fr.f::HUGEINT) AS score
+        FROM c JOIN f fl ON fl.lang = c.lang AND fl.g = c.g[1:cut] JOIN f fr ON fr.lang = c.lang AND fr.g = c.g[cut + 1:]),
+    b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS place FROM x),
+    o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM b WHERE place = 1)
+    SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) WHERE rank <= 2000"""
+
+
 def op13_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
@@ -181,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_ftrl_toxicity,
         op10_shortest_pack_first,
         op11_embedding_whitening,
+        op12_trie_collocations,
         op13_nearest_centroid,
     )
 }
@@ -190,4 +214,5 @@ ORACLES: dict[str, str] = {
     "op6_url_rules": op6_sql(),
     "op7_merged_captures": OP7_SQL,
     "op8_prefix_doubling": OP8_SQL,
+    "op12_trie_collocations": OP12_SQL,
 }
