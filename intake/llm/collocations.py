@@ -4,8 +4,9 @@
 2. Texts become runs of numbers, -1 between pieces, packed in blocks without doc_id: all that later passes read.
 3. For each length: positions where two frequent phrases of one word less overlap are Apriori-safe. A 64-bit hash of the longer phrase is
    counted in the tasks and summed by Spark; hashes below `least` go, which loses nothing, as a collision can only add.
-   What the others stand for is fetched from the blocks, built into a double-array trie and broadcast; numpy advances the states of all
-   positions of a block, level by level, counts accepting states, and Spark adds up the tasks' counts, which decide.
+   What the others stand for is fetched from one block each, built into a double-array trie and broadcast; numpy advances the states of
+   all positions of a block, level by level, counts accepting states, and the tasks' counts, in ranges of states, are added up. They
+   decide. A hash whose phrases do not add up to its sum hides another phrase, and is fetched again from all blocks.
 4. Cuts, scores and containment are joins over the frequent phrases.
 
 Dictionaries and tries hold at most `shard` words or phrases. Where there are more, each further shard is one more pass over the blocks, so
@@ -22,9 +23,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,7 @@ UNKNOWN = "und"
 _TABLE = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 18  # numbers in a block
 _HELD = 1 << 21  # counts that a task holds before it hands them on
+_RANGE = 4096  # counts that tasks hand on in one row
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,7 +96,7 @@ def _arrays(batch: pa.RecordBatch, name: str, kind: type) -> Iterator[np.ndarray
 
 
 def encode(docs: DataFrame, words: DataFrame, n_words: int, shard: int) -> DataFrame:
-    """codes: blocks of little-endian 32-bit numbers of the texts' words, -1 for others and between pieces."""
+    """block, codes: little-endian 32-bit numbers of the texts' words, -1 for others and between pieces, and a number for each block of them."""
     rows, shards = docs.withColumn("ids", F.lit(None).cast("binary")), max(1, -(-n_words // shard))
     for s in range(shards):
         held = words.where(F.col("code").between(s * shard, (s + 1) * shard - 1)).select("lang", "word", "code").toArrow()
@@ -103,7 +107,8 @@ def encode(docs: DataFrame, words: DataFrame, n_words: int, shard: int) -> DataF
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last: bool = s == shards - 1) -> Iterator[pa.RecordBatch]:
             block: list[np.ndarray] = []
-            as_blocks = lambda: pa.RecordBatch.from_arrays([pa.array([_packed(np.concatenate(block)).astype("<i4").tobytes()], pa.binary())], names=["codes"])
+            number = count(TaskContext.get().partitionId() << 32)
+            as_blocks = lambda: pa.RecordBatch.from_arrays([pa.array([next(number)]), pa.array([_packed(np.concatenate(block)).astype("<i4").tobytes()], pa.binary())], names=["block", "codes"])
             for batch in batches:
                 found = []
                 for lang, text, known in zip(batch.column("lang").to_pylist(), batch.column("text"), _arrays(batch, "ids", np.dtype("<i4"))):
@@ -123,17 +128,17 @@ def encode(docs: DataFrame, words: DataFrame, n_words: int, shard: int) -> DataF
             if block:
                 yield as_blocks()
 
-        rows = stored(rows.mapInArrow(run, "codes binary" if s == shards - 1 else "lang string, text binary, ids binary"), "codes")
+        rows = stored(rows.mapInArrow(run, "block long, codes binary" if s == shards - 1 else "lang string, text binary, ids binary"), "codes")
         sent.destroy()
     return rows.withColumn("alive", F.lit(None).cast("binary"))
 
 
-def hashes(x: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def hashes(x: np.ndarray, at: np.ndarray, length: int, bits: int = 64) -> np.ndarray:
     h = np.full(len(at), length, np.uint64)
     for j in range(length):
         h = (h ^ x[at + j].astype(np.uint64)) * _MIX
         h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+    return (h >> np.uint64(64 - bits)).view(np.int64)
 
 
 def _starts(x: np.ndarray, length: int) -> np.ndarray:
@@ -144,9 +149,9 @@ def _starts(x: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(reduce(np.logical_and, (ok[j : len(x) - length + 1 + j] for j in range(length))))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
     for batch in batches:
-        yield from zip(_arrays(batch, "codes", np.dtype("<i4")), _arrays(batch, "alive", np.uint8))
+        yield from zip(batch.column("block").to_pylist(), _arrays(batch, "codes", np.dtype("<i4")), _arrays(batch, "alive", np.uint8))
 
 
 def _marked(x: np.ndarray, known: np.ndarray | None, trie: Trie, length: int) -> np.ndarray:
@@ -159,66 +164,66 @@ def mark(rows: DataFrame, sent, length: int) -> DataFrame:
     """`alive` set where a phrase of the trie begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, known in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([_marked(x, known, sent.value, length).tobytes()], pa.binary())], names=["codes", "alive"])
+        for b, x, known in _blocks(batches):
+            columns = [pa.array([b]), pa.array([x.tobytes()], pa.binary()), pa.array([_marked(x, known, sent.value, length).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "codes", "alive"])
 
-    return rows.mapInArrow(run, "codes binary, alive binary")
+    return rows.mapInArrow(run, "block long, codes binary, alive binary")
 
 
-def likely(rows: DataFrame, sent, length: int, least: int) -> DataFrame:
-    """h: hashes of Apriori-safe phrases of this length that may reach `least`. sent: the trie of the last shard of phrases one word
-    shorter (those of the others are marked in `alive`), None for pairs of words."""
+def likely(rows: DataFrame, sent, length: int, least: int, bits: int) -> DataFrame:
+    """h, n, block: hashes of Apriori-safe phrases of this length that may reach `least`, their sums, and the first block that holds each.
+    sent: the trie of the last shard of phrases one word shorter (those of the others are marked in `alive`), None for pairs of words."""
 
-    def merged(held: list) -> tuple[np.ndarray, np.ndarray]:
-        h, n = (np.concatenate(part) for part in zip(*held))
-        h, place = np.unique(h, return_inverse=True)
-        return h, np.bincount(place, weights=n).astype(np.int64)
+    def merged(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, n, b = (np.concatenate(part) for part in zip(*held))
+        order = np.lexsort((b, h))
+        h, n, b = h[order], n[order], b[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])[: len(h)]
+        return h[first], np.add.reduceat(n, first) if len(h) else n, b[first]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        out = lambda h, n: pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
-        for x, known in _blocks(batches):
+        out = lambda *columns: pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["h", "n", "block"])
+        for b, x, known in _blocks(batches):
             at = _starts(x, length)
             if sent is not None:
                 alive = _marked(x, known, sent.value, length - 1)
                 at = at[(alive[at] & alive[at + 1]) == 1]
-            held.append(np.unique(hashes(x, at, length), return_counts=True))
-            if sum(len(h) for h, _ in held) > _HELD:
+            h, n = np.unique(hashes(x, at, length, bits), return_counts=True)
+            held.append((h, n, np.full(len(h), b)))
+            if sum(len(h) for h, _, _ in held) > _HELD:
                 held = [merged(held)]
                 if len(held[0][0]) > _HELD // 2:
                     yield out(*held.pop())
         if held:
             yield out(*merged(held))
 
-    return rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+    summed = rows.mapInArrow(run, "h long, n long, block long").groupBy("h").agg(F.sum("n").alias("n"), F.min("block").alias("block"))
+    return summed.where(F.col("n") >= least)
 
 
-def phrases_of(rows: DataFrame, wanted: np.ndarray, length: int) -> DataFrame:
-    """codes: the different phrases whose hash is among `wanted`."""
-    wanted = np.sort(wanted)
-    few = np.zeros(1 << 24, bool)
-    few[wanted & 0xFFFFFF] = True
-    sent = rows.sparkSession.sparkContext.broadcast((wanted, np.packbits(few)))
+def phrases_of(rows: DataFrame, wanted: np.ndarray, block: np.ndarray | None, length: int, bits: int) -> DataFrame:
+    """codes: the different phrases whose hash is among `wanted`, each looked for in its block only, or in all."""
+    order = np.argsort(wanted, kind="stable") if block is None else np.lexsort((wanted, block))
+    sent = rows.sparkSession.sparkContext.broadcast((wanted[order], None if block is None else block[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sorted_, bits = sent.value
-        flags = np.unpackbits(bits).view(bool)
-        seen = np.zeros((0, length), np.int32)
-        for x, _ in _blocks(batches):
-            at = _starts(x, length)
-            h = hashes(x, at, length)
-            maybe = flags[h & 0xFFFFFF]
-            at, h = at[maybe], h[maybe]
-            at = at[sorted_[np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)] == h]
-            seen = np.unique(np.concatenate([seen, x[at[:, None] + np.arange(length)]]), axis=0)
-        yield _phrase_rows(seen)
+        sorted_, where = sent.value
+        for b, x, _ in _blocks(batches):
+            own = sorted_ if where is None else sorted_[np.searchsorted(where, b) : np.searchsorted(where, b, "right")]
+            if len(own):
+                at = _starts(x, length)
+                h = hashes(x, at, length, bits)
+                at = at[own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h]
+                yield _phrase_rows(np.unique(x[at[:, None] + np.arange(length)], axis=0))
 
     return rows.mapInArrow(run, "codes array<int>").distinct()
 
 
-def _phrase_rows(x: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
+def _phrase_rows(x: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
     codes = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel().astype(np.int32)))
-    return pa.RecordBatch.from_arrays([codes] + ([] if n is None else [pa.array(n)]), names=["codes", "n"][: 1 + (n is not None)])
+    return pa.RecordBatch.from_arrays([codes, *map(pa.array, more.values())], names=["codes", *more])
 
 
 def _matrix(phrases: DataFrame, length: int) -> np.ndarray:
@@ -227,18 +232,50 @@ def _matrix(phrases: DataFrame, length: int) -> np.ndarray:
         return phrases.select("codes").toArrow().column("codes").combine_chunks().flatten().to_numpy().reshape(-1, length)
 
 
-def count_phrases(rows: DataFrame, found: np.ndarray, length: int) -> DataFrame:
-    """codes, n: occurrences of each phrase of `found`, by the accepting states of their trie."""
-    sent = rows.sparkSession.sparkContext.broadcast((build(found), found))
+def count_phrases(rows: DataFrame, found: np.ndarray, length: int, bits: int) -> DataFrame:
+    """codes, h, n: occurrences of each phrase of `found`, by the accepting states of their trie."""
+    context = rows.sparkSession.sparkContext
+    sent, named = context.broadcast((build(found), len(found))), context.broadcast(found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, all_ = sent.value
-        n = np.zeros(len(all_), np.int64)
-        for x, _ in _blocks(batches):
-            n += np.bincount(match(trie, x, length)[1], minlength=len(all_))
-        yield _phrase_rows(all_[n > 0], n[n > 0])
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, size = sent.value
+        n = np.zeros(-(-size // _RANGE) * _RANGE, np.int64)
+        for _, x, _ in _blocks(batches):
+            n += np.bincount(match(trie, x, length)[1], minlength=len(n))
+        for part, counts in enumerate(n.reshape(-1, _RANGE)):
+            if counts.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["part", "counts"])
 
-    return rows.mapInArrow(run, "codes array<int>, n long").groupBy("codes").agg(F.sum("n").alias("n"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), _arrays(batch, "counts", np.dtype("<i8"))):
+                sums[part] = sums.get(part, 0) + counts
+        for part, n in sums.items():
+            x = named.value[part * _RANGE : (part + 1) * _RANGE]
+            h = hashes(x.ravel(), np.arange(0, x.size, length), length, bits)
+            yield _phrase_rows(x, h=h, n=n[: len(x)])
+
+    return rows.mapInArrow(walk, "part long, counts binary").repartition("part").mapInArrow(add, "codes array<int>, h long, n long")
+
+
+def count_likely(rows: DataFrame, part: DataFrame, length: int, least: int, bits: int) -> DataFrame | None:
+    """codes, n of the frequent phrases behind one shard of hashes."""
+    held = part.toArrow()
+    wanted, block = held.column("h").to_numpy(), held.column("block").to_numpy()
+    if not len(wanted):
+        return None
+    found = _matrix(phrases_of(rows, wanted, block, length, bits), length)
+    counted = stored(count_phrases(rows, found, length, bits), "phrases")
+    sums = counted.groupBy("h").agg(F.sum("n").alias("_found"))
+    hidden = part.join(sums, "h", "left").where(~F.col("n").eqNullSafe(F.col("_found"))).select("h").toArrow().column("h").to_numpy()  # two phrases of one hash
+    if len(hidden):
+        again = _matrix(phrases_of(rows, hidden, None, length, bits), length)
+        known = set(map(bytes, np.ascontiguousarray(found)))
+        again = again[[bytes(p) not in known for p in np.ascontiguousarray(again)]]
+        if len(again):
+            counted = counted.union(stored(count_phrases(rows, again, length, bits), "phrases"))
+    return counted.where(F.col("n") >= least).select("codes", "n")
 
 
 def _shards(table: DataFrame, column: str, rows: int, shard: int) -> Iterator[DataFrame]:
@@ -248,7 +285,7 @@ def _shards(table: DataFrame, column: str, rows: int, shard: int) -> Iterator[Da
         yield table.where(F.pmod(F.xxhash64(column), F.lit(parts)) == s)
 
 
-def frequent_phrases(rows: DataFrame, least: int, longest: int, shard: int) -> list[DataFrame]:
+def frequent_phrases(rows: DataFrame, least: int, longest: int, shard: int, bits: int) -> list[DataFrame]:
     """codes, n of all phrases of 2, 3, ... words with at least `least` occurrences; rows: blocks of codes."""
     out: list[DataFrame] = []
     spark, before, n_before = rows.sparkSession, None, 0
@@ -259,13 +296,9 @@ def frequent_phrases(rows: DataFrame, least: int, longest: int, shard: int) -> l
                 if sent is not None:  # one more shard: what the last one marks is kept
                     marked = stored(mark(marked, sent, length - 1), "marked")
                 sent = spark.sparkContext.broadcast(build(_matrix(part, length - 1)))
-        hashed = stored(likely(marked, sent, length, least), "likely")
-        counted = []
-        for part in _shards(hashed, "h", hashed.count(), shard):
-            wanted = part.toArrow().column("h").to_numpy()
-            if len(wanted):
-                found = _matrix(phrases_of(rows, wanted, length), length)
-                counted.append(stored(count_phrases(rows, found, length).where(F.col("n") >= least), "phrases"))
+        hashed = stored(likely(marked, sent, length, least, bits), "likely")
+        parts = (count_likely(rows, part, length, least, bits) for part in _shards(hashed, "h", hashed.count(), shard))
+        counted = [part for part in parts if part is not None]
         if not counted:
             break
         before = reduce(DataFrame.union, counted)
@@ -297,14 +330,14 @@ def _uncovered(phrases: DataFrame, covered: int) -> DataFrame:
     return met.where(F.coalesce(F.col("_longer") * 100 < F.col("n") * covered, F.lit(True))).drop("_longer")
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, covered: int = 100, top: int = 2000, shard: int = 1 << 18) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: the best phrases of each language."""
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, covered: int = 100, top: int = 2000, shard: int = 1 << 18, bits: int = 64) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: the best phrases of each language. bits: of the hashes by which candidates are found."""
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text"))
     counted = stored(count_words(texts), "counts")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     words = stored(number_words(counted.where(F.col("n") >= least)), "numbered")
-    found = frequent_phrases(encode(texts, words, words.count(), shard), least, longest, shard)
+    found = frequent_phrases(encode(texts, words, words.count(), shard), least, longest, shard, bits)
     if not found:
         return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     phrases = reduce(DataFrame.union, found)

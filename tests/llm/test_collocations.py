@@ -61,6 +61,13 @@ def test_equals_definition(spark, monkeypatch, least, shard):
     assert got == plain(rows, least, top=40) and got
 
 
+def test_hashes_that_collide(spark, monkeypatch):
+    monkeypatch.setattr(C, "_BLOCK", 300)
+    rows = random_rows(4)
+    got = sorted(tuple(r) for r in C.collocations(table(spark, rows), least=4, bits=5).collect())
+    assert got == plain(rows, 4) and got
+
+
 def test_covered_share_and_length(spark):
     rows = random_rows(9)
     got = sorted(tuple(r) for r in C.collocations(table(spark, rows), least=3, longest=3, covered=60).collect())
