@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import files, qr
 from ..operators import classify as C
@@ -18,7 +19,7 @@ from ..operators import mime as M
 from ..operators import ocr as O
 from ..sources import batches as B
 from ..sources.shared import new_folder
-from ..streaming.intake_stream import dedup_stream, start_intake
+from ..streaming.intake_stream import dedup_stream, read_parts, start_intake
 from .define import ORACLES, QUERIES, query
 
 
@@ -140,8 +141,9 @@ def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
             held += 1
     if held > 1:
         raise RuntimeError("the second run was to put bad rows aside")
-    kept = spark.read.parquet(f"{root}/ledger").select("id", "user_id", "event_type", F.lit(False).alias("dead"))
-    return kept.unionByName(spark.read.parquet(f"{root}/dead").select("id", "user_id", "event_type", F.lit(True).alias("dead")))
+    rows = T.StructType.fromDDL("id long, user_id long, event_type string")
+    kept, dead = (read_parts(spark, f"{root}/{part}", rows).withColumn("dead", F.lit(part == "dead")) for part in ("ledger", "dead"))
+    return kept.unionByName(dead)
 
 
 QUERIES["stream_intake"] = stream_intake
