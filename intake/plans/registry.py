@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, messages, tables  # noqa: F401
+from . import documents, ledger_runs, messages, tables  # noqa: F401
 from .define import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -62,7 +62,7 @@ def read_parts(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     """What an intake wrote to its ledger or its dead letters, which is nothing before its first row."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def _with(schema: T.StructType, **more: T.DataType) -> T.StructType:
