@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -291,7 +292,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, pivots: int = P
                 h = shingle_hashes(data, width)
                 fp[i] = majority(h) if len(h) else 0
                 distinct = np.unique(h)
-                whole[i] = np.uint64(xxhash.xxh64_intdigest(b" ".join(data.lower().split()))).view(np.int64)
+                whole[i] = words_hash(data)
                 sizes[i], keys[i] = len(distinct), least_hashes(distinct, bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole), pa.array(fp.view(np.int64)), pivot_rows(fp, points), pa.array(sizes), lists], names=["doc_id", "h", "fp", "far", "size", "keys"])
@@ -299,15 +300,21 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, pivots: int = P
     return text_bytes(docs).mapInArrow(run, SKETCH)
 
 
+def words_hash(data: bytes) -> int:
+    """A hash of a text's words, A-Z lower-cased."""
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(data.lower().split()))).view(np.int64))
+
+
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """texts: CHUNK and node, fp, far, text. The same with the sorted distinct shingle hashes in place of the text."""
+    """texts: doc_id, text. The id with the hash of the words and the sorted distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(held, pa.binary())], names=["node", "shingles"])
+            data = [t.as_py() or b"" for t in batch.column("text")]
+            held = [np.unique(shingle_hashes(x, width)).tobytes() for x in data]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([words_hash(x) for x in data], pa.int64()), pa.array(held, pa.binary())], names=["doc", "h", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc long, h long, shingles binary")
 
 
 def set_links(node: np.ndarray, fp: np.ndarray, table: np.ndarray, sets: Callable[[int], np.ndarray], size: np.ndarray, similarity: float, radius: int) -> Iterator[tuple[int, int]]:
@@ -354,11 +361,12 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands:
     At 0.8 the fingerprints of two texts differ in 10 bits on average, too many for bands of their bits. So texts meet in `bands` keys of
     `rows` least hashes of their shingles (a pair at just 0.8 is missed once in five thousand), pivot rows and fingerprints beyond
     `radius` bits (five standard deviations) discard pairs, and the exact similarity decides. Bands with the same members are looked at
-    once. Texts of the same words are one node. A band of more than `bucket` texts, or shingles of `bucket_bytes`, is cut in chunks.
+    once. Texts of the same words are one node, whatever their doc_ids, and a doc_id with several texts has several nodes. A band of more than `bucket` texts, or shingles of `bucket_bytes`, is cut in chunks.
     """
     each = stored(sketches(docs, width, bands, rows), "sketches")
     key = F.concat(F.hex("h"), F.lit("-"), F.hex("fp")).alias("key")
-    nodes = each.where("doc_id IS NOT NULL").groupBy(key).agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("far").alias("far"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n"))
+    one = lambda *names: [F.first(c).alias(c) for c in names]  # noqa: E731  equal in all rows of a key
+    nodes = each.where("doc_id IS NOT NULL").groupBy(key).agg(F.min("doc_id").alias("doc"), *one("h", "fp", "far", "size", "keys"), F.count(F.lit(1)).alias("n")).withColumn("node", F.xxhash64("h", "fp"))
     nodes = stored(nodes, "nodes")
     keyed = nodes.select("node", "size", F.explode("keys").alias("band"))
     sizes = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.sum("size").alias("total")).where("n > 1")
@@ -366,12 +374,14 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands:
     met = spread_join(keyed, sizes.select("band", "n", "total"), "band", counts=sizes.select("band", F.col("n").alias("_n")))
     chunks = F.greatest(F.ceil(F.col("n") / F.lit(bucket)), F.ceil(8 * F.col("total") / F.lit(bucket_bytes)))
     dealt = stored(in_chunks(met, chunks).select(*CHUNK, "node"), "members")
-    asked = dealt.select("node").distinct().join(nodes.select("node", "key", "fp", "far"), "node")
-    texts = text_bytes(docs).join(each.select("doc_id").distinct().join(asked.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "doc_id", "left_semi")
-    sets = shingle_sets(texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"), width)
-    whole = stored(asked.join(sets, "node"), "shingles")
+    asked = dealt.select("node").distinct().join(nodes.select("node", "doc", "h", "fp", "far"), "node")
+    texts = text_bytes(docs).join(asked.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = texts.withColumns({"_a": F.xxhash64("text"), "_b": F.hash("text")}).dropDuplicates(["doc_id", "_a", "_b"])
+    sets = shingle_sets(texts, width).dropDuplicates(["doc", "h"])
+    whole = stored(asked.join(sets, ["doc", "h"]), "shingles")
     groups = connected_components(text_links(spread_join(dealt, whole, "node"), similarity, radius))
-    named = nodes.join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    named = stored(nodes.join(groups, "node", "left").select("key", "doc", F.coalesce("component", "node").alias("_group")), "named")
+    named = spread_join(named, named.groupBy("_group").agg(F.min("doc").alias("component_id")), "_group").select("key", "component_id")
     joined = spread_join(each.select("doc_id", "h", "fp", key), named, "key", "left", counts=nodes.select("key", F.col("n").alias("_n")))
     return joined.select("doc_id", "h", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -379,13 +389,20 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands:
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, **how) -> DataFrame:
     """One document of each group of near-duplicate texts: the one with the smallest doc_id, once.
 
-    Repeats of a row are dropped (rows of one doc_id with different texts are not repeats); rows with a null doc_id are kept.
+    Repeats of a row are dropped. Rows of one doc_id with different texts are no repeats, and each goes or stays with its own text's group;
+    rows with a null doc_id are kept.
     """
     groups = stored(near_texts(docs, similarity, width, **how), "near-texts")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    again = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("binary")).alias("h"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    kept = packed.join(gone.withColumnRenamed("doc_id", "id"), "id", "left_anti")
-    once = kept.join(again.withColumnRenamed("doc_id", "id"), "id", "left_anti")
-    several = kept.join(again.withColumnRenamed("doc_id", "id"), "id", "left_semi").dropDuplicates(["id", "h"])
+    named = groups.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("h").alias("words"), "component_id")
+    again = named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("data"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    once = packed.select("id", "row").join(named.where("component_id <> id").select("id").unionByName(again).distinct(), "id", "left_anti")
+
+    @F.pandas_udf("long")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: words_hash(t or b"")).astype("int64")
+
+    several = packed.join(again, "id", "left_semi").withColumn("words", words("data"))
+    gone = named.join(again, "id", "left_semi").where("component_id <> id").select("id", "words").distinct()
+    several = several.join(gone, ["id", "words"], "left_anti").withColumn("text_hash", F.xxhash64("data")).dropDuplicates(["id", "text_hash"]).select("id", "row")
     return once.unionByName(several).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

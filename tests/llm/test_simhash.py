@@ -92,6 +92,38 @@ def test_empty_null_and_repeated_rows(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 5]  # repeats of a row go too
 
 
+def test_two_texts_of_one_doc_id(spark):
+    """Each text of an id has its own links, and goes or stays by them."""
+    rng = random.Random(5)
+    one, two, three = ([f"w{rng.randrange(400)}" for _ in range(90)] for _ in range(3))
+    near = lambda words: " ".join(words[:-1] + ["other"])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (7, near(one)), (9, near(two)), (3, near(three)), (6, " ".join(three)), (6, "quite another text of its own"), (6, "quite another text of its own")]
+    docs = spark.createDataFrame([(d, t, *"xyz") for d, t in rows], SCHEMA).repartition(3)
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_texts(docs).collect())
+    assert got == [(3, 3), (5, 5), (5, 5), (6, 3), (6, 6), (6, 6), (7, 5), (9, 5)]
+    kept = sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+    assert kept == sorted([(3, near(three)), (5, " ".join(one)), (5, " ".join(two)), (6, "quite another text of its own")])
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of texts of a five-word similarity between 0.8 and 0.85, where bands of least hashes miss most."""
+    rng = random.Random(8)
+    rows, pairs = [], 0
+    for g in range(400):
+        base = [f"w{rng.randrange(5000)}" for _ in range(180)]
+        copy = list(base)
+        for at in (20, 60, 100):
+            copy[at] = f"x{rng.randrange(5000)}"  # three words, up to fifteen of 176 shingles each way
+        a, b = ({tuple(w[k : k + 5]) for k in range(176)} for w in (base, copy))
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+            pairs += 1
+    docs = spark.createDataFrame([(d, t, *"xyz") for d, t in rows], SCHEMA)
+    found = sum(r.component_id != r.doc_id for r in simhash.near_texts(docs).collect())
+    print("recall", found, "of", pairs)
+    assert pairs > 300 and found >= 0.995 * pairs
+
+
 def test_query_covers_all_documents(spark):
     from intake.llm.queries import QUERIES
 
