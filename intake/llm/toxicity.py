@@ -4,13 +4,11 @@ A text is a set of hashed features: its words (A-Z lower-cased, ASCII marks as s
 between them. Weights are learned with a rate for each coordinate, and L1 keeps most of them at exactly zero, so the model is a
 short list of buckets that is sent to every task.
 
-The sample is dealt over tasks by its size. In each epoch every task starts from the common state (z, n), learns on its rows in their order,
-and hands back what it added. What k tasks added to a coordinate is summed and divided by the root of k: the sum alone goes too far, as all of
-them push where one would have been enough, and the mean not far enough. With one task that is plain FTRL. The state has 2**bits + 1
-coordinates, whatever the input.
-
 The sample is bounded: about `sample` labelled rows and `sample_bytes` bytes of text, chosen by a hash of their doc_id (Bernoulli with a
-share of the count), and only rows whose crc32 of the doc_id as text leaves a remainder at division by 5. Every text is scored whole.
+share of the count), and only rows whose crc32 of the doc_id as text leaves a remainder at division by 5. One task learns all of it, as FTRL
+takes its rows one after the other; each epoch starts from the state (z, n) of the last one, 2**bits + 1 coordinates whatever the input.
+`task_bytes` below `sample_bytes` deals the sample over tasks instead: then what k tasks added to a coordinate is summed and divided by the
+root of k, which is not FTRL any more. Every text is scored whole.
 
 Edge cases: a null or empty text has no feature and the score of the bias; a doc_id with several labels is toxic if one of them says so;
 labels without a document, null labels and null doc_ids teach nothing; without any label all scores are 0.5 of a zero model; repeated
@@ -96,12 +94,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, sample_byte
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample: int = 20_000, sample_bytes: int = 64 << 20, task_bytes: int = 12 << 20, bits: int = 20, least: int = 3, epochs: int = 10,
-    alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1,
+    docs: DataFrame, labels: DataFrame, sample: int = 12_000, sample_bytes: int = 32 << 20, task_bytes: int = 32 << 20, bits: int = 20, least: int = 3, epochs: int = 10,
+    alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, positive: float = 1.0,
 ) -> Model:
     """The model of a bounded sample of labelled rows that are not held out, learned by a task for about `task_bytes` of text.
 
-    Buckets that fewer than `least` texts of the sample hold are left out, as most pairs of words stand in one text only.
+    Buckets that fewer than `least` texts of the sample hold are left out, as most pairs of words stand in one text only. A toxic row's gradient counts `positive` times.
     """
     texts, size = labelled_sample(docs, labels, sample, sample_bytes)
     spark = docs.sparkSession
@@ -148,7 +146,7 @@ def train(
                     own = Ftrl(bits, alpha, beta, l1, l2)
                     own.z, own.n = z.copy(), n.copy()
                     for x, y in zip(np.split(buckets.values.to_numpy(), np.cumsum(sizes.values.to_numpy())[:-1]), toxic.values.to_pylist()):
-                        own.learn(x[kept[x]], y)
+                        own.learn(x[kept[x]], y, positive if y else 1.0)
                     at = np.flatnonzero((own.n != n) | (own.z != z))
                     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.z[at] - z[at]), pa.array(own.n[at] - n[at])], names=["at", "z", "n"])
 
@@ -182,8 +180,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The least log loss over four folds of the rows that may teach, of settings with a precision of 0.97 or more there (README).
+CHOSEN = {"epochs": 3, "positive": 3.0, "l1": 16.0}
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    return score(docs, train(docs, labels, **how))
+    return score(docs, train(docs, labels, **{**CHOSEN, **how}))
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
