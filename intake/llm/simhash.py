@@ -23,7 +23,6 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -395,14 +394,18 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, **how) ->
     groups = stored(near_texts(docs, similarity, width, **how), "near-texts")
     named = groups.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("h").alias("words"), "component_id")
     again = named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("data"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    text = F.col("text").cast("binary")
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("data"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     once = packed.select("id", "row").join(named.where("component_id <> id").select("id").unionByName(again).distinct(), "id", "left_anti")
 
-    @F.pandas_udf("long")
-    def words(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: words_hash(t or b"")).astype("int64")
-
-    several = packed.join(again, "id", "left_semi").withColumn("words", words("data"))
-    gone = named.join(again, "id", "left_semi").where("component_id <> id").select("id", "words").distinct()
-    several = several.join(gone, ["id", "words"], "left_anti").withColumn("text_hash", F.xxhash64("data")).dropDuplicates(["id", "text_hash"]).select("id", "row")
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [words_hash(t.as_py() or b"") for t in batch.column("data")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(held, pa.int64())], names=["id", "text_hash", "words"])
+
+    # ids with several rows: each row by the group of its own text
+    several = packed.join(again, "id", "left_semi").dropDuplicates(["id", "text_hash"])
+    hashed = several.select("id", "text_hash", "data").mapInArrow(words, "id long, text_hash long, words long")
+    gone = hashed.join(named.where("component_id <> id").select("id", "words").distinct(), ["id", "words"]).select("id", "text_hash")
+    several = several.join(gone, ["id", "text_hash"], "left_anti").select("id", "row")
     return once.unionByName(several).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
