@@ -33,9 +33,11 @@ def _grown() -> tuple[str, str]:
 def normalize_text(c: Column) -> Column:
     """Upper case, no marks, single spaces, trimmed; NULL is empty. One-to-one case mapping, as of an invariant culture."""
     grown, stand_in = _grown()
-    raised = F.translate(F.upper(F.translate(F.coalesce(c, F.lit("")), grown, stand_in)), stand_in, grown)
+    text = F.coalesce(c, F.lit(""))
+    raised = F.translate(F.upper(F.translate(text, grown, stand_in)), stand_in, grown)
     bare = F.regexp_replace(F.translate(raised, *_accents()), r"\p{Mn}", "")
-    return F.trim(F.regexp_replace(bare, r"[\p{Z}\t-\r\x{85}]+", " "))
+    # plain ASCII has no marks and its upper case is its own, so it is spared the three passes over the tables
+    return F.trim(F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(bare, r"[\p{Z}\t-\r\x{85}]+", " ")).otherwise(F.regexp_replace(F.upper(text), r"[ \t-\r]+", " ")))
 
 
 def compact_text(c: Column) -> Column:
@@ -43,35 +45,40 @@ def compact_text(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{L}\p{Nd}]", "")
 
 
-def contains_phrase(norm: Column, phrase: str) -> Column:
-    """The phrase as whole words between spaces."""
-    return F.contains(F.concat(F.lit(" "), norm, F.lit(" ")), F.lit(f" {phrase} "))
+def padded(norm: Column) -> Column:
+    """A normalized text between spaces, for callers that look for many phrases in it."""
+    return F.concat(F.lit(" "), norm, F.lit(" "))
+
+
+def contains_phrase(norm: Column, phrase: str, is_padded: bool = False) -> Column:
+    """The phrase as whole words between spaces. is_padded: `norm` is `padded` already."""
+    return F.contains(norm if is_padded else padded(norm), F.lit(f" {phrase} "))
 
 
 def _compact(phrase: str) -> str:
     return "".join(x for x in phrase if x.isalnum())
 
 
-def contains_signal(norm: Column, compact: Column, phrase: str) -> Column:
+def contains_signal(norm: Column, compact: Column, phrase: str, is_padded: bool = False) -> Column:
     """As whole words; several words also run together, through any punctuation."""
-    found = contains_phrase(norm, phrase)
+    found = contains_phrase(norm, phrase, is_padded)
     return found | F.contains(compact, F.lit(_compact(phrase))) if " " in phrase else found
 
 
-def signal_group_count(norm: Column, compact: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+def signal_group_count(norm: Column, compact: Column, groups: tuple[tuple[str, ...], ...], is_padded: bool = False) -> Column:
     """How many groups of synonyms have a hit."""
     total = F.lit(0)
     for group in groups:
         hit = F.lit(False)
         for phrase in group:
-            hit = hit | contains_signal(norm, compact, phrase)
+            hit = hit | contains_signal(norm, compact, phrase, is_padded)
         total = total + hit.cast("int")
     return total
 
 
-def first_signal(norm: Column, compact: Column, signals: tuple[str, ...]) -> Column:
+def first_signal(norm: Column, compact: Column, signals: tuple[str, ...], is_padded: bool = False) -> Column:
     """The first signal of the list that is there, NULL if none is."""
-    return F.coalesce(*(F.when(contains_signal(norm, compact, s), s) for s in signals))
+    return F.coalesce(*(F.when(contains_signal(norm, compact, s, is_padded), s) for s in signals))
 
 
 def useful_page_text(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.files import IMAGE_EXTENSIONS, file_ext, file_stem, guess_mime, safe_reason
-from ..functions.text import compact_text, contains_phrase, contains_signal, first_signal, normalize_text, signal_group_count, useful_ocr_text, useful_page_text
+from ..functions.text import compact_text, contains_phrase, contains_signal, first_signal, normalize_text, padded, signal_group_count, useful_ocr_text, useful_page_text
 
 
 @dataclass(frozen=True)
@@ -78,12 +78,12 @@ def signals(df: DataFrame, text: str, vocabulary: Vocabulary = VOCABULARY) -> Da
     """`df` with explicit, n_fiscal and negative of a text column."""
     v = vocabulary
     named = df.withColumn("_norm", normalize_text(F.col(text)))
-    named = named.withColumn("_compact", compact_text(F.col("_norm")))
+    named = named.withColumns({"_compact": compact_text(F.col("_norm")), "_norm": padded(F.col("_norm"))})  # once for all phrases
     norm, compact = F.col("_norm"), F.col("_compact")
     any_of = lambda tests: F.greatest(*tests) if len(tests) > 1 else tests[0]
-    explicit = any_of([contains_signal(norm, compact, p) for p in v.explicit])
-    lettered = contains_phrase(norm, v.word) & any_of([contains_phrase(norm, x) for x in v.letters])
-    found = named.withColumns({"explicit": explicit | lettered, "n_fiscal": signal_group_count(norm, compact, v.fiscal), "negative": first_signal(norm, compact, v.negative)})
+    explicit = any_of([contains_signal(norm, compact, p, True) for p in v.explicit])
+    lettered = contains_phrase(norm, v.word, True) & any_of([contains_phrase(norm, x, True) for x in v.letters])
+    found = named.withColumns({"explicit": explicit | lettered, "n_fiscal": signal_group_count(norm, compact, v.fiscal, True), "negative": first_signal(norm, compact, v.negative, True)})
     return found.drop("_norm", "_compact")
 
 
