@@ -8,9 +8,13 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Arrow's own pool keeps what it has freed; with the system's, a worker falls back after a large batch, and executors stay small.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: The bytes that separate words in every operator here; `bytes.split()` without an argument splits at just these.
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
