@@ -3,16 +3,17 @@
 A container fails at its first violation: too many entries or bytes for its tree, an entry too large, encrypted, a link, a blank, rooted
 or drive path, one that leaves the container, two entries at one path (letters of either case), a chain too long. A failed container
 loses its entries and becomes one review row. One level is decided by window functions; nested trees, which share one budget in reading
-order, by a fold over each tree.
+order, by window functions over the places of their entries in that order.
 """
 
 from __future__ import annotations
 
 import io
-import posixpath
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -110,73 +111,105 @@ def container_rollup(entries: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     return judged.groupBy("root_id").agg(F.count_if(ok & ~F.col("is_directory")).alias("n_analysed"), F.bool_or(~ok).alias("failed"))
 
 
-NESTED = "root_id long, container_id long, ordinal int, entry_key string, chain string, outcome string, failure string"
+def _own_checks(entries: DataFrame, limits: Limits) -> DataFrame:
+    """`_static`: the first check an entry fails whatever the tree has spent; `_cost`: the bytes read of it, up to the block that crosses the
+    limit of an entry; `_stop`: the place of its container's first entry of that kind."""
+    inside = Window.partitionBy("root_id", "_in")
+    same = Window.partitionBy("root_id", "_in", "_path").orderBy("_place")
+    key, size = F.col("entry_key"), F.col("entry_bytes")
+    before = (
+        F.when(F.col("is_directory"), None)
+        .when(F.col("is_encrypted") | (F.col("link_target") != ""), "unsupported")
+        .when(key.rlike(r"(?U)^\s*$") | key.rlike(r"^[/\\]") | F.contains(key, F.lit(":")), "path")
+        .when(_levels(key) < 0, "traversal")
+        .when(F.row_number().over(same) > 1, "collision")
+    )
+    crossing = (limits.entry_bytes // limits.read_bytes + 1) * limits.read_bytes
+    passed = ~F.col("is_directory") & F.col("_before").isNull()
+    checked = entries.withColumn("_path", F.when(F.col("is_directory"), F.concat(F.lit("/"), F.col("_place").cast("string"))).otherwise(normal_path(key))).withColumn("_before", before)
+    checked = checked.withColumns({
+        "_own": container_chain(F.col("_chain"), key),
+        "_cost": F.when(passed, F.when(size > limits.entry_bytes, F.least(size, F.lit(crossing))).otherwise(size)).otherwise(0),
+    })
+    after = F.when(size > limits.entry_bytes, "entry_bytes").when(F.length("_own") > limits.chain, "chain")
+    checked = checked.withColumn("_static", F.coalesce("_before", F.when(passed, after)))
+    return checked.withColumn("_stop", F.min(F.when(F.col("_static").isNotNull(), F.col("_place"))).over(inside))
+
+
+def _read_trees(entries: DataFrame, limits: Limits) -> DataFrame:
+    """Entries down to `limits.depth` that no check of their own, or of an archive around them, keeps from being read. `_at` is the place in
+    reading order: the entry's number in each container from the root on, which sorts an archive before what lies in it."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    place = F.row_number().over(Window.partitionBy("root_id", "container_id").orderBy("ordinal", "entry_key", "child_id"))
+    rows = entries.select(
+        "root_id", "container_id", "ordinal", text("entry_key").alias("entry_key"), F.coalesce(F.col("entry_bytes").cast("long"), F.lit(0)).alias("entry_bytes"), text("link_target").alias("link_target"),
+        *(F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("is_directory", "is_encrypted")), "child_id", text("root_name").alias("root_name"),
+    ).withColumn("_place", place).where(F.col("_place") <= limits.entries + 1)
+    level = rows.where("container_id = root_id").withColumns({
+        "_in": F.array().cast("array<int>"), "_chain": F.col("root_name"), "_in_ordinal": F.lit(0), "_in_key": F.col("root_name"),
+    })
+    levels = []
+    for depth in range(1, limits.depth + 1):
+        read = _own_checks(level.drop("root_name"), limits).where("_stop IS NULL OR _place <= _stop").withColumn("_at", F.array_append("_in", F.col("_place")))
+        levels.append(read)
+        if depth < limits.depth:
+            archives = read.where("child_id IS NOT NULL AND _static IS NULL AND NOT is_directory").select(
+                "root_id", F.col("child_id").alias("container_id"), F.col("_at").alias("_in"), F.col("_own").alias("_chain"), F.col("ordinal").alias("_in_ordinal"), F.col("entry_key").alias("_in_key"))
+            level = rows.join(archives, ["root_id", "container_id"])
+    return reduce(DataFrame.unionByName, levels)
 
 
 def apply_nested_policy(entries: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """Trees of containers: entries with container_id, child_id (the container that an entry is, else NULL) and the root's `root_name`.
+    """Trees of containers: entries with container_id, child_id (the container that an entry is, else NULL) and the root's `root_name`; the
+    root's own entries have its root_id as container_id. Gives accepted entries and one row with the failure for each refused container.
 
-    A fold in reading order with one budget for the tree, never given back. Gives accepted entries and one row with the failure for
-    each refused container. A tree has `limits.entries` entries that count; the fold stops where they are spent, and no container can
-    spend more, so entries beyond the next one of each container never reach the fold.
+    The tree has one budget, spent in reading order and never given back. What fails by itself is known without it. Sums over the rest are
+    right up to the first entry that finds the budget spent; its container ends there, the sums are formed again, and the next such entry
+    lies in a container around it. So there are at most `limits.depth` rounds. A tree keeps `limits.entries + 1` entries of a container.
+    NULL keys are blank, NULL sizes 0, NULL flags false; of entries with one ordinal the lesser key is read first.
     """
-    place = F.row_number().over(Window.partitionBy("root_id", "container_id").orderBy("ordinal"))
-    entries = entries.withColumn("_place", place).where(F.col("_place") <= limits.entries + 1).drop("_place")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {k: g.sort_values("ordinal").to_dict("records") for k, g in pdf.groupby("container_id")}
-        budget = {"entries": 0, "bytes": 0}
-        root = int(pdf["root_id"].iloc[0])
-        out: list[tuple] = []
-
-        def blank(x) -> bool:
-            return x is None or x != x or str(x) == ""
-
-        def read(container: int, chain: str, depth: int, ordinal: int, key: str) -> None:
-            mark = len(out)
-            try:
-                if depth > limits.depth:
-                    raise ValueError("depth")
-                seen: set[str] = set()
-                for e in by.get(container, ()):
-                    budget["entries"] += 1
-                    if budget["entries"] > limits.entries:
-                        raise ValueError("entries")
-                    if e["is_directory"]:
-                        continue
-                    name = "" if blank(e["entry_key"]) else e["entry_key"]
-                    if e["is_encrypted"] or not blank(e["link_target"]):
-                        raise ValueError("unsupported")
-                    if not name.strip() or name[0] in "/\\" or ":" in name:
-                        raise ValueError("path")
-                    path = posixpath.normpath(name.replace("\\", "/")).lower()
-                    if path == ".." or path.startswith("../"):
-                        raise ValueError("traversal")
-                    if path in seen:
-                        raise ValueError("collision")
-                    seen.add(path)
-                    size, room = int(e["entry_bytes"]), min(limits.entry_bytes, limits.total_bytes - budget["bytes"])
-                    if size > room:  # read until the block that crosses a limit
-                        blocks = room // limits.read_bytes + 1
-                        budget["bytes"] += min(size, blocks * limits.read_bytes)
-                        raise ValueError("entry_bytes" if min(size, blocks * limits.read_bytes) > limits.entry_bytes else "total_bytes")
-                    budget["bytes"] += size
-                    own = f"{chain}!/{name}"
-                    if len(own) > limits.chain:
-                        raise ValueError("chain")
-                    if blank(e["child_id"]):
-                        out.append((root, container, int(e["ordinal"]), name, own, "accepted", None))
-                    else:
-                        read(int(e["child_id"]), own, depth + 1, int(e["ordinal"]), name)
-            except ValueError as failure:
-                del out[mark:]
-                out.append((root, container, ordinal, key, chain, "refused", str(failure)))
-
-        name = str(pdf["root_name"].iloc[0])
-        read(root, name, 1, 0, name)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in NESTED.split(", ")])
-
-    return entries.groupBy("root_id").applyInPandas(fold, NESTED)
+    tree = Window.partitionBy("root_id")
+    so_far = tree.orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    read = _read_trees(entries, limits)
+    full = F.col("n_seen") > limits.entries
+    spent = (F.col("_cost") > 0) | (~F.col("is_directory") & F.col("_before").isNull())
+    over = full | (spent & (F.col("bytes_seen") > limits.total_bytes))
+    container = lambda path: F.slice(path, 1, F.size(path) - 1)
+    read = read.withColumn("_ended", F.lit(False))
+    for _ in range(limits.depth):
+        read = read.withColumns({"n_seen": F.count(F.lit(1)).over(so_far), "bytes_seen": F.sum("_cost").over(so_far)})
+        read = read.withColumn("_first", F.min(F.when(over & ~F.col("_ended"), F.col("_at"))).over(tree))
+        first, at = F.col("_first"), F.col("_at")
+        within = F.slice(at, 1, F.size(first) - 1) == container(first)
+        read = read.where(first.isNull() | ~within | (at <= first)).withColumn("_ended", F.col("_ended") | F.coalesce(at == first, F.lit(False)))
+    read = read.withColumns({"n_seen": F.count(F.lit(1)).over(so_far), "bytes_seen": F.sum("_cost").over(so_far)})
+    # a large entry in a budget nearly spent: the limit that an earlier block crosses counts
+    left = limits.total_bytes - (F.col("bytes_seen") - F.col("_cost"))
+    taken = F.least(F.col("entry_bytes"), (F.floor(F.least(left, F.lit(limits.entry_bytes)) / F.lit(limits.read_bytes)) + 1) * limits.read_bytes)
+    failure = (
+        F.when(full, "entries").when(F.col("_before").isNotNull(), F.col("_before")).when(F.col("is_directory"), None)
+        .when(F.col("entry_bytes") > limits.entry_bytes, F.when(taken > limits.entry_bytes, "entry_bytes").otherwise("total_bytes"))
+        .when(F.col("bytes_seen") > limits.total_bytes, "total_bytes").otherwise(F.col("_static"))
+    )
+    judged = read.withColumn("failure", failure)
+    failed, deep = F.col("failure").isNotNull(), F.size("_at")
+    around = [F.max(failed & (deep == j + 1)).over(Window.partitionBy("root_id", F.slice("_at", 1, j))) for j in range(limits.depth)]
+    judged = judged.withColumns({f"_refused{j}": w for j, w in enumerate(around)})
+    #: a container around the entry's own one was refused
+    outer = reduce(or_, (F.col(f"_refused{j}") & (deep > j + 1) for j in range(limits.depth)), F.lit(False))
+    lost = outer | reduce(or_, (F.col(f"_refused{j}") & (deep == j + 1) for j in range(limits.depth)))
+    too_deep = F.col("child_id").isNotNull() & (deep == limits.depth)
+    kept = ~lost & ~F.col("is_directory") & (F.col("child_id").isNull() | too_deep)
+    pick = lambda refused, below, own: F.when(failed, refused).when(too_deep, below).otherwise(own)
+    return judged.where((failed & ~outer) | kept).select(
+        "root_id",
+        pick(F.col("container_id"), F.col("child_id"), F.col("container_id")).cast("long").alias("container_id"),
+        F.when(failed, F.col("_in_ordinal")).otherwise(F.col("ordinal")).cast("int").alias("ordinal"),
+        F.when(failed, F.col("_in_key")).otherwise(F.col("entry_key")).alias("entry_key"),
+        F.when(failed, F.col("_chain")).otherwise(F.col("_own")).alias("chain"),
+        F.when(failed | too_deep, "refused").otherwise("accepted").alias("outcome"),
+        pick(F.col("failure"), F.lit("depth"), F.lit(None)).alias("failure"),
+    )
 
 
 EXPANDED = "name string, ordinal int, entry_key string, entry_bytes long, is_directory boolean, is_encrypted boolean, content binary, failure string"

@@ -260,29 +260,35 @@ def container_rollup(t):
     return K.container_rollup(t("container_entries"))
 
 
-#: Large entries lie in an inner archive, the last entry of its container.
-INNER = "entry_bytes > 31500000"
+#: Large entries lie in an inner archive, the last entry of its container, and the largest in one inside that, which is too deep.
+INNER, DEEP = "entry_bytes > 31500000", "entry_bytes > 47250000"
 _FIELDS = "is_directory, is_encrypted, link_target"
 _TREE = f"""SELECT root_id, 0 AS c, ordinal, entry_key, entry_bytes, {_FIELDS} FROM container_entries WHERE NOT ({INNER})
     UNION ALL SELECT DISTINCT root_id, 0, 1000, 'inner.zip', 1000, false, false, CAST(NULL AS VARCHAR) FROM container_entries WHERE {INNER}
-    UNION ALL SELECT root_id, 1, ordinal, entry_key, entry_bytes, {_FIELDS} FROM container_entries WHERE {INNER}"""
+    UNION ALL SELECT DISTINCT root_id, 1, 2000, 'deep.zip', 1000, false, false, CAST(NULL AS VARCHAR) FROM container_entries WHERE {DEEP}
+    UNION ALL SELECT root_id, 1, ordinal, entry_key, entry_bytes, {_FIELDS} FROM container_entries WHERE {INNER} AND NOT ({DEEP})"""
 _TREE_FAIL = _FAIL.replace("ORDER BY ordinal)", "ORDER BY c0, ordinal)").replace("PARTITION BY root_id ORDER BY ordinal ROWS", "PARTITION BY root_id ORDER BY c0, ordinal ROWS").replace("PARTITION BY root_id, CASE", "PARTITION BY root_id, c0, CASE").replace("FROM container_entries", f"FROM (SELECT * RENAME (c AS c0) FROM ({_TREE}))")
 _TREE_STOPS = f"SELECT *, min(CASE WHEN failure IS NOT NULL THEN ordinal END) OVER (PARTITION BY root_id, c0) AS stop, bool_or(failure IS NOT NULL AND c0 = 0) OVER (PARTITION BY root_id) AS lost FROM ({_TREE_FAIL})"
 
 
 @query("container_nested", f"""SELECT root_id, ordinal, entry_key, 'accepted' AS outcome, CAST(NULL AS VARCHAR) AS failure FROM ({_TREE_STOPS}) WHERE NOT lost AND stop IS NULL AND NOT is_directory AND ordinal < 1000
     UNION ALL SELECT root_id, 0, 'root', 'refused', failure FROM ({_TREE_STOPS}) WHERE c0 = 0 AND ordinal = stop
-    UNION ALL SELECT root_id, 1000, 'inner.zip', 'refused', failure FROM ({_TREE_STOPS}) WHERE NOT lost AND c0 = 1 AND ordinal = stop""")
+    UNION ALL SELECT root_id, 1000, 'inner.zip', 'refused', failure FROM ({_TREE_STOPS}) WHERE NOT lost AND c0 = 1 AND ordinal = stop
+    UNION ALL SELECT root_id, ordinal, entry_key, 'refused', 'depth' FROM ({_TREE_STOPS}) WHERE NOT lost AND stop IS NULL AND ordinal = 2000""")
 def container_nested(t):
-    """Trees of two levels with one budget: what fails inside refuses the inner archive only."""
+    """Trees of three levels with one budget: what fails inside refuses the inner archive only, and the third level is too deep."""
     entries = t("container_entries")
-    inside, child = F.expr(INNER), -F.col("root_id") - 1
-    own = entries.withColumns({"container_id": F.when(inside, child).otherwise(F.col("root_id")), "child_id": F.lit(None).cast("long")})
-    archive = entries.where(inside).select("root_id").distinct().withColumns({
-        "ordinal": F.lit(1000), "entry_key": F.lit("inner.zip"), "entry_bytes": F.lit(1000).cast("long"), "is_directory": F.lit(False), "is_encrypted": F.lit(False),
-        "link_target": F.lit(None).cast("string"), "container_id": F.col("root_id"), "child_id": child,
-    })
-    tree = own.unionByName(archive).withColumn("root_name", F.lit("root"))
+    inner, deep = -2 * F.col("root_id") - 1, -2 * F.col("root_id") - 2
+    own = entries.withColumns({"container_id": F.when(F.expr(DEEP), deep).when(F.expr(INNER), inner).otherwise(F.col("root_id")), "child_id": F.lit(None).cast("long")})
+
+    def archive(which, name, ordinal, within, child):
+        return entries.where(which).select("root_id").distinct().withColumns({
+            "ordinal": F.lit(ordinal), "entry_key": F.lit(name), "entry_bytes": F.lit(1000).cast("long"), "is_directory": F.lit(False), "is_encrypted": F.lit(False),
+            "link_target": F.lit(None).cast("string"), "container_id": within, "child_id": child,
+        })
+
+    archives = archive(INNER, "inner.zip", 1000, F.col("root_id"), inner).unionByName(archive(DEEP, "deep.zip", 2000, inner, deep))
+    tree = own.unionByName(archives).withColumn("root_name", F.lit("root"))
     return K.apply_nested_policy(tree).select("root_id", "ordinal", "entry_key", "outcome", "failure")
 
 
