@@ -71,8 +71,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Se
     def value(c: str) -> Column:
         new = F.col(f"s.{c}") if c in source.columns else F.lit(None).cast(target.schema[c].dataType)
         old = F.col(f"t.{c}")
-        if c in keys:
-            return F.when(touched, new).otherwise(old)
+        if c in keys:  # keys may be equal in another spelling: the stored one stays
+            return F.when(F.col("_old").isNull(), new).otherwise(old)
         if c in set_to:
             return F.when(touched, set_to[c]).otherwise(old)
         if c in update:
@@ -84,6 +84,11 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Se
     return met.select(*(value(c).cast(target.schema[c].dataType).alias(c) for c in target.columns))
 
 
+def ignoring_case(df: DataFrame, *columns: str) -> DataFrame:
+    """`df` with these texts compared without regard to case, in every join, grouping and filter behind; they keep their spelling."""
+    return df.withColumns({c: F.collate(F.col(c), "UTF8_LCASE") for c in columns})
+
+
 def initial_cursor(processed: DataFrame) -> DataFrame:
     """One row: the history id of the first message, by `ordinal`, that was processed; NULL if none was."""
     return processed.agg(F.min_by("history_id", F.when(F.col("succeeded"), F.col("ordinal"))).alias("cursor"))
@@ -114,15 +119,36 @@ def document_paths(ledger: DataFrame, roots: Mapping[str, str] | None = None) ->
     return ledger.withColumn("path", F.concat_ws("/", root, date_path(F.col("received"), F.col("message_id")), name))
 
 
-def write_documents(documents: DataFrame, root: str) -> None:
-    """New paths only, partitioned by class and date; a path that is there stays as it is."""
+#: What a store of documents is partitioned by.
+DAY = ("classification", "y", "m", "d")
+ROWS_A_TASK = 1_000_000
+
+
+def with_day(documents: DataFrame) -> DataFrame:
+    return documents.withColumns({"y": F.date_format("received", "yyyy"), "m": F.date_format("received", "MM"), "d": F.date_format("received", "dd")})
+
+
+def stored_on_days(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of the store in the partitions (class and day) that the batch has rows in; the others are not opened. The days of a batch are
+    few, whatever its rows: at most two for each day of mail."""
+    days = retain(batch).select(*DAY).distinct()
+    return stored.join(F.broadcast(days), list(DAY), "left_semi")
+
+
+def write_documents(documents: DataFrame, root: str, order: Sequence[str] = ("origin_hash", "name")) -> None:
+    """New paths only, partitioned by class and day; a path that is there stays as it is, and of a batch's rows of one path the first by `order` is
+    written. Discarded documents are not. A path holds its class and day, so only the batch's own partitions are searched."""
     spark = documents.sparkSession
-    day = {"y": F.date_format("received", "yyyy"), "m": F.date_format("received", "MM"), "d": F.date_format("received", "dd")}
-    fresh = documents.dropDuplicates(["path"])
+    fresh = with_day(retain(first_of_key(documents, ["path"], order)))
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
     if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        fresh = fresh.join(spark.read.parquet(root).select("path").distinct(), "path", "left_anti")
-    fresh.withColumns(day).write.mode("append").partitionBy("classification", "y", "m", "d").parquet(root)
+        stored = spark.read.schema(fresh.schema).parquet(root)
+        fresh = fresh.join(stored_on_days(stored, fresh).select("path"), "path", "left_anti")
+    # a day's rows lie in one task, or in as many as its rows ask for; the days are few and their counts small enough to broadcast
+    counts = fresh.groupBy(*DAY).agg(F.ceil(F.count(F.lit(1)) / ROWS_A_TASK).alias("_tasks"))
+    dealt = fresh.join(F.broadcast(counts), list(DAY)).withColumn("_task", F.pmod(F.xxhash64("path"), F.col("_tasks")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt.repartition(tasks, *DAY, "_task").drop("_tasks", "_task").write.mode("append").partitionBy(*DAY).parquet(root)
 
 
 def resolve_path_collisions(df: DataFrame) -> DataFrame:

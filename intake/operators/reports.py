@@ -78,8 +78,9 @@ def lookup(df: DataFrame, key: str, value: int | str) -> DataFrame:
     return df.where(F.col(key) == number) if number > 0 else df.where(F.lit(False))
 
 
-def account_by_email(accounts: DataFrame, email: str) -> DataFrame:
-    return accounts.where(F.col("email") == email).withColumn("has_token", presence_flag(F.when(F.col("has_token"), 1)))
+def account_by_email(accounts: DataFrame, email: str, ignore_case: bool = False) -> DataFrame:
+    stored = F.collate(F.col("email"), "UTF8_LCASE") if ignore_case else F.col("email")
+    return accounts.where(stored == email).withColumn("has_token", presence_flag(F.when(F.col("has_token"), 1)))
 
 
 def active_account(accounts: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ledger as L
 from ..operators import quality as Q
 from ..operators.keyed_table import KeyedTable
+from ..sources import payload_files as P
 from ..sources.bindings import domain_table, with_domain
 from ..sources.shared import checkpointed, new_folder
 from ..streaming.intake_stream import dedup_stream, state_on_disk
@@ -130,5 +132,68 @@ RECENT_SQL = f"""
     f AS (SELECT *, min(batch) OVER (PARTITION BY event_id) AS first_batch, min(delivered) OVER (PARTITION BY event_id) AS first_at FROM live)
     SELECT event_id, count(DISTINCT CASE WHEN batch = first_batch THEN -1 WHEN first_at + INTERVAL {_WITHIN} HOUR <= mark THEN batch END) AS n FROM f GROUP BY event_id"""
 
-QUERIES |= {"merged_attachments": merged_attachments, "sync_run": sync_run, "recent_events": recent_events}
-ORACLES |= {"merged_attachments": with_domain(MERGED_SQL), "sync_run": with_domain(SYNC_SQL.replace("AS STRING", "AS VARCHAR")), "recent_events": RECENT_SQL}
+
+
+def document_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writes to a store of documents: first parts 1 to 3 of the messages, then all parts; what is there stays. Messages are dated by the
+    first of their month: the tables hold seven documents a day, which as files of their own would measure the file system only."""
+    root = f"{new_folder(spark, 'store')}/documents"
+    messages = domain_table(spark, sf_dir, "messages").select(F.col("id").alias("message"), "message_id", F.date_trunc("month", "received").cast("timestamp_ntz").alias("received"))
+    placed = checkpointed(L.document_paths(domain_table(spark, sf_dir, "ledger").join(messages, "message")).select("id", "path", "classification", "part_id", "received"))
+    for batch in (placed.where("part_id <= '3'"), placed):
+        L.write_documents(batch, root, ["id"])
+    return spark.read.schema(L.with_day(placed).schema).parquet(root).select("id", "path", "classification", "y", "m", "d")
+
+
+_PATH = """CASE WHEN l.classification = 'FACTURA' THEN 'invoices' ELSE 'review' END || '/' || strftime(m.received, '%Y/%m/%d') || '/' || m.message_id || '/'
+    || regexp_replace(l.name, '\\.pdf$', '') || '_' || substr(l.origin_hash, 1, 12) || '.pdf'"""
+STORE_SQL = f"""
+    SELECT id, path, classification, y, m, d FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN part_id <= '3' THEN 0 ELSE 1 END, id) AS place FROM (
+        SELECT l.id, {_PATH} AS path, l.classification, l.part_id, strftime(m.received, '%Y') AS y, strftime(m.received, '%m') AS m, strftime(m.received, '%d') AS d
+        FROM ledger l JOIN (SELECT id, message_id, date_trunc('month', received) AS received FROM messages) m ON m.id = l.message)) WHERE place = 1"""
+
+_LONGEST = 6000
+
+
+def payload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as payloads: written as files but for every seventh, read back by locator within a limit; every tenth page is inline."""
+    root = f"{new_folder(spark, 'payloads')}/files"
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.encode("html", "utf-8").alias("content"))
+    locator = F.concat(F.lit("page/"), F.col("page_id").cast("string"))
+    inline = F.translate(F.base64("content"), "+/\r\n=", "-_")
+    P.write_payloads(pages.where("page_id % 7 <> 0").select(locator.alias("locator"), "content"), root)
+    held = F.col("page_id") % 10 == 0
+    parts = pages.select("page_id", F.when(held, " ").otherwise(locator).alias("attachment_id"), F.when(held, inline).alias("inline_data"))
+    made = P.part_content(parts, P.file_payloads(spark, root, _LONGEST))
+    return made.select("page_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("hash"), "failure")
+
+
+PAYLOAD_SQL = f"""
+    SELECT page_id, CASE WHEN failure IS NULL THEN CAST(n AS BIGINT) END AS n_bytes, CASE WHEN failure IS NULL THEN sha256(html) END AS hash, failure FROM (
+        SELECT page_id, html, octet_length(encode(html)) AS n, CASE WHEN html IS NULL OR (page_id % 10 = 0 AND html = '') THEN 'missing' WHEN page_id % 10 = 0 THEN NULL
+            WHEN page_id % 7 = 0 THEN 'missing' WHEN octet_length(encode(html)) > {_LONGEST} THEN 'too_large' END AS failure FROM pages)"""
+
+_CHANGES = "SELECT CASE WHEN id % 3 = 0 THEN upper(email) ELSE concat(lower(email), '.new') END AS email, id, CASE WHEN id % 2 = 0 THEN 'h' END AS last_history_id FROM {accounts} WHERE id % 3 <> 1"
+
+
+def upsert_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts after changes whose e-mail addresses are spelt in another case, or new."""
+    accounts = domain_table(spark, sf_dir, "accounts").select("email", "id", "last_history_id")
+    changes = spark.sql(_CHANGES, accounts=accounts)
+    met = L.upsert(L.ignoring_case(accounts, "email"), L.ignoring_case(changes, "email"), ["email"], coalesce=["last_history_id"])
+    return met.select(F.col("email").cast("string").alias("email"), "id", "last_history_id")
+
+
+ANY_CASE_SQL = f"""
+    WITH s AS ({_CHANGES.format(accounts="accounts")})
+    SELECT coalesce(a.email, s.email) AS email, coalesce(a.id, s.id) AS id, coalesce(s.last_history_id, a.last_history_id) AS last_history_id
+    FROM accounts a FULL JOIN s ON lower(a.email) = lower(s.email)"""
+
+QUERIES |= {
+    "merged_attachments": merged_attachments, "sync_run": sync_run, "recent_events": recent_events,
+    "document_store": document_store, "payload_files": payload_files, "upsert_any_case": upsert_any_case,
+}
+ORACLES |= {
+    "merged_attachments": with_domain(MERGED_SQL), "sync_run": with_domain(SYNC_SQL.replace("AS STRING", "AS VARCHAR")), "recent_events": RECENT_SQL,
+    "document_store": with_domain(STORE_SQL), "payload_files": PAYLOAD_SQL, "upsert_any_case": with_domain(ANY_CASE_SQL),
+}
