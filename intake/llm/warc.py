@@ -240,8 +240,8 @@ def _lines(store, path: str, low: bytes | None, high: bytes | None, buffer: int
                 yield line
 
 
-def _merge(jobs: DataFrame, root: str, number: int, splits: list[bytes] | None) -> DataFrame:
-    """jobs: g, part, members. Each becomes one sorted file, of the part's range of its members or of all their lines. part, g, run, n."""
+def _merge(jobs: DataFrame, root: str, number: int, splits: list[bytes], step: int) -> DataFrame:
+    """jobs: g, part, members. Each becomes one sorted file of its members' lines in the part's range, `step` of those between splits. part, g, run, n."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -250,8 +250,8 @@ def _merge(jobs: DataFrame, root: str, number: int, splits: list[bytes] | None)
         attempt = TaskContext.get().taskAttemptId()
         for pdf in frames:
             for g, part, members in zip(pdf["g"], pdf["part"], pdf["members"]):
-                low = splits[part - 1] if splits is not None and part else None
-                high = splits[part] if splits is not None and part < len(splits) else None
+                low = splits[part * step - 1] if part else None
+                high = splits[end] if (end := (part + 1) * step - 1) < len(splits) else None
                 name, n = f"merged-{number:02d}-{g:06d}-{part:06d}.cdx", 0
                 with store.open_output_stream(f"{folder}/.{name}-{attempt}") as out:
                     for line in LoserTree([_lines(store, f"{folder}/{m}", low, high) for m in members]):
@@ -265,25 +265,38 @@ def _merge(jobs: DataFrame, root: str, number: int, splits: list[bytes] | None)
     return stored(dealt.mapInPandas(run, "part int, g long, run string, n long"), "merged")
 
 
+def _step(groups: int, parts: int) -> int:
+    """How many parts one job of a round takes, so that the round has about `parts` jobs; a power of two, so ranges of rounds are nested."""
+    step = 1
+    while step < parts and groups * -(-parts // step) > 2 * parts:
+        step *= 2
+    return step
+
+
 def merge_runs(runs: DataFrame, root: str, fan_in: int = 256, part_lines: int = 50_000, sample: int = 20_000) -> DataFrame:
     """One globally ordered index from all runs: part, run (its file), n. Parts follow each other in key order.
 
-    Groups of about `fan_in` runs are merged range by range; then groups within a range, until each range has one file.
+    Groups of about `fan_in` runs are merged, then groups of what came out, until one group is left. The fewer groups a round has, the finer are the
+    ranges that it cuts them in, so a round opens each run once, or `fan_in` files for about two jobs a part, and never all runs for all parts.
     """
     total, count = runs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    parts = min(1 << 16, -(-total // part_lines)) or 1  # a merge holds a line a run, whatever its range: more ranges make shorter tasks only
-    lines = runs.select(F.explode("lines").alias("line")).orderBy(F.xxhash64("line")).limit(max(sample, 4 * parts))
+    wanted = min(1 << 16, -(-total // part_lines)) or 1  # a merge holds a line a run, whatever its range: more ranges make shorter tasks only
+    lines = runs.select(F.explode("lines").alias("line")).orderBy(F.xxhash64("line")).limit(max(sample, 4 * wanted))
     known = sorted(bytes(r["line"]) for r in lines.collect())
-    splits = sorted({known[len(known) * i // parts] for i in range(1, parts)}) if known else []
-    groups = runs.withColumn("g", F.crc32(F.col("run").cast("binary")) % F.lit(max(1, -(-count // fan_in))))
-    groups = groups.groupBy("g").agg(F.sort_array(F.collect_list("run")).alias("members"))
-    ranges = F.explode(F.sequence(F.lit(0), F.lit(len(splits)))).alias("part")
-    merged, number = _merge(groups.select("g", "members", ranges), root, 0, splits), 1
-    while merged.groupBy("part").count().where("count > 1").limit(1).count():
-        jobs = merged.withColumn("g", F.floor(F.col("g") / fan_in).cast("long"))
-        jobs = jobs.groupBy("g", "part").agg(F.sort_array(F.collect_list("run")).alias("members"))
-        merged, number = _merge(jobs, root, number, None), number + 1
-    return merged.select("part", "run", "n")
+    splits = sorted({known[len(known) * i // wanted] for i in range(1, wanted)}) if known else []
+    parts, groups, number = len(splits) + 1, max(1, -(-count // fan_in)), 0
+    cover, step = 1 << parts.bit_length(), _step(groups, parts)
+    files = runs.select((F.crc32(F.col("run").cast("binary")) % F.lit(groups)).alias("g"), F.lit(0).alias("part"), "run")
+    while True:
+        first = F.col("part") * F.lit(cover // step)
+        ranges = F.sequence(first, F.least(first + F.lit(cover // step), F.lit(-(-parts // step))) - 1)
+        jobs = files.select("g", F.explode(ranges).alias("part"), "run").groupBy("g", "part").agg(F.sort_array(F.collect_list("run")).alias("members"))
+        merged = _merge(jobs, root, number, splits, step)
+        if groups == 1:
+            return merged.select("part", "run", "n")
+        groups, number, cover = -(-groups // fan_in), number + 1, step
+        step = _step(groups, parts)
+        files = merged.select(F.floor(F.col("g") / F.lit(fan_in)).cast("long").alias("g"), "part", "run")
 
 
 def read_captures(index: DataFrame, root: str) -> DataFrame:

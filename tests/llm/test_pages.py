@@ -1,9 +1,12 @@
 """URL rules and archives."""
 
 import hashlib
+import random
 import re
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from intake.llm import urlrules, warc
 from intake.llm.common import new_folder
@@ -63,6 +66,56 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert filed[r"://www\.example\.org/"] in ("example", "org") and filed[r"/99\d(?:[/?#]|$)"] == ""
 
 
+def test_filings_by_branch():
+    of = lambda p: {(tuple(t), text) for _, t, text in urlrules.filings(p)}
+    assert of(r"/(?:ads?|banners?)/") == {(("ad",), "/ad/"), (("ads",), "/ads/"), (("banner",), "/banner/"), (("banners",), "/banners/")}
+    assert of(r"[?&](?:sessionid|sid)=") == {(("sessionid",), "sessionid="), (("sid",), "sid=")}
+    assert of(r"a(?:b|c(d|e)?)f|^/x/$") == {((), "abf"), ((), "acf"), ((), "acdf"), ((), "acef"), (("x",), "/x/")}
+    assert of(r"://ads?\d*\.") == {((), "://ad"), ((), "://ads")}
+    assert of(r"(?i)/Foo/") == {(("Foo",), "")}
+    assert of(r"\Q/a?/\E") == of(r"(?x) /a b/") == of(r"/\x41/") == {((), "")}
+    assert of(r"(a|b)*c/d/") == {(("d",), "c/d/")}
+    assert len(urlrules.branches("(a|b)" * 20)) <= 64
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_branches_lose_no_match(seed):
+    """Wherever a pattern fits, one of its filings has its text and its tokens there."""
+    rng = random.Random(seed)
+
+    def pattern(depth):
+        atoms = [rng.choice(["a", "b", "ab", "/", r"\.", "[/?]", "[ab]", r"\b", "."]) for _ in range(rng.randint(1, 4))]
+        if depth:
+            atoms.insert(rng.randint(0, len(atoms)), f"({rng.choice(['', '?:'])}{pattern(depth - 1)}|{pattern(depth - 1)}){rng.choice(['', '', '?', '*', '{2}'])}")
+        return "".join(a + rng.choice(["", "", "", "?", "+"]) if a in ("a", "b", "/") else a for a in atoms)
+
+    texts = ["".join(rng.choices("ab/.?", k=rng.randint(0, 9))) for _ in range(400)]
+    met = 0
+    for _ in range(150):
+        p = pattern(rng.randint(0, 2))
+        filed = urlrules.filings(p)
+        for t in texts:
+            if re.search(p, t, re.ASCII):
+                met += 1
+                tokens = set(re.findall(urlrules.TOKEN, t))
+                assert any(text in t and tokens >= set(own) for _, own, text in filed), (p, t)
+    assert met > 1000
+
+
+def test_only_rules_without_a_token_meet_every_url(spark):
+    pages = spark.createDataFrame([("http://www.example.org/x",)], "url string")
+    filed = urlrules.file_rules(pages, urlrules.PATTERN_RULES).collect()
+    assert {r.pattern for r in filed if r.token == ""} == {r"://ads?\d*\.", r"/99\d(?:[/?#]|$)"}
+    assert all(r.literal for r in filed)  # and these only where their text is
+
+
+def test_tokens_are_lowered_as_ascii(spark):
+    """Lower-casing a dotted capital I would lengthen the token before it."""
+    pages = spark.createDataFrame([(1, "x://y.fr/CASINO"), (2, "x://y.fr/casino\u0130"), (3, "x://y.fr/casino")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlrules.judge_urls(pages, patterns=[("block", r"/casino\x{130}?$"), ("block", r"(?i)/casino$")]).collect()}
+    assert got == {1: "block", 2: "block", 3: "block"}
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 7, 16])
 def test_loser_tree(k):
     runs = [sorted(hashlib.md5(b"%d %d" % (r, i)).digest()[:1] for i in range(r * 3 % 11)) for r in range(k)]
@@ -110,6 +163,40 @@ def test_index_is_in_order(spark):
     assert index.count() > 2
 
 
+@pytest.mark.parametrize("fan_in, most", [(16, 5), (300, 1.1)])
+def test_merges_do_not_open_every_run_for_every_range(spark, monkeypatch, fan_in, most):
+    count, each, opened = 300, 10, []
+    root = new_folder(spark, "runs")
+    folder = Path(root.removeprefix("file://"))
+    folder.mkdir(parents=True)
+    rng, rows, lines = random.Random(7), [], []
+    for r in range(count):
+        own = sorted(b"%08d %02d a %d 1 1" % (rng.randrange(10**8), rng.randrange(100), i) for i in range(each))
+        (folder / f"run-{r}").write_bytes(b"".join(x + b"\n" for x in own))
+        rows.append((f"run-{r}", each, own))
+        lines += own
+    plain = warc._merge
+
+    def counted(jobs, *more):
+        opened.append(jobs.select(F.sum(F.size("members"))).first()[0])
+        return plain(jobs, *more)
+
+    monkeypatch.setattr(warc, "_merge", counted)
+    runs = spark.createDataFrame(rows, "run string, n long, lines array<binary>")
+    index = warc.merge_runs(runs, root, fan_in=fan_in, part_lines=each).orderBy("part").collect()
+    assert len(index) > 250 and [r.part for r in index] == list(range(len(index)))  # a file for each range
+    assert [x for r in index for x in (folder / r.run).read_bytes().splitlines()] == sorted(lines)
+    assert max(opened) <= 2 * fan_in * len(index)
+    assert fan_in == count or sum(opened) < count * len(index) / most
+
+
+@pytest.mark.parametrize("groups, parts", [(1, 1), (1, 300), (19, 300), (6000, 1 << 16), (10**6, 7)])
+def test_rounds_are_nested(groups, parts):
+    step = warc._step(groups, parts)
+    assert step & (step - 1) == 0 and (groups * -(-parts // step) <= 2 * parts or step >= parts)
+    assert warc._step(-(-groups // 256), parts) <= step and warc._step(1, parts) == 1
+
+
 def test_damage_is_found():
     record = warc._gzip(warc._record("response", 4, "http://x/", "20240101000000", hashlib.sha1(b"abc").hexdigest(), b"abc", None))
     assert warc.parse(record)["page_id"] == 4
