@@ -172,9 +172,9 @@ def tiled_pairs(docs: DataFrame, items: DataFrame, seed: int, coverage: float, f
     fetching = benchmark_seeds(items, seed, coverage)
     hits = stored(document_seeds(docs, *seed_bitmap(fetching, filter_bits), seed).distinct(), "document-seeds")
     met = spread_join(hits, fetching, "seed").groupBy("doc_id", "h", "number").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    pairs = met.where("n >= need").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "number")
-    # a document meets its items in up to 16 rows, so that no row holds all of them
-    dealt = pairs.join(items.withColumnRenamed("text", "item"), "number").groupBy("d", "g", F.pmod("number", F.lit(16)).alias("part")).agg(F.collect_list(F.struct("number", "item")).alias("items"))
+    pairs = stored(met.where("n >= need").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "number"), "met")
+    # an item that very many documents quote is dealt over tasks; a document meets its items in up to 16 rows, so that no row holds all of them
+    dealt = spread_join(pairs, items.withColumnRenamed("text", "item"), "number").groupBy("d", "g", F.pmod("number", F.lit(16)).alias("part")).agg(F.collect_list(F.struct("number", "item")).alias("items"))
     both = docs.join(stored(dealt, "pairs"), docs["doc_id"].eqNullSafe(F.col("d")) & (docs["h"] == F.col("g")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +198,8 @@ def _sides(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]
 def contaminations(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float = 0.6, filter_bits: int = 27) -> DataFrame:
     """doc_id, item_id, coverage (share of the item's words), n_tiles, longest_tile of each contaminated pair."""
     texts, items = _sides(docs, benchmark)
-    found = tiled_pairs(texts, items.select("number", "text"), seed, coverage, filter_bits)
-    return found.join(items.select("number", "item_id"), "number").select("doc_id", "item_id", "coverage", "n_tiles", "longest_tile")
+    found = stored(tiled_pairs(texts, items.select("number", "text"), seed, coverage, filter_bits), "tiled")
+    return spread_join(found, items.select("number", "item_id"), "number").select("doc_id", "item_id", "coverage", "n_tiles", "longest_tile")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float = 0.6, filter_bits: int = 27) -> DataFrame:

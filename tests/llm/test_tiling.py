@@ -124,3 +124,12 @@ def test_query_finds_all_whole_passages(spark):
     held = docs.join(F.broadcast(items), F.expr("contains(text, item)")).select("doc_id", "item_id").collect()
     assert held and {tuple(r) for r in held} <= got
     assert len({d for d, _ in got}) < 400
+
+
+def test_an_item_that_very_many_documents_quote(spark):
+    """More pairs than one task takes of an item: they are dealt over tasks, and none is lost."""
+    item = "one item that every document here quotes as a whole"
+    docs = spark.range(10_500).selectExpr("id AS doc_id", f"concat('d', id, ' begins ', '{item}') AS text")
+    benchmark = spark.createDataFrame([(1, item), (2, "another item that nobody here quotes in any form at all")], "item_id long, text string")
+    found = tiling.contaminations(docs, benchmark).groupBy("item_id").agg(F.countDistinct("doc_id"), F.count("*"), F.min("coverage")).collect()
+    assert [tuple(r) for r in found] == [(1, 10_500, 10_500, 1.0)]
