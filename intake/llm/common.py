@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -18,6 +19,26 @@ pa.set_memory_pool(pa.system_memory_pool())
 #: The bytes that separate words in every operator here; `bytes.split()` without an argument splits at just these.
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
+_LIBC = ctypes.CDLL(None)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the worker hands freed memory back to the system, where its C library can. Workers wait for their next task, and a heap
+    that has grown on one task would stay with them."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim_heap()
+
+    return tidied
+
+
+def trim_heap() -> None:
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "line end", "point", "symbol", "control", "beyond ASCII")
@@ -217,4 +217,4 @@ def keep_good(docs: DataFrame, min_words: int = 50, most_class: float = 0.3, mos
             good = [keeps(t.as_py(), lang.as_py()) for t, lang in zip(batch.column("text"), batch.column("lang"))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

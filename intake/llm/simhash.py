@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, stored, text_bytes
+from .common import spread_join, stored, text_bytes, tidy
 from .components import connected_components
 
 SEED = 42
@@ -296,7 +296,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, pivots: int = P
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole), pa.array(fp.view(np.int64)), pivot_rows(fp, points), pa.array(sizes), lists], names=["doc_id", "h", "fp", "far", "size", "keys"])
 
-    return text_bytes(docs).mapInArrow(run, SKETCH)
+    return text_bytes(docs).mapInArrow(tidy(run), SKETCH)
 
 
 def words_hash(data: bytes) -> int:
@@ -313,7 +313,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
             held = [np.unique(shingle_hashes(x, width)).tobytes() for x in data]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([words_hash(x) for x in data], pa.int64()), pa.array(held, pa.binary())], names=["doc", "h", "shingles"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc long, h long, shingles binary")
+    return texts.select("doc_id", "text").mapInArrow(tidy(run), "doc long, h long, shingles binary")
 
 
 def set_links(node: np.ndarray, fp: np.ndarray, table: np.ndarray, sets: Callable[[int], np.ndarray], size: np.ndarray, similarity: float, radius: int) -> Iterator[tuple[int, int]]:
@@ -350,7 +350,7 @@ def text_links(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
             u, v = zip(*links) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return rows.repartition(*CHUNK).sortWithinPartitions(*CHUNK, "node").select(*CHUNK, "node", "fp", "far", "shingles").mapInArrow(run, "u long, v long")
+    return rows.repartition(*CHUNK).sortWithinPartitions(*CHUNK, "node").select(*CHUNK, "node", "fp", "far", "shingles").mapInArrow(tidy(run), "u long, v long")
 
 
 def near_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 12, rows: int = 3, radius: int = 26, bucket: int = 4096, bucket_bytes: int = 32 << 20) -> DataFrame:
@@ -405,7 +405,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, **how) ->
 
     # ids with several rows: each row by the group of its own text
     several = packed.join(again, "id", "left_semi").dropDuplicates(["id", "text_hash"])
-    hashed = several.select("id", "text_hash", "data").mapInArrow(words, "id long, text_hash long, words long")
+    hashed = several.select("id", "text_hash", "data").mapInArrow(tidy(words), "id long, text_hash long, words long")
     gone = hashed.join(named.where("component_id <> id").select("id", "words").distinct(), ["id", "words"]).select("id", "text_hash")
     several = several.join(gone, ["id", "text_hash"], "left_anti").select("id", "row")
     return once.unionByName(several).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
