@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,35 +213,49 @@ def apply_nested_policy(entries: DataFrame, limits: Limits = LIMITS) -> DataFram
 
 
 EXPANDED = "name string, ordinal int, entry_key string, entry_bytes long, is_directory boolean, is_encrypted boolean, content binary, failure string"
+_ENTRY = pa.schema({"name": pa.string(), "ordinal": pa.int32(), "entry_key": pa.string(), "entry_bytes": pa.int64(), "is_directory": pa.bool_(), "is_encrypted": pa.bool_(), "content": pa.binary(), "failure": pa.string()})
+#: A batch of entries goes on when it holds so many, or bytes of content.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def _entries(name: str | None, data: bytes | None, limits: Limits) -> Iterator[tuple]:
+    """The entries of one file as rows of `EXPANDED`, up to the first failure."""
+    total = 0
+    try:
+        with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+            for i, info in enumerate(z.infolist()):
+                locked, body, failure = bool(info.flag_bits & 1), None, None
+                if i >= limits.entries:
+                    failure = "entries"
+                elif not locked and not info.is_dir():
+                    room = min(limits.entry_bytes, limits.total_bytes - total)
+                    with z.open(info) as stream:
+                        body = stream.read(room + 1)
+                    if len(body) > room:
+                        body, failure = None, "entry_bytes" if room == limits.entry_bytes else "total_bytes"
+                    else:
+                        total += len(body)
+                yield name, i + 1, info.filename, info.file_size, info.is_dir(), locked, body, failure
+                if failure:
+                    break
+    except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, OSError) as e:
+        yield name, None, None, None, None, None, None, f"unreadable: {type(e).__name__}"
 
 
 def expand_zip(files: DataFrame, name: str = "name", content: str = "content", limits: Limits = LIMITS) -> DataFrame:
     """One row for each entry of each ZIP file, read within the limits; what is no readable ZIP gives one row with the failure."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in EXPANDED.split(", ")]
-        for pdf in frames:
-            for file, data in zip(pdf["name"], pdf["content"]):
-                total = 0
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
-                        for i, info in enumerate(z.infolist()):
-                            locked, body, failure = bool(info.flag_bits & 1), None, None
-                            if i >= limits.entries:
-                                failure = "entries"
-                            elif not locked and not info.is_dir():
-                                room = min(limits.entry_bytes, limits.total_bytes - total)
-                                with z.open(info) as stream:
-                                    body = stream.read(room + 1)
-                                if len(body) > room:
-                                    body, failure = None, "entry_bytes" if room == limits.entry_bytes else "total_bytes"
-                                else:
-                                    total += len(body)
-                            row = (file, i + 1, info.filename, info.file_size, info.is_dir(), locked, body, failure)
-                            yield pd.DataFrame([row], columns=columns)
-                            if failure:
-                                break
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, OSError) as e:
-                    yield pd.DataFrame([(file, None, None, None, None, None, None, f"unreadable: {type(e).__name__}")], columns=columns).astype({"ordinal": "Int64", "entry_bytes": "Int64"})
-
-    return files.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(run, EXPANDED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for file, data in zip(batch.column("name"), batch.column("content")):
+                for row in _entries(file.as_py(), data.as_py(), limits):
+                    rows.append(row)
+                    held += len(row[6] or b"")
+                    if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ENTRY.types)], schema=_ENTRY)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ENTRY.types)], schema=_ENTRY)
+
+    return files.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInArrow(run, EXPANDED)

@@ -6,7 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,19 +76,23 @@ def part_bytes(t):
     return B.part_bytes(parts, payloads).select("id", "data")
 
 
-def _zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        for doc_id, body in zip(pdf["doc_id"], pdf["text"]):
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("dir/", "")
-                z.writestr(f"dir/{doc_id}.txt", body)
-            yield pd.DataFrame({"name": [f"{doc_id}.zip"], "content": [out.getvalue()]})
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            names, packed = [], []
+            for doc_id, body in zip(*(batch.slice(at, 500).column(c).to_pylist() for c in ("doc_id", "text"))):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("dir/", "")
+                    z.writestr(f"dir/{doc_id}.txt", body)
+                names.append(f"{doc_id}.zip")
+                packed.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(packed, pa.binary())], names=["name", "content"])
 
 
 @query("expand_zip", """SELECT doc_id || '.zip' AS name, CAST(2 AS INTEGER) AS ordinal, 'dir/' || doc_id || '.txt' AS entry_key, octet_length(encode(text)) AS entry_bytes, sha256(text) AS hash FROM documents""")
 def expand_zip(t):
-    packed = t("doc_source").mapInPandas(_zipped, "name string, content binary")
+    packed = t("doc_source").select("doc_id", "text").mapInArrow(_zipped, "name string, content binary")
     entries = K.expand_zip(packed).where("NOT is_directory AND failure IS NULL")
     return entries.select("name", "ordinal", "entry_key", "entry_bytes", files.sha256_hex(F.col("content")).alias("hash"))
 
