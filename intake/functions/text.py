@@ -81,15 +81,22 @@ def first_signal(norm: Column, compact: Column, signals: tuple[str, ...], is_pad
     return F.coalesce(*(F.when(contains_signal(norm, compact, s, is_padded), s) for s in signals))
 
 
+def _holds(text: Column, n: int, other: str, one: str) -> Column:
+    """At least `n` matches of `one`, of which `other` passes what lies between. A search that ends at the n-th match and goes back nowhere: a
+    count of all of them would make a list of every letter."""
+    return text.rlike(rf"\A(?:(?:{other})*+{one}){{{n}}}")
+
+
 def useful_page_text(c: Column) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]", "")) >= 30
+    """30 letters or digits."""
+    return _holds(F.coalesce(c, F.lit("")), 30, r"[^\p{L}\p{N}]", r"[\p{L}\p{N}]")
 
 
 def useful_ocr_text(c: Column) -> Column:
     """30 letters or digits, 15 letters, 5 words of two characters."""
     text = F.coalesce(c, F.lit(""))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    return (count(r"[\p{L}\p{Nd}]") >= 30) & (count(r"\p{L}") >= 15) & (count(r"\p{L}[\p{L}\p{N}]{1,}") >= 5)
+    words = _holds(text, 5, r"\P{L}|\p{L}(?![\p{L}\p{N}])", r"\p{L}[\p{L}\p{N}]++")
+    return _holds(text, 30, r"[^\p{L}\p{Nd}]", r"[\p{L}\p{Nd}]") & _holds(text, 15, r"\P{L}", r"\p{L}") & words
 
 
 #: Fixed values.

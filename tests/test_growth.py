@@ -26,3 +26,16 @@ def test_expand_zip_in_batches(spark):
     got = containers.expand_zip(files).agg(F.count("*"), F.sum(F.length("content")), F.countDistinct("name"), F.count("failure")).first()
     assert tuple(got) == (10_000, 50 * 199 * 100, 50, 0)
     assert time.time() - began < 10
+
+
+def test_useful_texts_without_lists(spark):
+    """The searches agree with counts of all matches, which make a list of every letter."""
+    texts = ["", None, "a" * 30, "a" * 29, "ab " * 15, "ab " * 4 + "1" * 30, "ab " * 5 + "1" * 20, "ñandú ab1 x y z ab ab ab" + "9" * 12, "1" * 30, "\U0001d538" * 30, "ab \n" * 10, "٣" * 15 + "אב " * 8, "Ⅷ" * 30, "a b c d e " * 9, "x1" * 15, "-" * 100_000 + "ab-" * 10]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.coalesce("t", F.lit(""))
+    count = lambda p: F.regexp_count(whole, F.lit(p))
+    want = (count(r"[\p{L}\p{Nd}]") >= 30) & (count(r"\p{L}") >= 15) & (count(r"\p{L}[\p{L}\p{N}]{1,}") >= 5)
+    rows = df.select("t", text.useful_ocr_text(F.col("t")).alias("ocr"), want.alias("ocr_want"), text.useful_page_text(F.col("t")).alias("page"), (count(r"[\p{L}\p{N}]") >= 30).alias("page_want")).collect()
+    assert [(r.ocr, r.page) for r in rows] == [(r.ocr_want, r.page_want) for r in rows]
+    assert {r.ocr for r in rows} == {r.page for r in rows} == {True, False}
+    assert "regexp_extract_all" not in plan(df.select(text.useful_ocr_text(F.col("t")))) and "regexp_count" not in plan(df.select(text.useful_ocr_text(F.col("t"))))
