@@ -154,6 +154,8 @@ def write_documents(documents: DataFrame, root: str, order: Sequence[str] = ("or
 def resolve_path_collisions(df: DataFrame) -> DataFrame:
     """One row for each (path, hash); the first hash keeps the path, others get the hash's first eight digits before the extension."""
     once = df.dropDuplicates(["path", "hash"])
-    place = F.dense_rank().over(Window.partitionBy("path").orderBy("hash"))
+    # met by path and hash, not by a window over the path: of one path there may be a hash for every row. NULL is a path, and the first hash
+    first = once.groupBy("path").agg(F.min(F.struct("hash")).alias("_h")).select(F.col("path").alias("_p"), F.col("_h.hash").alias("_h"), F.lit(True).alias("_first"))
     moved = F.concat(F.regexp_extract("path", r"(?s)^(.*?)(\.[^./]*)?$", 1), F.lit("_"), F.substring("hash", 1, 8), F.regexp_extract("path", r"(?s)^(.*?)(\.[^./]*)?$", 2))
-    return once.withColumn("_place", place).withColumn("path", F.when(F.col("_place") > 1, moved).otherwise(F.col("path"))).drop("_place")
+    met = once.join(first, once["path"].eqNullSafe(F.col("_p")) & once["hash"].eqNullSafe(F.col("_h")), "left")
+    return met.withColumn("path", F.when(F.col("_first").isNull(), moved).otherwise(F.col("path"))).select(*df.columns)

@@ -39,3 +39,12 @@ def test_useful_texts_without_lists(spark):
     assert [(r.ocr, r.page) for r in rows] == [(r.ocr_want, r.page_want) for r in rows]
     assert {r.ocr for r in rows} == {r.page for r in rows} == {True, False}
     assert "regexp_extract_all" not in plan(df.select(text.useful_ocr_text(F.col("t")))) and "regexp_count" not in plan(df.select(text.useful_ocr_text(F.col("t"))))
+
+
+def test_collisions_of_one_path(spark):
+    """A path that all rows share is not sorted in one task; NULLs are a path and a hash."""
+    rows = [("a.x", f"{i:08d}zz") for i in range(5)] * 2 + [(None, "h1"), (None, None), ("b", None), ("b", "h2"), ("b", "h2")]
+    made = ledger.resolve_path_collisions(spark.createDataFrame(rows, "path string, hash string"))
+    want = [("a.x", "00000000zz")] + [(f"a_{i:08d}.x", f"{i:08d}zz") for i in range(1, 5)] + [(None, "h1"), (None, None), ("b", None), ("b_h2", "h2")]
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, want))
+    assert "Window" not in plan(made)
