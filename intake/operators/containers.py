@@ -47,8 +47,21 @@ def _levels(key: Column) -> Column:
     return F.coalesce(F.array_min(seen), F.lit(1))
 
 
+#: Paths with an empty part, `.`, `..` or a backslash; the others are their own normal form.
+_UNTIDY = r"(^|/)\.{0,2}(/|$)|\\"
+
+
+def _leaves(key: Column) -> Column:
+    """The path leaves its container. Only one with `..` can, so others are not walked."""
+    return F.contains(key, F.lit("..")) & (_levels(key) < 0)
+
+
 def normal_path(key: Column) -> Column:
     """The path inside the container in lower case, `.` and empty parts dropped and `..` resolved."""
+    return F.when(key.rlike(_UNTIDY), _resolved(key)).otherwise(F.lower(key))
+
+
+def _resolved(key: Column) -> Column:
     parts = F.filter(F.split(F.translate(F.lower(key), "\\", "/"), "/"), lambda x: (x != "") & (x != "."))
     stack = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x)))
     return F.array_join(stack, "/")
@@ -82,7 +95,7 @@ def with_failure(entries: DataFrame, limits: Limits = LIMITS) -> DataFrame:
         F.when(F.col("n_seen") > limits.entries, "entries")
         .when(file & (F.col("is_encrypted") | linked), "unsupported")
         .when(file & ((F.trim(key) == "") | key.rlike(r"^[/\\]") | F.contains(key, F.lit(":"))), "path")
-        .when(file & (_levels(key) < 0), "traversal")
+        .when(file & _leaves(key), "traversal")
         .when(F.col("collides"), "collision")
         .when(file & (F.col("entry_bytes") > limits.entry_bytes) & entry_first, "entry_bytes")
         .when(file & (F.col("bytes_seen") > limits.total_bytes), "total_bytes")
@@ -121,7 +134,7 @@ def _own_checks(entries: DataFrame, limits: Limits) -> DataFrame:
         F.when(F.col("is_directory"), None)
         .when(F.col("is_encrypted") | (F.col("link_target") != ""), "unsupported")
         .when(key.rlike(r"(?U)^\s*$") | key.rlike(r"^[/\\]") | F.contains(key, F.lit(":")), "path")
-        .when(_levels(key) < 0, "traversal")
+        .when(_leaves(key), "traversal")
         .when(F.row_number().over(same) > 1, "collision")
     )
     crossing = (limits.entry_bytes // limits.read_bytes + 1) * limits.read_bytes

@@ -48,3 +48,12 @@ def test_collisions_of_one_path(spark):
     want = [("a.x", "00000000zz")] + [(f"a_{i:08d}.x", f"{i:08d}zz") for i in range(1, 5)] + [(None, "h1"), (None, None), ("b", None), ("b_h2", "h2")]
     assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, want))
     assert "Window" not in plan(made)
+
+
+def test_tidy_paths_are_not_walked(spark):
+    """Only paths with an empty part, a dot part or a backslash are resolved; what the walk gives is what the short way gives."""
+    keys = ["A/b.pdf", "a/./B.pdf", "x/../a//c.pdf", "..\\up.pdf", "/a", "a/", "", ".", "..", "a..b/c.", "../..", "a/..b", "...", "É/x", "a\\b"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    k = F.col("k")
+    for row in df.select("k", containers.normal_path(k).alias("short"), containers._resolved(k).alias("walked"), containers._leaves(k).alias("leaves"), (containers._levels(k) < 0).alias("below")).collect():
+        assert (row.short, row.leaves) == (row.walked, row.below), row.k
