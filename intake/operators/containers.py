@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -35,6 +35,17 @@ LIMITS = Limits()
 FAILURES = ("entries", "unsupported", "path", "traversal", "collision", "entry_bytes", "total_bytes", "chain")
 
 
+#: What one task sorts, several times over.
+ROWS_A_TASK = 250_000
+
+
+def tasks_by_root(entries: DataFrame, rows: int = ROWS_A_TASK) -> Callable[[DataFrame], DataFrame]:
+    """Deals rows by their root to as many tasks as these entries ask for, so that what a task holds does not grow with the input. Where the
+    session's own number of tasks is enough, rows stay as they are. A root stays in one task."""
+    n = -(-entries.count() // rows)
+    return lambda df: df.repartition(n, "root_id") if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def container_chain(parent: Column, key: Column) -> Column:
     return F.concat_ws("!/", parent, key)
 
@@ -149,15 +160,15 @@ def _own_checks(entries: DataFrame, limits: Limits) -> DataFrame:
     return checked.withColumn("_stop", F.min(F.when(F.col("_static").isNotNull(), F.col("_place"))).over(inside))
 
 
-def _read_trees(entries: DataFrame, limits: Limits) -> DataFrame:
+def _read_trees(entries: DataFrame, limits: Limits, deal: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Entries down to `limits.depth` that no check of their own, or of an archive around them, keeps from being read. `_at` is the place in
     reading order: the entry's number in each container from the root on, which sorts an archive before what lies in it."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     place = F.row_number().over(Window.partitionBy("root_id", "container_id").orderBy("ordinal", "entry_key", "child_id"))
-    rows = entries.select(
+    rows = deal(entries.select(
         "root_id", "container_id", "ordinal", text("entry_key").alias("entry_key"), F.coalesce(F.col("entry_bytes").cast("long"), F.lit(0)).alias("entry_bytes"), text("link_target").alias("link_target"),
         *(F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("is_directory", "is_encrypted")), "child_id", text("root_name").alias("root_name"),
-    ).withColumn("_place", place).where(F.col("_place") <= limits.entries + 1)
+    )).withColumn("_place", place).where(F.col("_place") <= limits.entries + 1)
     level = rows.where("container_id = root_id").withColumns({
         "_in": F.array().cast("array<int>"), "_chain": F.col("root_name"), "_in_ordinal": F.lit(0), "_in_key": F.col("root_name"),
     })
@@ -168,8 +179,8 @@ def _read_trees(entries: DataFrame, limits: Limits) -> DataFrame:
         if depth < limits.depth:
             archives = read.where("child_id IS NOT NULL AND _static IS NULL AND NOT is_directory").select(
                 "root_id", F.col("child_id").alias("container_id"), F.col("_at").alias("_in"), F.col("_own").alias("_chain"), F.col("ordinal").alias("_in_ordinal"), F.col("entry_key").alias("_in_key"))
-            level = rows.join(archives, ["root_id", "container_id"])
-    return reduce(DataFrame.unionByName, levels)
+            level = deal(rows.join(archives, ["root_id", "container_id"]))
+    return deal(reduce(DataFrame.unionByName, levels))
 
 
 def apply_nested_policy(entries: DataFrame, limits: Limits = LIMITS) -> DataFrame:
@@ -183,7 +194,7 @@ def apply_nested_policy(entries: DataFrame, limits: Limits = LIMITS) -> DataFram
     """
     tree = Window.partitionBy("root_id")
     so_far = tree.orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    read = _read_trees(entries, limits)
+    read = _read_trees(entries, limits, tasks_by_root(entries))
     full = F.col("n_seen") > limits.entries
     spent = (F.col("_cost") > 0) | (~F.col("is_directory") & F.col("_before").isNull())
     over = full | (spent & (F.col("bytes_seen") > limits.total_bytes))

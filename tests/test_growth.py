@@ -57,3 +57,25 @@ def test_tidy_paths_are_not_walked(spark):
     k = F.col("k")
     for row in df.select("k", containers.normal_path(k).alias("short"), containers._resolved(k).alias("walked"), containers._leaves(k).alias("leaves"), (containers._levels(k) < 0).alias("below")).collect():
         assert (row.short, row.leaves) == (row.walked, row.below), row.k
+
+
+def entries(spark, roots):
+    rows = spark.range(roots).select(F.col("id").alias("root_id"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("ordinal"))
+    key = F.element_at(F.array(*map(F.lit, ("A/b.pdf", "a/./B.pdf", "x/../a//c.pdf", "..\\up.pdf", "a/b/../c2.pdf", "..x/a.pdf"))), F.col("ordinal"))
+    return rows.withColumns({
+        "entry_key": key, "entry_bytes": F.lit(10).cast("long"), "is_directory": F.lit(False), "is_encrypted": F.lit(False), "link_target": F.lit(None).cast("string"),
+        "container_id": F.col("root_id"), "child_id": F.lit(None).cast("long"), "root_name": F.lit("r"),
+    })
+
+
+def test_trees_in_tasks_of_bounded_size(spark, monkeypatch):
+    """The number of tasks follows the entries, and the result does not follow the number of tasks."""
+    trees = entries(spark, 50)
+    want = sorted(map(str, containers.apply_nested_policy(trees).collect()))
+    assert containers.tasks_by_root(trees, 20)(trees).rdd.getNumPartitions() == 15
+    assert containers.tasks_by_root(trees)(trees) is trees
+    tasks_by_root = containers.tasks_by_root
+    monkeypatch.setattr(containers, "tasks_by_root", lambda e: tasks_by_root(e, 20))
+    dealt = containers.apply_nested_policy(trees)
+    assert "RepartitionByExpression [root_id" in plan(dealt)
+    assert sorted(map(str, dealt.collect())) == want and len(want) == 50
