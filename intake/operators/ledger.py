@@ -139,13 +139,16 @@ def write_documents(documents: DataFrame, root: str, order: Sequence[str] = ("or
     """New paths only, partitioned by class and day; a path that is there stays as it is, and of a batch's rows of one path the first by `order` is
     written. Discarded documents are not. A path holds its class and day, so only the batch's own partitions are searched."""
     spark = documents.sparkSession
-    fresh = with_day(retain(first_of_key(documents, ["path"], order)))
+    documents = with_day(documents)
+    # rows of one path are of one class and day, so days and counts are those of all rows: no need to find the first of each path for them
+    given = retain(documents)
+    fresh = retain(first_of_key(documents, ["path"], order))
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
     if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
         stored = spark.read.schema(fresh.schema).parquet(root)
-        fresh = fresh.join(stored_on_days(stored, fresh).select("path"), "path", "left_anti")
-    # a day's rows lie in one task, or in as many as its rows ask for; the days are few and their counts small enough to broadcast
-    counts = fresh.groupBy(*DAY).agg(F.ceil(F.count(F.lit(1)) / ROWS_A_TASK).alias("_tasks"))
+        fresh = fresh.join(stored_on_days(stored, given).select("path"), "path", "left_anti")
+    # a day's rows lie in one task, or in as many as the batch's rows ask for; the days are few and their counts small enough to broadcast
+    counts = given.groupBy(*DAY).agg(F.ceil(F.count(F.lit(1)) / ROWS_A_TASK).alias("_tasks"))
     dealt = fresh.join(F.broadcast(counts), list(DAY)).withColumn("_task", F.pmod(F.xxhash64("path"), F.col("_tasks")))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt.repartition(tasks, *DAY, "_task").drop("_tasks", "_task").write.mode("append").partitionBy(*DAY).parquet(root)

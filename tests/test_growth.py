@@ -79,3 +79,21 @@ def test_trees_in_tasks_of_bounded_size(spark, monkeypatch):
     dealt = containers.apply_nested_policy(trees)
     assert "RepartitionByExpression [root_id" in plan(dealt)
     assert sorted(map(str, dealt.collect())) == want and len(want) == 50
+
+
+def test_store_finds_first_paths_once(spark, tmp_path, monkeypatch):
+    """A write ranks the batch's paths for its rows only, not again for its days and their counts."""
+    day = "timestamp_ntz'2024-05-06 00:00:00'"
+    batch = spark.range(40).selectExpr("id", "concat('p', id % 10) AS path", "'FACTURA' AS classification", f"{day} AS received")
+    ranked = []
+    first = ledger.first_of_key
+    monkeypatch.setattr(ledger, "first_of_key", lambda *a: first(*a).where(F.udf(lambda x: True, "boolean").asNondeterministic()("id")))
+    plans = ranked.append
+    write = ledger.stored_on_days
+    monkeypatch.setattr(ledger, "stored_on_days", lambda stored, given: (plans(plan(given)), write(stored, given))[1])
+    root = f"{tmp_path}/store"
+    for b in (batch.where("id < 25 AND path < 'p5'"), batch):
+        ledger.write_documents(b, root, ["id"])
+    got = spark.read.parquet(root).select("id", "path").collect()
+    assert sorted((r.path, r.id) for r in got) == [(f"p{i}", i) for i in range(10)]
+    assert ranked and all("Window" not in p for p in ranked)
