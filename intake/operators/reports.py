@@ -19,14 +19,27 @@ def attachment_summary(attachments: DataFrame) -> DataFrame:
     return attachments.groupBy("message").agg(F.count(F.lit(1)).alias("n_attachments"), flag("Error").alias("has_error"), flag("Descargado").alias("has_download"))
 
 
+#: What one task of a report sorts.
+ROWS_A_TASK = 200_000
+
+
+def in_tasks(df: DataFrame, key: str, rows: int, rows_a_task: int | None = None) -> DataFrame:
+    """`df` dealt by its key to as many tasks as `rows` ask for, so that what a task holds does not grow with the input; as it is where the
+    session's own number of tasks is enough."""
+    n = -(-rows // (rows_a_task or ROWS_A_TASK))
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def inbox(messages: DataFrame, accounts: DataFrame, ledger: DataFrame, attachments: DataFrame, ordered: bool = True) -> DataFrame:
     """One row a message with its account, its number of documents (or, without any, of attachments) and its state, newest first.
 
     Counts are formed before they are joined, so each side meets the messages once, one row a message.
     """
-    met = messages.join(accounts.select(F.col("id").alias("account_id"), "email"), "account_id")
-    met = met.join(document_counts(ledger), met["id"] == F.col("message"), "left").drop("message")
-    met = met.join(attachment_summary(attachments), met["id"] == F.col("message"), "left").drop("message")
+    # all three sides are dealt: Spark would bring one that is back to the session's number of tasks to meet those that are not
+    rows = messages.count()
+    met = in_tasks(messages.join(accounts.select(F.col("id").alias("account_id"), "email"), "account_id"), "id", rows)
+    met = met.join(in_tasks(document_counts(ledger), "message", rows), met["id"] == F.col("message"), "left").drop("message")
+    met = met.join(in_tasks(attachment_summary(attachments), "message", rows), met["id"] == F.col("message"), "left").drop("message")
     documents = F.coalesce("n_documents", F.lit(0))
     items = F.when(documents > 0, documents).otherwise(F.coalesce("n_attachments", F.lit(0)))
     state = message_state(documents, F.col("has_error"), F.col("has_download"))

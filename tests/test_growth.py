@@ -97,3 +97,17 @@ def test_store_finds_first_paths_once(spark, tmp_path, monkeypatch):
     got = spark.read.parquet(root).select("id", "path").collect()
     assert sorted((r.path, r.id) for r in got) == [(f"p{i}", i) for i in range(10)]
     assert ranked and all("Window" not in p for p in ranked)
+
+
+def test_detail_counts_before_it_joins(spark, monkeypatch):
+    """Attachments and documents become one row a message before anything meets them, and tasks that meet them follow the number of messages."""
+    from intake.operators import reports
+    from intake.plans.registry import QUERIES
+
+    plain = QUERIES["message_detail"](spark, "/root/testdata/sf0.001")
+    assert "LeftSemi" not in plan(plain)
+    want = sorted(map(str, plain.collect()))
+    monkeypatch.setattr(reports, "ROWS_A_TASK", 100)
+    dealt = QUERIES["message_detail"](spark, "/root/testdata/sf0.001")
+    assert plan(dealt).count("RepartitionByExpression") == 3
+    assert sorted(map(str, dealt.collect())) == want
