@@ -138,6 +138,8 @@ class KeyedTable:
                 b = int(name.partition("=")[2])
                 new = [f"{folder}/{name}/{n}" for n in files.names(f"{folder}/{name}") if n.endswith(".parquet")]
                 live[b] = new if replace else live.get(b, []) + new
+        if not replace and live == self.manifest.files:
+            return self
         if replace:
             written = {int(n.partition("=")[2]) for n in files.names(folder) if n.startswith(f"{_BUCKET}=")}
             for b in set(buckets) - written:
@@ -166,7 +168,7 @@ class KeyedTable:
         are added, none is rewritten. Without a new key the version stays."""
         buckets = self.touched(batch)
         new, existing = insert_if_absent(self.rows_of(buckets), batch, self.keys, order)
-        return (self if not buckets or new.isEmpty() else self._commit(new, buckets, replace=False)), existing
+        return (self._commit(new, buckets, replace=False) if buckets else self), existing
 
     def vacuum(self, keep: int = 1) -> int:
         """Removes data folders that none of the newest `keep` versions names, and older manifests. Only where no reader of an old version and

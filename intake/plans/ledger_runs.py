@@ -10,7 +10,7 @@ from ..operators import quality as Q
 from ..operators.keyed_table import KeyedTable
 from ..sources import payload_files as P
 from ..sources.bindings import domain_table, with_domain
-from ..sources.shared import checkpointed, new_folder
+from ..sources.shared import checkpointed, dealt_by, new_folder
 from ..streaming.intake_stream import dedup_stream, state_on_disk
 from ..streaming.sync_run import Sync
 from .define import ORACLES, QUERIES
@@ -53,29 +53,33 @@ def sync_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = checkpointed(history.withColumn("arrival", F.floor(6 * F.col("history_id") / (last + 1)).cast("int")))
     land = lambda k, folder: history.where(F.col("arrival") == k).drop("arrival").coalesce(1).write.mode("append").parquet(f"{root}/{folder}")
     messages, documents = (domain_table(spark, sf_dir, name) for name in ("messages", "ledger"))
+    messages = messages.select("message_id", "received", "id")
     kinds = documents.select("id", "message", "part_id", "origin_hash", F.when(F.col("classification") == "FACTURA", "invoice").when(F.col("confidence") > 80, "discarded").otherwise("review").alias("outcome"))
 
-    def analyse(batch: DataFrame) -> DataFrame:
-        return batch.select("message_id", F.col("id").alias("message")).join(kinds, "message")
-
     schema = "history_id long, record_type string, message_id string"
     ledger = "id long, message_id string, part_id string, origin_hash string, mode string"
-
-    def run(folder: str, as_of: str, known: DataFrame = messages) -> Sync:
-        sync = Sync(spark, root, 1, known, analyse, ledger, buckets=8)
-        sync.sync(f"{root}/{folder}", schema, F.lit(as_of).cast("timestamp_ntz"))
-        return sync
-
     until = lambda as_of: messages.where(F.col("received") <= F.lit(as_of).cast("timestamp_ntz"))
-    land(0, "old")
-    run("old", _FIRST, until(_FIRST))
-    land(1, "old")
-    land(2, "old")
-    run("old", _FIRST)
-    land(4, "new")
-    run("new", _SECOND, until(_SECOND))
-    land(5, "new")
-    sync = run("new", _SECOND)
+
+    # every batch looks its messages up in all documents, which stay where they are: only the batch's messages are shuffled
+    with dealt_by(kinds, "message") as dealt:
+
+        def analyse(batch: DataFrame) -> DataFrame:
+            return batch.select("message_id", F.col("id").alias("message")).join(dealt, "message")
+
+        def run(folder: str, as_of: str, known: DataFrame = messages) -> Sync:
+            sync = Sync(spark, root, 1, known, analyse, ledger, buckets=8)
+            sync.sync(f"{root}/{folder}", schema, F.lit(as_of).cast("timestamp_ntz"))
+            return sync
+
+        land(0, "old")
+        run("old", _FIRST, until(_FIRST))
+        land(1, "old")
+        land(2, "old")
+        run("old", _FIRST)
+        land(4, "new")
+        run("new", _SECOND, until(_SECOND))
+        land(5, "new")
+        sync = run("new", _SECOND)
     stored = sync.ledger.read().select(F.lit("document").alias("kind"), "mode", "id", F.lit(1).cast("long").alias("n"))
     cursor = sync.accounts.read().select(F.lit("cursor").alias("kind"), F.lit(None).cast("string").alias("mode"), "id", F.col("last_history_id").cast("long").alias("n"))
     counted = sync.metrics().groupBy("mode").agg(*(F.sum(c).alias(c) for c in ("found", "new_messages", "discarded", "existing", "missing")))

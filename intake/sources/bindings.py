@@ -114,6 +114,13 @@ def domain_sql(name: str, spark: bool = True) -> str:
     return _call(_call(_SQL[name], "SHA", sha), "B64", b64)
 
 
+def _numbered(text: str) -> str:
+    """`text` over lineitem, with its rows numbered in a query of their own. In one SELECT Spark computes names and hashes before the window: hashes
+    are shuffled then, and what is grouped or joined by `message` behind it is shuffled again, as that is not the column the window is dealt by."""
+    head, table, tail = text.partition("FROM lineitem")
+    return f"{head.replace(_NTH, '_nth')}FROM (SELECT *, {_NTH} AS _nth {table}{tail})" if _NTH in head else text
+
+
 def with_domain(sql: str) -> str:
     """An oracle's text with the domain tables that it names as common table expressions."""
     used = [n for n in DOMAIN if n in sql]
@@ -126,5 +133,5 @@ def domain_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One domain table over the tables in `sf_dir`."""
     sources = {"accounts": "customer", "messages": "orders", "doc_text": "documents", "doc_source": "documents", "qr_readings": "pages", "history": "events", "ocr_pages": "conversations"}
     table = sources.get(name, "lineitem")
-    text = domain_sql(name).replace("{", "{{").replace("}", "}}")
+    text = _numbered(domain_sql(name)).replace("{", "{{").replace("}", "}}")
     return spark.sql(text.replace(f"FROM {table}", "FROM {source}"), source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))

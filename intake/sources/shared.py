@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession, "rows")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def dealt_by(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
+    """`df` written to the shared folder once, in buckets by these columns: joins and groupings by them read it as often as they like and shuffle none of
+    its rows. Rows that are dealt by the columns already are not shuffled for it either. The catalog knows the table inside only; its files stay."""
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, "dealt")
+    name = folder.rpartition("/")[2].replace("-", "_")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(tasks, *keys).write.option("compression", "zstd").option("path", folder).bucketBy(tasks, *keys).saveAsTable(name, format="parquet")
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

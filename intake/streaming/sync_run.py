@@ -87,8 +87,9 @@ class Sync:
     def _store(self, ids: DataFrame, run_id: str, mode: str) -> int:
         """Documents of these messages to the ledger, their outcomes, and the run's counters. Gives the number of errors."""
         ids = checkpointed(ids)
-        seen = split_missing(ids, self.messages)
-        candidates = self.analyse(self.messages.join(ids, "message_id", "left_semi")).withColumns({"run_id": F.lit(run_id), "mode": F.lit(mode)})
+        found = checkpointed(self.messages.join(ids, "message_id", "left_semi"))  # all messages are met once; the batch's are few
+        seen = split_missing(ids, found)
+        candidates = self.analyse(found).withColumns({"run_id": F.lit(run_id), "mode": F.lit(mode)})
         candidates = checkpointed(candidates)
         table, keys = self.ledger, list(self.ledger.keys)
         kept = candidates.where(F.col("outcome").isin(*KEPT))

@@ -111,3 +111,41 @@ def test_detail_counts_before_it_joins(spark, monkeypatch):
     dealt = QUERIES["message_detail"](spark, "/root/testdata/sf0.001")
     assert plan(dealt).count("RepartitionByExpression") == 3
     assert sorted(map(str, dealt.collect())) == want
+
+
+def test_rows_of_a_message_are_shuffled_once(spark):
+    """What is grouped by message lies as the numbering of its rows dealt it, and hashes are not formed before that."""
+    from intake.sources.bindings import domain_table
+
+    for name, key in (("attachments", "message"), ("ledger", "message"), ("container_entries", "root_id")):
+        table = domain_table(spark, "/root/testdata/sf0.001", name)
+        made = table.groupBy(key).agg(F.collect_list(F.struct(*table.columns)))
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1, name
+        assert "sha2" not in plan(table).partition("Window")[2], name
+
+
+def test_dealt_rows_stay(spark):
+    """A join with a dealt table shuffles the other side only, though the other side is as large; the table leaves the catalog, its rows stay."""
+    from intake.sources.shared import dealt_by
+
+    before = {t.name for t in spark.catalog.listTables()}
+    with dealt_by(spark.range(100).selectExpr("id % 7 AS k", "id"), "k") as dealt:
+        met = spark.range(5).withColumnRenamed("id", "k").hint("merge").join(dealt, "k")
+        assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert met.count() == 72 and dealt.count() == 100
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_an_insert_forms_its_rows_once(spark, tmp_path):
+    """New rows are written without a look before whether there are any; where there are none the version stays."""
+    from intake.operators.keyed_table import KeyedTable
+
+    calls = spark.sparkContext.accumulator(0)
+    table = KeyedTable.open(spark, f"file://{tmp_path}/t", "k long, v string", ["k"], 1)
+    batch = spark.range(3).selectExpr("id AS k", "'x' AS v")
+    again = F.udf(lambda v: (calls.add(1), v)[1]).asNondeterministic()
+    table, _ = table.insert(batch.withColumn("v", again("v")), ["v"])
+    assert table.version == 1 and table.read().count() == 3 and calls.value == 3
+    same, existing = table.insert(batch, ["v"])
+    assert same.version == 1 and existing.count() == 3
+    assert KeyedTable.open(spark, f"file://{tmp_path}/t").version == 1
