@@ -53,6 +53,27 @@ class TooDeep(RuntimeError):
     """A tree of parts has more levels than allowed."""
 
 
+def _descend(nodes: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
+    """nodes: message_id, part, path. (attachment parts of these nodes and of what lies below them, nodes that lie `levels` levels below).
+
+    One pass: a node that is met becomes itself and its parts, and its parts are met at the next level. What is found is stored in one table,
+    so nothing above runs again, and only nodes that lie deeper keep their tree there.
+    """
+    rows = nodes.select("message_id", "part", "path", F.lit(True).alias("open"))
+    for _ in range(levels):
+        parts = F.coalesce(F.when(F.col("open"), F.try_variant_get("part", "$.parts", "array<variant>")), F.array().cast("array<variant>"))
+        met = rows.select("message_id", "path", F.posexplode(F.array_prepend(parts, F.col("part"))).alias("_i", "_p"))
+        path = F.when(F.col("_i") == 0, F.col("path")).otherwise(F.concat("path", F.lit("."), (F.col("_i") - 1).cast("string")))
+        rows = met.select("message_id", F.col("_p").alias("part"), path.alias("path"), (F.col("_i") > 0).alias("open"))
+    rows = rows.select("message_id", _part_id(F.col("part"), F.col("path")).alias("part_id"), *(c.alias(k) for k, c in _fields(F.col("part")).items()), "path", "open", F.when(F.col("open"), F.col("part")).alias("part"))
+    rows = checkpointed(rows.where(F.col("open") | is_attachment_part(rows)))
+    return rows.where("NOT open").select(*PARTS), rows.where("open").select("message_id", "part", "path")
+
+
+def _trees(raw: DataFrame) -> DataFrame:
+    return raw.select(F.col("id").alias("message_id"), F.col("payload").alias("part"), F.lit("0").alias("path"))
+
+
 def flatten_parts(raw: DataFrame, max_depth: int = 1000, levels: int = 4) -> DataFrame:
     """raw: id, payload (variant). The attachment parts of each message's tree, however deep; a part without an id of its own has
     its path, `0.i.j`. One level after the other, so no number of rows is too large.
@@ -75,16 +96,18 @@ def flatten_parts(raw: DataFrame, max_depth: int = 1000, levels: int = 4) -> Dat
     raise TooDeep(f"parts lie more than {max_depth} levels deep")
 
 
-def flatten_parts_recursive(raw: DataFrame) -> DataFrame:
-    """The same as a recursive query; Spark bounds its depth (100 levels, beyond which it raises). LIMIT ALL lifts its bound on rows."""
+def flatten_parts_recursive(raw: DataFrame, levels: int = 4) -> DataFrame:
+    """The same with a recursive query, which shuffles all it has found at each level; so it begins `levels` levels below the root, where most trees
+    have ended. Spark bounds its depth (100 levels from there, beyond which it raises). LIMIT ALL lifts its bound on rows."""
+    above, deeper = _descend(_trees(raw), levels)
     found = raw.sparkSession.sql(
         """
         WITH RECURSIVE tree(message_id, part, path) AS (
-          SELECT id, payload, CAST('0' AS STRING) FROM {raw}
+          SELECT message_id, part, path FROM {deeper}
           UNION ALL
           SELECT t.message_id, e.value, concat(t.path, '.', CAST(e.pos AS STRING)) FROM tree t, LATERAL variant_explode(try_variant_get(t.part, '$.parts', 'variant')) e
         ) SELECT * FROM tree LIMIT ALL""",
-        raw=raw,
+        deeper=deeper,
     )
     rows = found.select("message_id", _part_id(F.col("part"), F.col("path")).alias("part_id"), *(c.alias(k) for k, c in _fields(F.col("part")).items()))
-    return rows.where(is_attachment_part(rows)).select(*PARTS)
+    return above.unionByName(rows.where(is_attachment_part(rows)).select(*PARTS))

@@ -149,3 +149,19 @@ def test_an_insert_forms_its_rows_once(spark, tmp_path):
     same, existing = table.insert(batch, ["v"])
     assert same.version == 1 and existing.count() == 3
     assert KeyedTable.open(spark, f"file://{tmp_path}/t").version == 1
+
+
+def test_trees_are_read_once(spark, monkeypatch):
+    """One pass over trees of four levels, whatever their number of nodes: only what was found in them is stored, and the recursion begins below them."""
+    from intake.operators import mime
+
+    leaf = '{"filename":"a.pdf","body":{"attachmentId":"X"}}'
+    trees = [("flat", f'{{"parts":[{leaf},{{"filename":"x","parts":[{leaf},{leaf}]}}]}}', ["0.0", "0.1.0", "0.1.1"]), ("deep", '{"parts":[' * 9 + leaf + "]}" * 9, ["0" + ".0" * 9]), ("root", leaf, ["0"]), ("odd", '{"parts":{"filename":"a"}}', []), ("null", '{"parts":[null,1]}', [])]
+    raw = spark.createDataFrame([t[:2] for t in trees], "id string, p string").select("id", F.try_parse_json("p").alias("payload"))
+    stored, checkpointed = [], mime.checkpointed
+    monkeypatch.setattr(mime, "checkpointed", lambda df: (stored.append(checkpointed(df)), stored[-1])[1])
+    for f, passes in ((mime.flatten_parts_recursive, [5]),):
+        stored.clear()
+        made = f(raw)
+        assert sorted((r.message_id, r.part_id) for r in made.collect()) == sorted((n, p) for n, _, ps in trees for p in ps)
+        assert [df.count() for df in stored] == passes
