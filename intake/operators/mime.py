@@ -76,23 +76,17 @@ def _trees(raw: DataFrame) -> DataFrame:
 
 def flatten_parts(raw: DataFrame, max_depth: int = 1000, levels: int = 4) -> DataFrame:
     """raw: id, payload (variant). The attachment parts of each message's tree, however deep; a part without an id of its own has
-    its path, `0.i.j`. One level after the other, so no number of rows is too large.
+    its path, `0.i.j`. `levels` levels in one pass, so no number of rows is too large.
 
-    The trees, and then what lies below every `levels` levels, are checkpointed (`spark.checkpoint.dir`) and read from there until nothing is
-    left: whatever made `raw` runs once, and no level needs a shuffle. Trees beyond `max_depth` raise TooDeep; nothing is dropped.
+    What a pass finds, and the nodes below it, are checkpointed (`spark.checkpoint.dir`) until nothing is left: whatever made `raw` runs once,
+    and no level needs a shuffle. Trees beyond `max_depth` raise TooDeep; nothing is dropped.
     """
-    level = checkpointed(raw.select(F.col("id").alias("message_id"), F.col("payload").alias("part"), F.lit("0").alias("path")))
-    out = []
-    for depth in range(max_depth + 1):
-        rows = level.select("message_id", _part_id(F.col("part"), F.col("path")).alias("part_id"), *(c.alias(k) for k, c in _fields(F.col("part")).items()))
-        out.append(rows.where(is_attachment_part(rows)))
-        parts = F.try_variant_get("part", "$.parts", "array<variant>")
-        deeper = level.select("message_id", "path", F.posexplode(parts).alias("_i", "_p"))
-        level = deeper.select("message_id", F.col("_p").alias("part"), F.concat("path", F.lit("."), F.col("_i").cast("string")).alias("path"))
-        if (depth + 1) % levels == 0 or depth == max_depth:
-            level = checkpointed(level)
-            if level.isEmpty():
-                return reduce(DataFrame.unionByName, out).select(*PARTS)
+    level, out = _trees(raw), []
+    for depth in range(0, max_depth + 1, levels):
+        found, level = _descend(level, min(levels, max_depth + 1 - depth))
+        out.append(found)
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, out)
     raise TooDeep(f"parts lie more than {max_depth} levels deep")
 
 
