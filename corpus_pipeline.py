@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from intake.llm.common import read_table, stored
+from intake.llm.common import in_small_batches, read_table, stored
 from intake.llm.packing import pack
 from intake.llm.quality import keep_good, keep_long
 from intake.llm.simhash import keep_one
@@ -17,28 +17,33 @@ from intake.llm.suffixes import drop_repeats
 from intake.llm.tiling import decontaminate
 
 
+@in_small_batches
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or diverge from every language's reference, go. Null and blank texts have too few words."""
     return keep_good(docs)
 
 
+@in_small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts whose five-word shingles have a similarity of 0.8 or more, or that such texts link, the smallest doc_id stays,
     once if its row is repeated. Texts of fewer than five words are one shingle; texts without a word are equal."""
     return keep_one(docs)
 
 
+@in_small_batches
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that also start earlier (a smaller doc_id, null first; ties by a hash of the text) are cut out of the texts, n_chars
     is counted anew, and what has fewer than 10 words then goes, as in the first stage."""
     return keep_long(drop_repeats(docs))
 
 
+@in_small_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go. Items of fewer than five words, null texts and null items match nothing."""
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+@in_small_batches
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, placed in sequences of 4096 ids. A text without a token is one piece with its end id; repeated rows are
     packed once each."""

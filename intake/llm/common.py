@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,23 @@ def trim_heap() -> None:
         trim(0)
 
 
+#: Rows with texts are long: counted by thousands of rows, a batch of them is tens of MB, held in the executor and in its worker at once.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
+def in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """`stage` (session first), for whose session batches of rows are bounded by 4 MB from then on, unless the user has set their size. Results are
+    formed after the call, so the setting stays. It changes no row of them."""
+
+    @wraps(stage)
+    def bounded(spark: SparkSession, *args, **how) -> DataFrame:
+        for key, value in _BATCHES.items():
+            spark.conf.set(key, spark.conf.get(key, value))
+        return stage(spark, *args, **how)
+
+    return bounded
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

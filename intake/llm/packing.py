@@ -20,12 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import stored, text_bytes, tidy
 from .encode import END, encoder, vocabulary_path
 
+#: Pre-tokens in the encoder's cache, of which there are two at most; it stays with the worker.
+HELD = 100_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -34,7 +36,7 @@ def pieces(docs: DataFrame, size: int = 4096, tokenizer: str | None = None) -> D
     path = tokenizer or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([END], "<u4")
+        enc, end = encoder(path, HELD), np.array([END], "<u4")
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -45,7 +47,7 @@ def pieces(docs: DataFrame, size: int = 4096, tokenizer: str | None = None) -> D
             columns = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return text_bytes(docs).mapInArrow(run, PIECE)
+    return text_bytes(docs).mapInArrow(tidy(run), PIECE)
 
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
@@ -111,14 +113,19 @@ def in_blocks(rows: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple],
     return [(length, block, *rest) for length, *rest in rows for block in range(rest[0] // width[length], (rest[1] - 1) // width[length] + 1)], width
 
 
+def _table(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    """Rows of whole numbers, handed over in Arrow's form: as Python objects they would ask for workers of their own to be read."""
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], names=list(names)))
+
+
 def pack(docs: DataFrame, size: int = 4096, tokenizer: str | None = None, bucket_rows: int = 200_000) -> DataFrame:
     """All pieces with sequence_id and offset."""
     spark = docs.sparkSession
     cut = stored(pieces(docs, size, tokenizer), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, width = in_blocks(assignments(shortest_pack_first(histogram, size)))
-    slots = spark.createDataFrame(rows or [(0, 0, 0, 0, 0, 0)], "length long, block long, first long, last long, sequence long, offset long")
-    widths = spark.createDataFrame(list(width.items()) or [(0, 1)], "length long, width long")  # at most `size` rows
+    slots = _table(spark, rows or [(0, 0, 0, 0, 0, 0)], "length", "block", "first", "last", "sequence", "offset")
+    widths = _table(spark, list(width.items()) or [(0, 1)], "length", "width")  # at most `size` rows
     buckets = max(64, -(-max(histogram.values(), default=0) // bucket_rows))
     salted = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1)

@@ -100,13 +100,13 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(_POOLED)).alias("lang"))
 
 
-def corpus_counts(docs: DataFrame, min_words: int) -> DataFrame:
-    """lang, kind ('c': class number, 'w': word), item, n: summed over each batch of rows already."""
+def corpus_counts(docs: DataFrame, min_words: int, held: int = 200_000) -> DataFrame:
+    """lang, kind ('c': class number, 'w': word), item, n: summed over batches of rows already, until they have `held` different words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, Counter] = {}
+        classes: dict[str, np.ndarray] = {}
         for batch in batches:
-            words: dict[str, Counter] = {}
-            classes: dict[str, np.ndarray] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 text = text.as_py() or b""
                 own = text.lower().split()
@@ -114,16 +114,22 @@ def corpus_counts(docs: DataFrame, min_words: int) -> DataFrame:
                     continue
                 words.setdefault(lang, Counter()).update(own)
                 classes[lang] = classes.get(lang, 0) + class_counts(text)
-            for lang, own in words.items():
-                rows = [("c", b"%d" % i, int(n)) for i, n in enumerate(classes[lang])]
-                kinds, items, ns = zip(*rows)
-                yield _batch(lang, kinds, items, ns)
-                yield _batch(lang, ["w"] * len(own), list(own.keys()), list(own.values()))
+            if sum(map(len, words.values())) >= held:
+                yield from _summed(words, classes)
+                words, classes = {}, {}
+        yield from _summed(words, classes)
+
+    def _summed(words, classes):
+        for lang, own in words.items():
+            rows = [("c", b"%d" % i, int(n)) for i, n in enumerate(classes[lang])]
+            kinds, items, ns = zip(*rows)
+            yield _batch(lang, kinds, items, ns)
+            yield _batch(lang, ["w"] * len(own), list(own.keys()), list(own.values()))
 
     def _batch(lang, kinds, items, ns):
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds)), pa.array(kinds, pa.string()), pa.array(items, pa.binary()), pa.array(ns, pa.int64())], names=["lang", "kind", "item", "n"])
 
-    return docs.mapInArrow(run, "lang string, kind string, item binary, n long")
+    return docs.mapInArrow(tidy(run), "lang string, kind string, item binary, n long")
 
 
 def references(docs: DataFrame, min_words: int = 50, share: float = 0.001, min_reference: int = 2000) -> References:

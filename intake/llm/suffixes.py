@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 SEED = 32
 HOT = 4
@@ -260,7 +260,7 @@ def sample_rows(docs: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
             batch = Batch.read(got)
             yield emit(batch, *samples(batch, length, block), length)
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, ROW)
+    return docs.select("doc_id", "h", "text").mapInArrow(tidy(run), ROW)
 
 
 def rank(rows: DataFrame, length: int) -> DataFrame:
@@ -296,7 +296,7 @@ def part_rows(docs: DataFrame, cut: DataFrame, length: int, width: int, block: i
             rows, doc = rows[order], doc[order]
             yield emit(batch, *parts(batch, length, width, rows[:, 2], rows[:, 0], rows[:, 1], doc, block), length)
 
-    return _met(docs, cut).select("doc_id", "h", "text", "runs").mapInArrow(run, ROW)
+    return _met(docs, cut).select("doc_id", "h", "text", "runs").mapInArrow(tidy(run), ROW)
 
 
 STRING = "string binary, again boolean, doc_id long, h int, first long"
@@ -326,7 +326,7 @@ def string_rows(docs: DataFrame, cut: DataFrame, length: int) -> DataFrame:
             arrays = [held, pa.array(again), pa.array(batch.ids[doc], pa.int64(), mask=~batch.known[doc]), pa.array(batch.h[doc], pa.int32()), pa.array(begin, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in STRING.split(", ")])
 
-    return _met(docs, cut).select("doc_id", "h", "text", "runs").mapInArrow(run, STRING)
+    return _met(docs, cut).select("doc_id", "h", "text", "runs").mapInArrow(tidy(run), STRING)
 
 
 def _met(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -438,7 +438,8 @@ def drop_repeats(docs: DataFrame, length: int = 100, block: int = BLOCK) -> Data
     def rest(data: bytes, gone: list[tuple[int, int]]) -> str:
         return _without(data, _at_characters(data, gone)).decode("utf-8", "replace")
 
-    left = F.arrow_udf(_cut(length, pa.string(), rest), "string")
+    # not to be repeated: what filters the new texts would cut them a second time, in a second worker beside the first
+    left = F.arrow_udf(_cut(length, pa.string(), rest), "string").asNondeterministic()
     cut = with_repeats(docs, length, block).select("row", F.when(F.col("row.text").isNotNull(), left("data", "runs")).alias("left"))
     new = {"text": F.col("left")}
     if "n_chars" in docs.columns:

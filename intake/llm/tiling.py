@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread_join, stored, text_bytes
+from .common import spread_join, stored, text_bytes, tidy
 
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -126,7 +126,7 @@ def benchmark_seeds(items: DataFrame, seed: int, coverage: float) -> DataFrame:
             place = np.concatenate([np.arange(s) for s in sizes]) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([column([k for k, _, _ in found]), pa.array(seeds), pa.array(place), column(hits)], names=["number", "seed", "place", "hits"])
 
-    rows = stored(items.mapInArrow(run, "number long, seed long, place long, hits long"), "benchmark-seeds")
+    rows = stored(items.mapInArrow(tidy(run), "number long, seed long, place long, hits long"), "benchmark-seeds")
     held = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
     common = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("n"), "place"))
     left_out = F.floor((F.col("hits") - 1) / 2)
@@ -161,7 +161,7 @@ def document_seeds(docs: DataFrame, bitmap: np.ndarray, bits: int, seed: int) ->
             seeds = pa.array(np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(which), batch.column("h").take(which), seeds], names=["doc_id", "h", "seed"])
 
-    return docs.mapInArrow(run, "doc_id long, h long, seed long")
+    return docs.mapInArrow(tidy(run), "doc_id long, h long, seed long")
 
 
 FOUND = "doc_id long, h long, number long, coverage double, n_tiles long, longest_tile long"
@@ -187,7 +187,7 @@ def tiled_pairs(docs: DataFrame, items: DataFrame, seed: int, coverage: float, f
             columns = list(zip(*rows)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
 
-    return both.select("doc_id", "h", "text", "items").mapInArrow(run, FOUND)
+    return both.select("doc_id", "h", "text", "items").mapInArrow(tidy(run), FOUND)
 
 
 def _sides(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:

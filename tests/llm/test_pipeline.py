@@ -125,3 +125,54 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, empty, SF).collect() == [], name
     assert corpus_pipeline.STAGES[-1][1](spark, empty, SF).collect() == []
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and tiling
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stages_take_texts_in_batches_of_bounded_bytes(spark):
+    """Ten thousand rows of any length made a batch, up to 64 MB in an executor, its worker and the way back."""
+    session = spark.newSession()
+    corpus_pipeline.quality_rules(session, session.createDataFrame(odd_rows(), "doc_id long, text string, lang string, source string, n_chars long, extra string"), SF)
+    long = session.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    got = long.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 3000 and max(r.size for r in got) < 6 << 20
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+
+
+def test_a_batch_size_of_the_user_stays(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "9m")
+    corpus_pipeline.quality_rules(session, session.createDataFrame(odd_rows(), "doc_id long, text string, lang string, source string, n_chars long, extra string"), SF)
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "9m"
+
+
+def test_texts_are_cut_once(spark):
+    """The filter of the new texts cut them a second time, in a second worker of each task."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(k, f"{passage} " * (k > 0) + f"own {k} " * 20, 0) for k in range(4)], "doc_id long, text string, n_chars long")
+    cut = corpus_pipeline.suffix_dedup(spark, docs, SF)
+    assert plan_of(cut).count("ArrowEvalPython") == 1
+    assert all(r.n_chars == len(r.text) for r in cut.collect())
+
+
+def test_packing_reads_no_rows_from_python_objects(spark):
+    docs = spark.createDataFrame([(k, "some words " * (k + 1)) for k in range(9)], "doc_id long, text string")
+    plan = plan_of(corpus_pipeline.packing(spark, docs, SF))
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+
+
+def test_corpus_counts_of_many_small_flushes(spark):
+    docs = spark.createDataFrame([(k, f"a b c{k % 3} " * 30, "en") for k in range(40)], "doc_id long, text string, lang string").repartition(2)
+    columns = quality._columns(docs)
+    total = lambda df: sorted(map(tuple, df.groupBy("lang", "kind", "item").agg(F.sum("n")).collect()))
+    assert total(quality.corpus_counts(columns, 50, held=1)) == total(quality.corpus_counts(columns, 50))
+    assert quality.corpus_counts(columns, 50).where("kind = 'w'").count() <= 2 * 5
